@@ -4,8 +4,8 @@ Every document of a source shall be taken ``target / size of source`` times in
 expectation.  The whole part of that ratio is taken for certain; the fractional part is
 an inclusion probability, and the cube method turns probabilities into 0 or 1 while it
 keeps the document total and the word total of each source: probabilities move along
-the null space of the two balancing equations until a unit reaches 0 or 1 (three units
-at a time, where that null space has a closed form).  A block of ``BLOCK`` documents
+the null space of the two balancing equations until a unit reaches 0 or 1 (large units
+against many others, then three units at a time, where it has a closed form).  A block of ``BLOCK`` documents
 leaves at most two undecided units; these meet in the next, 2048 times smaller level,
 until one block per source is left, where a small landing problem drops the document
 total, then the word total.
@@ -56,9 +56,34 @@ def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[fl
     return out
 
 
-def flight(p: list[float], size: list[int], draws: np.ndarray, land: bool) -> list[float]:
-    """Move probabilities to 0 or 1 with sum(p) and sum(p * size) kept; at most two stay between, none if ``land``."""
-    p, active, nxt, k = list(p), [], 0, 0
+def settle_large(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> None:
+    """Decide units of over twice the mean size, in place, moving up to 1024 others against each.
+
+    Three-unit steps would leave the extremes of size for last, where landing costs most.
+    """
+    large = size > 2 * size.mean()
+    for i in np.flatnonzero(large & (p > 0) & (p < 1)):
+        for _ in range(64):
+            others = np.flatnonzero((p > 0) & (p < 1) & ~large)[:1024]
+            s = size[others].astype(float)
+            det = len(s) * (s @ s) - s.sum() ** 2
+            if not 0 < p[i] < 1 or len(s) < 8 or det <= 0:
+                break
+            x, y = (s.sum() * size[i] - s @ s) / det, (s.sum() - len(s) * size[i]) / det
+            at, u = np.append(others, i), np.append(x + y * s, 1.0)
+            room_up = np.where(u > 0, (1 - p[at]) / np.where(u == 0, 1, np.abs(u)), np.where(u < 0, p[at] / np.where(u == 0, 1, np.abs(u)), np.inf)).min()
+            room_down = np.where(u > 0, p[at] / np.where(u == 0, 1, np.abs(u)), np.where(u < 0, (1 - p[at]) / np.where(u == 0, 1, np.abs(u)), np.inf)).min()
+            step = room_up if rng.random() * (room_up + room_down) < room_down else -room_down
+            v = p[at] + step * u
+            p[at] = np.where(v < 1e-9, 0.0, np.where(v > 1 - 1e-9, 1.0, v))
+
+
+def flight(p: list[float], size: list[int], rng: np.random.Generator, land: bool) -> list[float]:
+    """Move probabilities to 0 or 1 with sum(p) and sum(p * size) kept; at most two small units stay between, none if ``land``."""
+    start = np.array(p, dtype=float)
+    if len(p):
+        settle_large(start, np.array(size), rng)
+    p, active, nxt = start.tolist(), [], 0
     while True:
         while len(active) < 3 and nxt < len(p):
             if 0 < p[nxt] < 1:
@@ -75,8 +100,7 @@ def flight(p: list[float], size: list[int], draws: np.ndarray, land: bool) -> li
             return p
         up = min((1 - p[i]) / x if x > 0 else p[i] / -x for i, x in zip(active, u) if x)
         down = min(p[i] / x if x > 0 else (1 - p[i]) / -x for i, x in zip(active, u) if x)
-        step = up if draws[k] * (up + down) < down else -down
-        k += 1
+        step = up if rng.random() * (up + down) < down else -down
         for i, x in zip(active, u):
             v = p[i] + step * x
             p[i] = 0.0 if v < 1e-9 else 1.0 if v > 1 - 1e-9 else v
@@ -104,8 +128,8 @@ def _level(units: DataFrame, level: int, blocks: dict[int, int], scratch: Scratc
         size = table["size"].to_numpy()
         order = np.lexsort((ids, _mixed(ids), -size))  # large documents are decided first, so what is left is small
         table = table.take(pa.array(order))
-        draws = np.random.default_rng([SEED, level, source, block]).random(len(ids) + 3)
-        p = flight(table["p"].to_pylist(), table["size"].to_pylist(), draws, land=n == 1)
+        rng = np.random.default_rng([SEED, level, source, block])
+        p = flight(table["p"].to_pylist(), table["size"].to_pylist(), rng, land=n == 1)
         return pa.table([table["doc_id"], table["source_no"], table["size"], pa.array(p, pa.float64())], names=["doc_id", "source_no", "size", "p"])
 
     out = dealt.select("doc_id", "source_no", "size", "p", "block", "blocks").groupBy("source_no", "block", "blocks").applyInArrow(run, LEVEL)
