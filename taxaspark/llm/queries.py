@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, mixing, near_dedup
+from . import decontaminate, html_extract, katz, mixing, near_dedup
 from .chat_format import formatted_digests, probe_conversation
 from .exact_dedup import DigestIndex
 from .license_scan import scan_licenses
@@ -36,6 +36,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
 
+def op6_katz_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op3_html_extract": op3_html_extract,
     "op4_decontaminate": op4_decontaminate,
     "op5_mixing": op5_mixing,
+    "op6_katz_score": op6_katz_score,
     "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
