@@ -33,12 +33,11 @@ CHUNK = "chunk bigint, n int, size bigint, ids array<bigint>, flags array<boolea
 
 def pack(data: np.ndarray, offsets: np.ndarray) -> bytes:
     raw = np.concatenate(([len(offsets)], offsets)).astype(np.int64).tobytes() + data.tobytes()
-    return np.int64(len(raw)).tobytes() + pa.Codec(_CODEC, 1).compress(raw, asbytes=True)
+    return squeeze(raw)
 
 
 def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    size = int(np.frombuffer(body, np.int64, 1)[0])
-    raw = np.frombuffer(pa.Codec(_CODEC).decompress(memoryview(body)[8:], size), np.uint8)
+    raw = np.frombuffer(unsqueeze(body), np.uint8)
     n = int(raw[:8].view(np.int64)[0])
     return raw[8 * (n + 1) :], raw[8 : 8 * (n + 1)].view(np.int64)
 
@@ -82,6 +81,14 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64)
 
 
+def squeeze(raw: bytes) -> bytes:
+    return np.int64(len(raw)).tobytes() + pa.Codec(_CODEC, 1).compress(raw, asbytes=True)
+
+
+def unsqueeze(blob: bytes) -> bytes:
+    return pa.Codec(_CODEC).decompress(memoryview(blob)[8:], int(np.frombuffer(blob, np.int64, 1)[0]), asbytes=True)
+
+
 def bucket_bits(chunks: DataFrame, keys_per_byte: float) -> int:
     """Bits of the bucket number for a table of chunks."""
     total = chunks.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first()["n"]
@@ -165,18 +172,28 @@ def count_keys(chunks: DataFrame, keyer: Callable, bits: int, summary: Callable
     return asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, ANSWER)
 
 
-def with_answers(chunks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """``finish(iterator of (chunk, ids, flags, data, offsets, totals, owner))`` over all chunks, in tasks by chunk."""
+def with_payloads(chunks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """``finish(iterator of (chunk, ids, flags, data, offsets, payloads by bucket))`` over all chunks, in tasks by chunk."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for group in grouped(batches, "chunk"):
             body, *rest = group["payload"].to_pylist()  # bucket -1 comes first
-            got = np.frombuffer(b"".join(rest), np.uint32)
-            yield group["chunk"][0].as_py(), group["ids"][0].as_py(), group["flags"][0].as_py(), *unpack(body), (got >> np.uint32(1)).astype(np.int64), (got & np.uint32(1)).astype(bool)
+            yield group["chunk"][0].as_py(), group["ids"][0].as_py(), group["flags"][0].as_py(), *unpack(body), rest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish(join(batches))
 
     bodies = chunks.select("chunk", F.lit(-1).alias("bucket"), "ids", "flags", F.col("body").alias("payload"))
-    both = bodies.unionByName(answers.where("chunk >= 0"))
+    both = bodies.unionByName(answers.where("chunk >= 0"), allowMissingColumns=True)
     return both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
+
+
+def with_answers(chunks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """As :func:`with_payloads`, for what :func:`count_keys` gives: (..., totals, owner) of the chunk's keys."""
+
+    def split(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for *row, payloads in rows:
+            got = np.frombuffer(b"".join(payloads), np.uint32)
+            yield *row, (got >> np.uint32(1)).astype(np.int64), (got & np.uint32(1)).astype(bool)
+
+    return with_payloads(chunks, answers, lambda rows: finish(split(rows)), schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, katz, mixing, near_dedup
+from . import decontaminate, html_extract, katz, mixing, near_dedup, substring_dedup
 from .chat_format import formatted_digests, probe_conversation
 from .exact_dedup import DigestIndex
 from .license_scan import scan_licenses
@@ -53,7 +53,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_digests(rows.unionByName(probe_conversation(spark)))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.shared_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op10_substring_dedup": op10_substring_dedup,
     "op1_near_dedup": op1_near_dedup,
     "op2_toxicity": op2_toxicity,
     "op3_html_extract": op3_html_extract,
