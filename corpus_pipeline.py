@@ -4,28 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from taxaspark.llm.exact_dedup import DigestIndex, keep_first
-from taxaspark.llm.toxicity import drop_toxic
+from taxaspark.llm import decontaminate, exact_dedup, mixing, near_dedup
+from taxaspark.llm import toxicity as toxic
+from taxaspark.llm.scratch import Scratch
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents scored 0.5 or more."""
-    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Drops documents scored 0.5 or more; the model learns from the labelled ones among ``docs``."""
+    return toxic.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each text."""
-    return keep_first(docs, DigestIndex(spark))
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the first document of each text, through a fresh digest index."""
+    return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark))
 
 
-STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each class of near duplicates."""
+    return near_dedup.keep_one_per_class(docs)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of each document."""
+    return mixing.mix_sources(docs)
+
+
+STAGES = [
+    ("toxicity", toxicity),
+    ("exact_dedup", exact_copies),
+    ("near_dedup", near_copies),
+    ("decontamination", benchmark_leaks),
+    ("mixing", source_mix),
+]
+
+#: Fitting, hashing bands and balanced sampling have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written and read again."""
-    from taxaspark.llm.scratch import Scratch
-
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
