@@ -41,6 +41,9 @@ from .toxicity import held_out
 K = 5
 #: words assumed unseen, which share what Good-Turing leaves for them
 UNSEEN = 1_000_000.0
+#: bounds of a task's memory: text of a chunk, and histories' sums held before they are sent
+CHUNK_BYTES = 4 << 20
+HELD_KEYS = 1 << 20
 #: taken from counts over K, so that every history leaves something to back off to
 TRUST = 0.1
 END, START = 0xE4D00001, 0x57A70001
@@ -59,21 +62,32 @@ class Tokens:
         at = np.arange(len(h)) + np.repeat(np.arange(n), count)
         word = np.full(len(h) + n, END, np.uint64)
         word[at] = h
+        self.first = np.cumsum(count + 1) - count - 1
         before = np.empty_like(word)
         before[1:] = word[:-1]
-        before[np.cumsum(count + 1) - count - 1] = START
-        self.word, self.history = word_key(word), word_key(before)
-        self.pair = T.chain(before, word, salt=2) | T.U64(1)
-        self.n = n
-
-    def keys(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct keys and their counts in training texts; starts count as words of the start symbol."""
-        flat = np.concatenate((self.word, self.pair, np.full(self.n, START_KEY, np.uint64)))
-        used = np.concatenate((train[self.row], train[self.row], train)).astype(np.int64)
+        before[self.first] = START
+        flat = np.concatenate((word_key(word), T.chain(before, word, salt=2) | T.U64(1), np.full(min(n, 1), START_KEY, np.uint64)))
         order = np.argsort(flat)
         ranked = flat[order]
-        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        return ranked[first], np.add.reduceat(used[order], first)
+        new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if n else np.zeros(0, bool)
+        #: distinct keys, and the place among them of each token's word, bigram and history
+        self.known = ranked[new]
+        place = np.empty(len(flat), np.int64)
+        place[order] = np.cumsum(new) - 1
+        m = len(word)
+        self.word, self.pair = place[:m], place[m : 2 * m]
+        self.history = np.empty(m, np.int64)
+        self.history[1:] = self.word[:-1]
+        self.history[self.first] = place[2 * m :][:1]
+        self.n = n
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """Count of each distinct key in training texts; starts count as words of the start symbol."""
+        used = train[self.row]
+        out = np.bincount(self.word[used], minlength=len(self.known)) + np.bincount(self.pair[used], minlength=len(self.known))
+        if self.n:
+            out[self.history[self.first[0]]] += int(train.sum())
+        return out
 
 
 def word_key(h: np.ndarray) -> np.ndarray:
@@ -84,7 +98,8 @@ START_KEY = word_key(np.array([START], np.uint64))[0]
 
 
 def _keyer(data: np.ndarray, offsets: np.ndarray, flags: list) -> tuple[np.ndarray, np.ndarray]:
-    return Tokens(data, offsets).keys(~np.array(flags, dtype=bool))
+    tokens = Tokens(data, offsets)
+    return tokens.known, tokens.counts(~np.array(flags, dtype=bool))
 
 
 def _summary(keys: np.ndarray, totals: np.ndarray) -> bytes:
@@ -158,7 +173,7 @@ def _part(bucket, kind, chunk, keys, x, y, ids=None, flags=None) -> pa.RecordBat
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "katz")
-    chunks = make_chunks(docs, scratch, held_out(F.col("doc_id"), PARTS))
+    chunks = make_chunks(docs, scratch, held_out(F.col("doc_id"), PARTS), CHUNK_BYTES)
     bits = bucket_bits(chunks, 0.14)
     answers = scratch.write(count_keys(chunks, _keyer, bits, _summary), "counts", compression="zstd")
     stats = np.zeros((2, K + 3), np.int64)
@@ -178,31 +193,26 @@ def score_texts(docs: DataFrame) -> DataFrame:
             return _part([b for b, _, _ in cut], 1, [-1] * len(cut), [pack_keys(known[a:b]) for _, a, b in cut], [x[a:b].tobytes() for _, a, b in cut], [y[a:b].tobytes() for _, a, b in cut])
 
         for chunk, ids, flags, data, offsets, totals, owner in rows:
-            tok, out = Tokens(data, offsets), np.array(flags, dtype=bool)
-            known, _ = tok.keys(~out)
-            pair_at = np.searchsorted(known, tok.pair)
-            word = totals[np.searchsorted(known, tok.word)]
-            at = np.searchsorted(known, tok.history)
-            history = np.where(at < len(known), totals[np.minimum(at, len(known) - 1)], 0)
-            pair = totals[pair_at]
+            tok = Tokens(data, offsets)
+            word, history, pair = totals[tok.word], totals[tok.history], totals[tok.pair]
             log = np.log10(np.where(pair > 0, model.p_pair(pair, history), model.p_word(word)))
             cols = (np.bincount(tok.row, minlength=tok.n), np.bincount(tok.row, word > 0, tok.n), np.bincount(tok.row, model.base(word), tok.n), np.bincount(tok.row, log, tok.n))
             yield _part([chunk % (1 << min(bits, 30))], 0, [chunk], [b""], [np.array(cols, np.float64).tobytes()], [b""], [ids], [flags])
-            mine = np.zeros(len(known), np.int64)
-            mine[pair_at] = np.arange(len(pair_at)) + 1  # one place of each distinct bigram
+            mine = np.zeros(len(tok.known), np.int64)
+            mine[tok.pair] = np.arange(len(tok.pair)) + 1  # one place of each distinct bigram
             place = mine[owner & (mine > 0) & (totals > 0)] - 1
             if len(place):
-                held.append((tok.history[place], model.p_pair(pair[place], history[place]), model.p_word(word[place])))
+                held.append((tok.known[tok.history[place]], model.p_pair(pair[place], history[place]), model.p_word(word[place])))
             back = np.flatnonzero((pair == 0) & (history > 0))
             if len(back):
                 back = back[np.argsort(tok.history[back], kind="stable")]
-                key, first = np.unique(tok.history[back], return_index=True)
+                key, first = np.unique(tok.known[tok.history[back]], return_index=True)
                 edge, row = np.append(first, len(back)), tok.row[back].astype(np.int32)
                 cut = list(by_bucket(key, bits))
                 yield _part(
                     [b for b, _, _ in cut], 2, [chunk] * len(cut), [pack_keys(key[a:b]) for _, a, b in cut], [np.diff(edge[a : b + 1]).astype(np.int32).tobytes() for _, a, b in cut], [row[edge[a] : edge[b]].tobytes() for _, a, b in cut]
                 )
-            if sum(len(k) for k, _, _ in held) > 1 << 21:
+            if sum(len(k) for k, _, _ in held) > HELD_KEYS:
                 yield sums()
                 held = []
         if held:
@@ -246,4 +256,5 @@ def score_texts(docs: DataFrame) -> DataFrame:
     out = settled.groupBy("chunk", "row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")
     )
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+    out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+    return scratch.write(out, "scores")

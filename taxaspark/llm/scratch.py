@@ -12,6 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 _FALLBACK: list[str] = []
 
 
@@ -36,8 +37,13 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def write(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        """Write ``df`` and return the table as read back."""
-        df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        """Write ``df`` and return the table as read back. Python workers get small Arrow batches meanwhile."""
+        before = self.spark.conf.get(BATCH)
+        self.spark.conf.set(BATCH, BATCH_BYTES)
+        try:
+            df.write.mode("overwrite").option("compression", compression).parquet(self.path(name))
+        finally:
+            self.spark.conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:

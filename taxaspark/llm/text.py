@@ -118,10 +118,15 @@ def slices(offsets: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int]
         at = end
 
 
+def runs(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """For runs of texts of about ``most`` bytes: first and last + 1 row, bytes, and offsets, as :func:`utf8` gives them."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    for a, b in slices(np.concatenate(([0], np.cumsum(sizes))), most):
+        yield a, b, *utf8(column.slice(a, b - a))
+
+
 def text_words(column: pa.Array, values: np.ndarray, most: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of texts: first and last + 1 row, word hashes, and each word's row within the run."""
-    data, offsets = utf8(column)
-    for a, b in slices(offsets, most):
-        part = data[offsets[a] : offsets[b]]
-        h, s, _ = words(part, values)
-        yield a, b, h, np.searchsorted(offsets[a : b + 1] - offsets[a], s, "right") - 1
+    for a, b, data, offsets in runs(column, most):
+        h, s, _ = words(data, values)
+        yield a, b, h, np.searchsorted(offsets, s, "right") - 1
