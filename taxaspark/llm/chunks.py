@@ -33,7 +33,7 @@ CHUNK = "chunk bigint, n int, size bigint, ids array<bigint>, flags array<boolea
 
 def pack(data: np.ndarray, offsets: np.ndarray) -> bytes:
     raw = np.concatenate(([len(offsets)], offsets)).astype(np.int64).tobytes() + data.tobytes()
-    return squeeze(raw)
+    return squeeze(raw, 4)
 
 
 def unpack(body: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -49,10 +49,8 @@ def make_chunks(docs: DataFrame, scratch: Scratch, flag: F.Column | None = None,
         part, k = TaskContext.get().partitionId(), 0
         for batch in batches:
             ids, flags = batch.column(0), batch.column(1)
-            data, offsets = T.utf8(batch.column(2))
-            for a, b in T.slices(offsets, most):
-                lo, hi = offsets[a], offsets[b]
-                row = [[(part << 32) + k], [b - a], [int(hi - lo)], [ids.slice(a, b - a).to_pylist()], [flags.slice(a, b - a).to_pylist()], [pack(data[lo:hi], offsets[a : b + 1] - lo)]]
+            for a, b, data, offsets in T.runs(batch.column(2), most):
+                row = [[(part << 32) + k], [b - a], [len(data)], [ids.slice(a, b - a).to_pylist()], [flags.slice(a, b - a).to_pylist()], [pack(data, offsets)]]
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, kinds)], names=["chunk", "n", "size", "ids", "flags", "body"])
                 k += 1
@@ -81,8 +79,8 @@ def unpack_keys(blob: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64)
 
 
-def squeeze(raw: bytes) -> bytes:
-    return np.int64(len(raw)).tobytes() + pa.Codec(_CODEC, 1).compress(raw, asbytes=True)
+def squeeze(raw: bytes, level: int = 1) -> bytes:
+    return np.int64(len(raw)).tobytes() + pa.Codec(_CODEC, level).compress(raw, asbytes=True)
 
 
 def unsqueeze(blob: bytes) -> bytes:
@@ -172,8 +170,11 @@ def count_keys(chunks: DataFrame, keyer: Callable, bits: int, summary: Callable
     return asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(answer, ANSWER)
 
 
-def with_payloads(chunks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """``finish(iterator of (chunk, ids, flags, data, offsets, payloads by bucket))`` over all chunks, in tasks by chunk."""
+def joined(rows: DataFrame, finish: Callable, schema: str) -> DataFrame:
+    """``finish(iterator of (chunk, ids, flags, data, offsets, payloads by bucket))``, in tasks by chunk.
+
+    The rows are as ANSWER says; the one of bucket -1 holds the chunk's ids and texts.
+    """
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for group in grouped(batches, "chunk"):
@@ -183,17 +184,16 @@ def with_payloads(chunks: DataFrame, answers: DataFrame, finish: Callable, schem
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finish(join(batches))
 
-    bodies = chunks.select("chunk", F.lit(-1).alias("bucket"), "ids", "flags", F.col("body").alias("payload"))
-    both = bodies.unionByName(answers.where("chunk >= 0"), allowMissingColumns=True)
-    return both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
+    return rows.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, schema)
 
 
 def with_answers(chunks: DataFrame, answers: DataFrame, finish: Callable, schema: str) -> DataFrame:
-    """As :func:`with_payloads`, for what :func:`count_keys` gives: (..., totals, owner) of the chunk's keys."""
+    """As :func:`joined`, for what :func:`count_keys` gives: (..., totals, owner) of the chunk's keys."""
+    bodies = chunks.select("chunk", F.lit(-1).alias("bucket"), "ids", "flags", F.col("body").alias("payload"))
 
     def split(rows: Iterator[tuple]) -> Iterator[tuple]:
         for *row, payloads in rows:
             got = np.frombuffer(b"".join(payloads), np.uint32)
             yield *row, (got >> np.uint32(1)).astype(np.int64), (got & np.uint32(1)).astype(bool)
 
-    return with_payloads(chunks, answers, lambda rows: finish(split(rows)), schema)
+    return joined(bodies.unionByName(answers.where("chunk >= 0")), lambda rows: finish(split(rows)), schema)
