@@ -166,9 +166,10 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """All rules, best first: fixed sentences, then name x form in the order of FORMS and NAMES."""
+    """All rules, best first: fixed sentences, names with a version after their own "license", then name x form."""
     out = [Rule(label, key, re.compile(rf"(?<= ){p}(?= )"), 0, c) for label, key, p, c in PHRASES]
-    for level, (before, after, c) in enumerate(FORMS, 1):
+    out += [Rule(label, key, re.compile(rf"(?<= ){p}(?= )"), 1, 0.9) for label, key, p in NAMES if re.search("(public|artistic|software) license", p)]
+    for level, (before, after, c) in enumerate(FORMS, 2):
         out += [Rule(label, key, re.compile(rf"(?<= ){before}{p}{after}(?= )"), level, c) for label, key, p in NAMES]
     return out
 

@@ -29,8 +29,8 @@ from . import text as T
 BITS = 22
 MAX_PER_CLASS = 4096
 MAX_FEATURES = 50_000
-EPOCHS = 3
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 1.5, 0.5
+EPOCHS = 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 
 
 def held_out(doc_id: Column, parts: int = 5) -> Column:
