@@ -77,8 +77,8 @@ class EntrezReader(DataSourceReader):
             raise ValueError("give either a query or accessions")
         self.o = options
 
-    def _get(self, tool: str, **params) -> bytes:
-        return fetch(self.o.get("base", ENTREZ) + tool + "?" + urllib.parse.urlencode({k: v for k, v in params.items() if v}))
+    def _get(self, page: str, **params) -> bytes:
+        return fetch(self.o.get("base", ENTREZ) + page + "?" + urllib.parse.urlencode({k: v for k, v in params.items() if v}))
 
     def partitions(self) -> list[EntrezPage]:
         db, common = self.o.get("db", "nucleotide"), {"tool": "taxaspark", "email": self.o.get("contact")}
