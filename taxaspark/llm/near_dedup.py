@@ -11,10 +11,10 @@
    are one *representative* from here on.
 4. Representatives meet in bands.  Within a small bucket all pairs are candidates; in a
    larger one every member is compared with ``HUBS`` hubs, then those that are not yet in
-   the bucket's main class with hubs of that class, and what is still apart after that is
-   compared pair by pair (totals that differ too much are left out: their similarity is
-   bounded by the ratio).  So no bucket emits all pairs unless its members are really
-   unlike, and no candidate link is dropped.
+   the bucket's main class with hubs of that class.  What is still apart after that is
+   compared in blocks by ``BINS`` partial weights per set: the sum of the smaller partial
+   weights bounds what two sets share, so only pairs whose bound reaches ``SIMILARITY``
+   become rows.  No bucket emits all its pairs, and no candidate link is dropped.
 5. Every candidate is verified by weighted Jaccard similarity over all shingles; classes
    are the connected components of verified links.
 
@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .chunks import bucket_bits, count_keys, make_chunks, with_answers
+from .chunks import bucket_bits, count_keys, grouped, make_chunks, with_answers
 from .components import components
 from .scratch import Scratch
 
@@ -42,8 +42,11 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
 DAMPING = 0.25
-HUBS = 4
+HUBS = 2
 SMALL = 12
+BINS = 64
+BLOCK = 2048
+CHUNK_BYTES = 6 << 20
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -122,6 +125,16 @@ def pack_set(keys: np.ndarray, weights: np.ndarray) -> bytes:
     return np.int64(len(values)).tobytes() + values.astype(np.float64).tobytes() + n.astype(np.int64).tobytes() + (keys[order] & T.U64(0xFFFFFFFF)).astype(np.uint32).tobytes()
 
 
+def partial_weights(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return np.bincount((keys >> T.U64(58)).astype(np.int64), weights, BINS).astype(np.float32)
+
+
+def may_reach(bins: np.ndarray, totals: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """Which of all sets may be as similar as SIMILARITY to each of ``mine`` (indexes)."""
+    least = np.minimum(bins[mine][:, None, :], bins[None]).sum(axis=2)
+    return least * (1 + 1e-4) >= SIMILARITY * (totals[mine][:, None] + totals[None] - least)
+
+
 def unpack_set(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     n = int(np.frombuffer(blob, np.int64, 1)[0])
     values, counts = np.frombuffer(blob, np.float64, n, 8), np.frombuffer(blob, np.int64, n, 8 + 8 * n)
@@ -140,12 +153,12 @@ def similarity(a: bytes, b: bytes, total_a: float, total_b: float) -> float:
     return least / (total_a + total_b - least)
 
 
-CANDIDATE = "doc_id bigint, digest binary, total double, shared binary, bands array<bigint>"
+CANDIDATE = "doc_id bigint, digest binary, total double, shared binary, bins binary, bands array<bigint>"
 
 
 def candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The texts that may have a partner, with their bands and weighted sets."""
-    chunks = make_chunks(docs.where("doc_id IS NOT NULL"), scratch)
+    chunks = make_chunks(docs.where("doc_id IS NOT NULL"), scratch, most=CHUNK_BYTES)
     n = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     answers = count_keys(chunks, _keyer, bucket_bits(chunks, 0.15))
 
@@ -153,7 +166,7 @@ def candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
         for _, ids, _, data, offsets, totals, _ in rows:
             sets = shingles(data, offsets)
             known = np.unique(np.concatenate([k for k, _ in sets]))
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, (keys, tf) in zip(ids, sets):
                 if not len(keys):
                     continue
@@ -166,10 +179,10 @@ def candidates(docs: DataFrame, scratch: Scratch) -> DataFrame:
                 digest = np.array([mark.sum(dtype=np.uint64), T.mix(mark ^ T.U64(0x5BD1E995)).sum(dtype=np.uint64)], np.uint64)
                 alone = float(w[~shared].sum())
                 k, v = (np.append(keys[shared], digest[0]), np.append(w[shared], alone)) if alone > 0 else (keys[shared], w[shared])
-                for col, x in zip(out, (doc_id, digest.tobytes(), total, pack_set(keys[shared], w[shared]), icws(k, v).view(np.int64).tolist())):
+                for col, x in zip(out, (doc_id, digest.tobytes(), total, pack_set(keys[shared], w[shared]), partial_weights(keys[shared], w[shared]).tobytes(), icws(k, v).view(np.int64).tolist())):
                     col.append(x)
-            kinds = (pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["doc_id", "digest", "total", "shared", "bands"])
+            kinds = (pa.int64(), pa.binary(), pa.float64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["doc_id", "digest", "total", "shared", "bins", "bands"])
 
     out = scratch.write(with_answers(chunks, answers, finish, CANDIDATE), "candidates")
     scratch.drop("chunks")
@@ -200,6 +213,36 @@ def _hubs(members: DataFrame, seed: int) -> DataFrame:
     return members.groupBy("bucket").agg(F.array_distinct(F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(seed + i))) for i in range(HUBS)))).alias("hubs"))
 
 
+def bounded_pairs(rest: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket (bucket, rep, label, n) with different labels whose bound reaches SIMILARITY.
+
+    Large buckets are cut into blocks of about BLOCK members; each pair of blocks is one cell.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    cells = (
+        rest.join(reps.select("rep", "total", "bins"), "rep")
+        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") != F.col("other")).alias("mixed"), "block", "rep", "label", "total", "bins")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, "cell"):
+            rep, label, block, total = (group[c].to_numpy() for c in ("rep", "label", "block", "total"))
+            bins = np.frombuffer(b"".join(group["bins"].to_pylist()), np.float32).reshape(-1, BINS)
+            mixed = group["mixed"][0].as_py()
+            for a in range(0, len(rep), 16):
+                mine = np.arange(a, min(a + 16, len(rep)))
+                ok = may_reach(bins, total, mine) & (label[mine][:, None] != label[None]) & (rep[mine][:, None] < rep[None])
+                if mixed:
+                    ok &= block[mine][:, None] != block[None]
+                i, j = np.nonzero(ok)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(rep[mine[i]]), pa.array(rep[j])], names=["a", "b"])
+
+    return cells.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), group_size (documents of the class), links, kept.
 
@@ -208,7 +251,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "near_dedup")
     cand = candidates(docs, scratch)
     reps = scratch.write(
-        cand.groupBy("digest").agg(F.min(F.struct("doc_id", "total", "shared", "bands")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), "m.total", "m.shared", "m.bands"), "reps"
+        cand.groupBy("digest").agg(F.min(F.struct("doc_id", "total", "shared", "bins", "bands")).alias("m")).select("digest", F.col("m.doc_id").alias("rep"), "m.total", "m.shared", "m.bins", "m.bands"), "reps"
     )
     banded = reps.select("rep", "total", F.posexplode("bands").alias("band", "value")).select("rep", "total", F.xxhash64("band", "value").alias("bucket"))
     sizes = scratch.write(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "sizes")
@@ -229,21 +272,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labelled = scratch.write(labelled, "labelled1")
         per = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         main = scratch.write(per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1"), "main")
-        open_ = labelled.join(main, "bucket")
+        open_ = labelled.drop("total").join(main, "bucket")
         hubs = scratch.write(_hubs(open_.where("label = main"), 101), "hubs2")
         again = open_.where("label <> main").join(hubs, "bucket").select("rep", F.explode("hubs").alias("hub")).select(*_pairs(F.col("rep"), F.col("hub"))).distinct()
         tried2 = scratch.write(again.join(tried, ["a", "b"], "left_anti"), "tried2")
         links = scratch.write(links.unionByName(verify(tried2, reps)), "links2")
 
-        # The rest, pair by pair: members of one bucket that are still in different classes.
+        # The rest: members of one bucket that are still in different classes.
         labels = components(links, scratch, "cc2")
-        rest = open_.select("bucket", "rep", "total").join(labels, F.col("rep") == labels["node"], "left").select("bucket", "rep", "total", F.coalesce("label", "rep").alias("label"))
+        rest = open_.select("bucket", "rep").join(labels, F.col("rep") == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
         rest = scratch.write(rest, "labelled2")
-        apart = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
-        rest = scratch.write(rest.join(apart, "bucket"), "rest")
-        x, y = rest.alias("x"), rest.alias("y")
-        near = (F.col("x.label") < F.col("y.label")) & (F.least("x.total", "y.total") >= SIMILARITY * (1 - 1e-9) * F.greatest("x.total", "y.total"))
-        left = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & near).select(*_pairs(F.col("x.rep"), F.col("y.rep"))).distinct()
+        apart = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+        left = bounded_pairs(rest.join(apart, "bucket"), reps).distinct()
         tried3 = scratch.write(left.join(tried, ["a", "b"], "left_anti").join(tried2, ["a", "b"], "left_anti"), "tried3")
         links = scratch.write(links.unionByName(verify(tried3, reps)), "links3")
 
