@@ -165,12 +165,48 @@ def count_paths(model: Phmm, seqs: list[str], weights: np.ndarray) -> tuple[np.n
     return emit, moves
 
 
-def train(model: Phmm, seqs: list[str], weights: np.ndarray | None = None, rounds: int = 10) -> Phmm:
-    """Viterbi training until the total score stops rising, ``rounds`` times at most."""
+def expected_counts(model: Phmm, seqs: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted emissions and moves expected over all paths (forward and backward sums)."""
+    codes, n = encode(seqs, model.letters)
+    batch, width = codes.shape
+    match, insert = _emissions(model, codes)
+    score, (fm, fi, fd) = _run(model, seqs, np.logaddexp, keep=True)
+    a, size, rows = model.a, model.size, np.arange(batch)
+    emit, moves = np.zeros_like(model.e), np.zeros_like(a)
+    end = np.full((batch, width + 1), LOW)
+    end[rows, n] = 0.0
+    shift = lambda x: np.hstack((x[:, 1:], np.full((batch, 1), LOW)))
+    bm, bd = None, None
+    for k in range(size, -1, -1):
+        # What follows from a state at (k, j): the next match emits residue j, so it is read one to the right.
+        to_match = end if k == size else shift(bm + np.hstack((np.full((batch, 1), LOW), match[k])))
+        to_delete = np.full((batch, width + 1), LOW) if k == size else bd
+        bi = np.full((batch, width + 1), LOW)
+        to_insert = np.full((batch, width + 1), LOW)
+        for j in range(width, -1, -1):
+            if j < width:
+                to_insert[:, j] = bi[:, j + 1] + insert[:, j]
+            bi[:, j] = np.logaddexp(np.logaddexp(to_match[:, j] + a[IM, k], to_insert[:, j] + a[II, k]), to_delete[:, j] + a[ID, k])
+        for (src, f), (m, i, d) in zip((("M", fm[k]), ("I", fi[k]), ("D", fd[k])), ((MM, MI, MD), (IM, II, ID), (DM, DI, DD))):
+            for move, to in ((m, to_match), (i, to_insert), (d, to_delete)):
+                moves[move, k] += weights @ np.exp(np.minimum(f + a[move, k] + to - score[:, None], 0)).sum(axis=1)
+        new_m = np.logaddexp(np.logaddexp(to_match + a[MM, k], to_insert + a[MI, k]), to_delete + a[MD, k])
+        new_d = np.logaddexp(np.logaddexp(to_match + a[DM, k], to_insert + a[DI, k]), to_delete + a[DD, k])
+        if k:
+            post = np.exp(np.minimum(fm[k] + new_m - score[:, None], 0))[:, 1:] * weights[:, None]
+            for c in range(emit.shape[0]):
+                emit[c, k - 1] += post[codes == c].sum()
+        bm, bd = new_m, new_d
+    return emit, moves
+
+
+def train(model: Phmm, seqs: list[str], weights: np.ndarray | None = None, rounds: int = 10, method: str = "Viterbi") -> Phmm:
+    """Viterbi or Baum-Welch training until the total score stops rising, ``rounds`` times at most."""
     w = np.ones(len(seqs)) if weights is None else np.asarray(weights, float)
+    counting = {"Viterbi": count_paths, "BaumWelch": expected_counts}[method]
     last = -np.inf
     for _ in range(rounds):
-        emit, moves = count_paths(model, seqs, w)
+        emit, moves = counting(model, seqs, w)
         model = from_counts(emit, moves, np.exp(model.qe))
         total = float(forward(model, seqs) @ w)
         if total <= last + 1e-6:

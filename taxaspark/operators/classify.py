@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.sequences import seq_hash
+from ..functions.sequences import seq_hash, translate_codons
 from ..kernels.codec import decode_phmm
 from ..kernels.phmm import akaike, forward
 from .kmers import nearest
@@ -33,17 +33,23 @@ class Classifier:
     training: DataFrame
     nodes: DataFrame | None = None
     k: int = 4
+    numcode: int | None = None
+    frame: int = 0
+    remainder: int = 0
 
     def save(self, path: str) -> None:
         """One Parquet table each under ``path``."""
         for name in ("taxonomy", "key", "training", "nodes"):
             if getattr(self, name) is not None:
                 getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        meta = [(self.k, self.numcode, self.frame, self.remainder)]
+        self.key.sparkSession.createDataFrame(meta, "k int, numcode int, frame int, remainder int").write.mode("overwrite").parquet(f"{path}/meta")
 
     @staticmethod
     def load(spark, path: str, tree: bool = True) -> Classifier:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Classifier(read("taxonomy"), read("key"), read("training"), read("nodes") if tree else None)
+        meta = read("meta").first()
+        return Classifier(read("taxonomy"), read("key"), read("training"), read("nodes") if tree else None, meta["k"], meta["numcode"], meta["frame"], meta["remainder"])
 
 
 def build_key(training: DataFrame, taxonomy: DataFrame) -> DataFrame:
@@ -78,12 +84,16 @@ class _Node:
     maxlength: int
     ntotal: int
     model: bytes
+    aaleaf: bool = False
 
 
-def descend_batch(children: dict[str, list[_Node]], seqs: list[str], threshold: float, decay: bool, mincount: int, offset: float, cache: dict) -> list[tuple]:
+def descend_batch(children: dict[str, list[_Node]], seqs: list[str], threshold: float, decay: bool, mincount: int, offset: float, cache: dict, starts: list[tuple] | None = None) -> list[tuple]:
     """(taxID, score, path, weights, reason) of each sequence, level by level: all that stand at a node are scored together."""
-    state = [[1, 1.0, 1.0, "", [], 0] for _ in seqs]  # taxID, weight, product, path, weights, reason
-    front = {"": list(range(len(seqs)))}
+    # taxID, weight, product, path, weights, reason; a second pass goes on from where the first one ended.
+    state = [[1, 1.0, 1.0, "", [], 0] for _ in seqs] if starts is None else [[t, 1.0, 1.0, p, list(w), 0] for t, p, w in starts]
+    front: dict[str, list[int]] = {}
+    for r, s in enumerate(state):
+        front.setdefault(s[3], []).append(r)
     while front:
         below: dict[str, list[int]] = {}
         for clade, rows in front.items():
@@ -106,7 +116,10 @@ def descend_batch(children: dict[str, list[_Node]], seqs: list[str], threshold:
                 s[0], s[1], s[2] = kid.taxID, w, s[2] * w
                 s[3] += kid.clade[-1]
                 s[4].append(round(100 * w))
-                below.setdefault(kid.clade, []).append(r)
+                if kid.aaleaf and starts is None:
+                    s[5] = 100
+                else:
+                    below.setdefault(kid.clade, []).append(r)
         front = below
     return [(s[0], round(s[2] if decay else s[1], 4), s[3], s[4], s[5]) for s in state]
 
@@ -114,19 +127,21 @@ def descend_batch(children: dict[str, list[_Node]], seqs: list[str], threshold:
 DESCENT = "uid string, taxID int, score double, path string, weights array<int>, reason int"
 
 
-def descend(unique: DataFrame, nodes: DataFrame, threshold: float = 0.8, decay: bool = False, mincount: int = 5, offset: float = 0) -> DataFrame:
+def descend(unique: DataFrame, model: Classifier, threshold: float = 0.8, decay: bool = False, mincount: int = 5, offset: float = 0) -> DataFrame:
     """(uid, taxID, score, path, weights, reason) of (uid, seq) by descent through the tree.
 
-    The tree's packed size is checked before it is broadcast.
+    Reasons: 0 a leaf, 1 threshold, 2 score, 3 and 4 length, 6 count, 8 and 9 not translatable.
+    A tree of translated sequences takes the distinct translations first; what reaches one of
+    its ends goes on from there with the DNA itself.  The packed size is checked before the broadcast.
     """
-    spark = unique.sparkSession
+    spark, nodes = unique.sparkSession, model.nodes
     size = nodes.agg(F.coalesce(F.sum(F.octet_length("model")), F.lit(0)).alias("n")).first()["n"]
     if size > TREE_BYTES:
         raise ValueError(f"the tree has {size} bytes of models; split it by its first clades")
-    rows = nodes.where("clade <> ''").select("clade", "taxID", "minscore", "minlength", "maxlength", "ntotal", "model").collect()
+    rows = nodes.where("clade <> ''").select("clade", "taxID", "minscore", "minlength", "maxlength", "ntotal", "model", "aaleaf").collect()
     children: dict[str, list[_Node]] = {}
     for r in sorted(rows, key=lambda r: r["clade"]):
-        children.setdefault(r["clade"][:-1], []).append(_Node(r["clade"], r["taxID"], r["minscore"], r["minlength"], r["maxlength"], r["ntotal"], bytes(r["model"])))
+        children.setdefault(r["clade"][:-1], []).append(_Node(r["clade"], r["taxID"], r["minscore"], r["minlength"], r["maxlength"], r["ntotal"], bytes(r["model"]), r["aaleaf"]))
     sent = spark.sparkContext.broadcast(children)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,12 +149,22 @@ def descend(unique: DataFrame, nodes: DataFrame, threshold: float = 0.8, decay:
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
-                out = descend_batch(sent.value, part.column(1).to_pylist(), threshold, decay, mincount, offset, cache)
+                starts = list(zip(*(c.to_pylist() for c in part.columns[2:]))) if part.num_columns > 2 else None
+                out = descend_batch(sent.value, part.column(1).to_pylist(), threshold, decay, mincount, offset, cache, starts)
                 cols = list(zip(*out))
                 kinds = (pa.int32(), pa.float64(), pa.string(), pa.list_(pa.int32()), pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["uid", "taxID", "score", "path", "weights", "reason"])
 
-    return unique.select("uid", "seq").mapInArrow(run, DESCENT)
+    if model.numcode is None:
+        return unique.select("uid", "seq").mapInArrow(run, DESCENT)
+    amino = unique.select("uid", "seq", translate_codons(F.col("seq"), model.numcode, model.frame).alias("amino"))
+    reason = F.when(F.length("seq") % 3 != model.remainder, 8).when(F.contains("amino", F.lit("*")), 9)
+    failed = amino.where(reason.isNotNull()).select("uid", F.lit(1).alias("taxID"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<int>").alias("weights"), reason.alias("reason"))
+    coding = amino.where(reason.isNull()).withColumn("aa", seq_hash(F.col("amino")))
+    first = coding.select(F.col("aa").alias("uid"), F.col("amino").alias("seq")).distinct().mapInArrow(run, DESCENT).withColumnRenamed("uid", "aa")
+    both = coding.select("uid", "seq", "aa").join(first, "aa").drop("aa")
+    second = both.where("reason = 100").select("uid", "seq", "taxID", "path", "weights").mapInArrow(run, DESCENT)
+    return failed.unionByName(both.where("reason <> 100").drop("seq")).unionByName(second)
 
 
 def mask_species(rows: DataFrame, taxonomy: DataFrame, mode: str = "ping100", rank: str = "species") -> DataFrame:
@@ -163,6 +188,18 @@ def mask_species(rows: DataFrame, taxonomy: DataFrame, mode: str = "ping100", ra
     return out.withColumn("taxID", F.when(change, F.col("__up")).otherwise(F.col("taxID"))).drop("__low", "__up")
 
 
+def score_text(weights: str) -> F.Column:
+    """Percentages as one code point each."""
+    return F.array_join(F.transform(weights, lambda w: F.chr(w)), "")
+
+
+def rollup(results: DataFrame, by: str = "taxID") -> DataFrame:
+    """One row per taxon: the first row's descriptive columns and the sums of the count columns (whole numbers but ``by`` and ``ord``)."""
+    counts = [c for c, t in results.dtypes if t in ("int", "bigint") and c not in (by, "ord")]
+    rest = [c for c in results.columns if c not in (by, "ord", *counts)]
+    return results.groupBy(by).agg(*[F.min_by(c, "ord").alias(c) for c in rest], *[F.sum(c).alias(c) for c in counts])
+
+
 def classify(
     reads: DataFrame,
     model: Classifier,
@@ -174,9 +211,13 @@ def classify(
     ranks: list[str] | None = None,
     species: str = "ping100",
     tabulize: bool = False,
+    metadata: bool = False,
 ) -> DataFrame:
     """One row per read (ord, representative, taxID, taxon, rank, score, ranks...), or per unique sequence with counts per sample.
 
+    ``metadata`` adds path, scores, reason (-1 for a ping) and the nearest training sequence's
+    NNtaxID, NNtaxon, NNrank and NNdistance.
+
     Work is done once per unique sequence: hash join, neighbours for the misses, descent for
     what is still open, then lineage columns; reads are joined back at the end.
     """
@@ -187,16 +228,22 @@ def classify(
         pinged = ping(unique, model, ping_at, mincount)
     else:
         pinged = unique.select("uid", "seq", F.lit(None).cast("int").alias("taxID"), F.lit(False).alias("exact"))
-    hits = pinged.where("taxID IS NOT NULL").select("uid", "taxID", F.lit(None).cast("double").alias("score"), "exact")
+    blank = [F.lit(None).cast("string").alias("path"), F.lit(None).cast("array<int>").alias("weights")]
+    hits = pinged.where("taxID IS NOT NULL").select("uid", "taxID", F.lit(None).cast("double").alias("score"), "exact", *blank, F.lit(-1).alias("reason"))
     rest = pinged.where("taxID IS NULL")
     if model.nodes is None:
-        open_ = rest.select("uid", F.lit(1).alias("taxID"), F.lit(1.0).alias("score"), "exact")
+        open_ = rest.select("uid", F.lit(1).alias("taxID"), F.lit(1.0).alias("score"), "exact", *blank, F.lit(0).alias("reason"))
     else:
-        open_ = descend(rest, model.nodes, threshold, decay, mincount, offset).select("uid", "taxID", "score", F.lit(False).alias("exact"))
+        open_ = descend(rest, model, threshold, decay, mincount, offset).select("uid", "taxID", "score", F.lit(False).alias("exact"), "path", "weights", "reason")
     results = mask_species(hits.unionByName(open_), model.taxonomy, species, (ranks or ["species"])[-1])
     lin = levels(model.taxonomy)
     last = F.element_at("lineage", -1)
-    named = results.join(lin, "taxID", "left").select("uid", "taxID", last["name"].alias("taxon"), last["rank"].alias("rank"), "score", *[rank_of(F.col("lineage"), r).alias(r) for r in ranks])
+    named = results.join(lin, "taxID", "left").select("uid", "taxID", last["name"].alias("taxon"), last["rank"].alias("rank"), "score", *[rank_of(F.col("lineage"), r).alias(r) for r in ranks], *(["path", score_text("weights").alias("scores"), "reason"] if metadata else []))
+    if metadata:
+        near = nearest(unique.select(F.col("ord").alias("query"), "seq"), model.training.select("train", "seq"), 1, model.k)
+        taxon = near.join(model.training.select("train", F.col("taxID").alias("NNtaxID")), "train").join(lin.withColumnRenamed("taxID", "NNtaxID"), "NNtaxID", "left")
+        taxon = taxon.select(F.col("query").alias("ord"), "NNtaxID", last["name"].alias("NNtaxon"), last["rank"].alias("NNrank"), F.round("distance", 4).alias("NNdistance"))
+        named = named.join(unique.select("uid", "ord").join(taxon, "ord", "left").drop("ord"), "uid", "left")
     if tabulize:
         counts = hashed.groupBy("uid", "sample").agg(F.count(F.lit(1)).alias("n"))
         return counts.join(named, "uid")

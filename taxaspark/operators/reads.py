@@ -101,6 +101,19 @@ def join_sets(*sets: DataFrame) -> DataFrame | None:
     return reduce(DataFrame.unionByName, [s.select(*cols) for s in sets])
 
 
+def named(seqs: DataFrame) -> DataFrame:
+    """Sequences (seq, and perhaps ord) with ``ord`` and names ``S1``, ``S2`` ... where they have none."""
+    rows = seqs if "ord" in seqs.columns else seqs.withColumn("ord", F.monotonically_increasing_id())
+    return rows if "name" in rows.columns else rank_by(rows, "ord", "__n").withColumn("name", F.concat(F.lit("S"), "__n")).drop("__n")
+
+
+def from_abundance(wide: DataFrame, sample: str = "sample") -> DataFrame:
+    """Counts (sample, asv, seq, n) of a table with one column per sequence, named ``ASV1`` ... in column order."""
+    seqs = [c for c in wide.columns if c != sample]
+    cells = F.array(*(F.struct(F.lit(f"ASV{i}").alias("asv"), F.lit(c).alias("seq"), F.col(f"`{c}`").cast("bigint").alias("n")) for i, c in enumerate(seqs, 1)))
+    return wide.select(F.col(sample).alias("sample"), F.explode(cells).alias("x")).select("sample", "x.*")
+
+
 def tabulate(reads: DataFrame) -> DataFrame:
     """Counts per unique sequence and sample, in long form: uid, seq, sample, n (no zeros)."""
     return reads.groupBy(seq_hash(F.col("seq")).alias("uid"), "seq", "sample").agg(F.count(F.lit(1)).alias("n"))

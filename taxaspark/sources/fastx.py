@@ -10,6 +10,22 @@ from pyspark.sql.window import Window as W
 from ..functions.sequences import wrap
 
 
+SPAN = 1 << 20
+
+
+def running_count(lines: DataFrame, flag, name: str) -> DataFrame:
+    """Adds how many lines up to and with this one have ``flag``, by ``line_no``.
+
+    Counted within spans of lines, plus the totals of the spans before (a table of one row
+    per span), so no task sorts the whole file.
+    """
+    rows = lines.withColumn("__on", flag.cast("int")).withColumn("__span", F.floor(F.col("line_no") / SPAN))
+    totals = rows.groupBy("__span").agg(F.sum("__on").alias("__n"))
+    before = totals.select("__span", (F.sum("__n").over(W.orderBy("__span")) - F.col("__n")).alias("__before"))
+    inside = F.sum("__on").over(W.partitionBy("__span").orderBy("line_no"))
+    return rows.withColumn("__inside", inside).join(before, "__span").withColumn(name, F.col("__inside") + F.col("__before")).drop("__on", "__span", "__inside", "__before")
+
+
 def fastq_records(lines: DataFrame, legacy: bool = False) -> DataFrame:
     """ord, name, seq, qual of (line_no, line) rows of one file, line_no from 0.
 
@@ -18,8 +34,7 @@ def fastq_records(lines: DataFrame, legacy: bool = False) -> DataFrame:
     (as where a quality begins with ``@``).
     """
     if legacy:
-        group = F.sum(F.col("line").startswith("@").cast("int")).over(W.orderBy("line_no"))
-        rows = lines.where("line <> ''").withColumn("g", group)
+        rows = running_count(lines.where("line <> ''"), F.col("line").startswith("@"), "g")
         rows = rows.withColumn("pos", F.row_number().over(W.partitionBy("g").orderBy("line_no")) - 1)
     else:
         rows = lines.select(F.floor(F.col("line_no") / 4).alias("g"), (F.col("line_no") % 4).alias("pos"), "line", "line_no")
@@ -28,10 +43,9 @@ def fastq_records(lines: DataFrame, legacy: bool = False) -> DataFrame:
     return out.where((F.col("n") == 4) & F.col("name").startswith("@")).select(F.col("g").cast("bigint").alias("ord"), F.substring("name", 2, 1 << 30).alias("name"), "seq", "qual")
 
 
-def fasta_records(lines: DataFrame, legacy: bool = True) -> DataFrame:
+def fasta_records(lines: DataFrame) -> DataFrame:
     """ord, name, seq of (line_no, line) rows: lines after a header are joined, upper-cased, ``.`` read as ``-``."""
-    group = F.sum(F.col("line").startswith(">").cast("int")).over(W.orderBy("line_no"))
-    rows = lines.withColumn("g", group).where("g > 0")
+    rows = running_count(lines, F.col("line").startswith(">"), "g").where("g > 0")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~F.col("line").startswith(">"), F.struct("line_no", "line")))), lambda x: x["line"]), "")
     out = rows.groupBy("g").agg(F.max(F.when(F.col("line").startswith(">"), F.substring("line", 2, 1 << 30))).alias("name"), body.alias("seq"))
     return out.select(F.col("g").cast("bigint").alias("ord"), "name", F.replace(F.upper("seq"), F.lit("."), F.lit("-")).alias("seq"))

@@ -115,3 +115,36 @@ def test_codec_keeps_values_to_three_digits():
 def test_akaike_weights_sum_to_one():
     w = P.akaike(np.array([[-1000.0, -1001.0, -1e6]]))
     assert w.sum() == pytest.approx(1) and w[0, 0] > w[0, 1] > w[0, 2]
+
+
+def test_expected_counts_are_averages_over_all_paths():
+    rng = np.random.default_rng(4)
+    m = P.from_counts(rng.random((4, 2)) * 5, rng.random((9, 3)) * 5, np.full(4, 0.25))
+    seq = "ACG"
+    codes = [P.DNA.index(c) for c in seq]
+    emit, moves, total = np.zeros_like(m.e), np.zeros_like(m.a), 0.0
+
+    def go(state, k, j, score, used, said):
+        nonlocal total
+        into = {"M": (P.MM, P.MI, P.MD), "I": (P.IM, P.II, P.ID), "D": (P.DM, P.DI, P.DD)}[state]
+        if k == m.size and j == len(codes):
+            p = np.exp(score + m.a[into[0], k])
+            total += p
+            for move, at in [*used, (into[0], k)]:
+                moves[move, at] += p
+            for c, at in said:
+                emit[c, at] += p
+        if k < m.size:
+            if j < len(codes):
+                go("M", k + 1, j + 1, score + m.a[into[0], k] + m.e[codes[j], k], [*used, (into[0], k)], [*said, (codes[j], k)])
+            go("D", k + 1, j, score + m.a[into[2], k], [*used, (into[2], k)], said)
+        if j < len(codes):
+            go("I", k, j + 1, score + m.a[into[1], k] + m.qe[codes[j]], [*used, (into[1], k)], said)
+
+    go("M", 0, 0, 0.0, [], [])
+    got_emit, got_moves = P.expected_counts(m, [seq], np.ones(1))
+    assert got_emit == pytest.approx(emit / total, abs=1e-6) and got_moves == pytest.approx(moves / total, abs=1e-6)
+    seqs = ["ACGTAC", "ACGTTC", "ACTTAC"]
+    before = P.derive(seqs, rounds=1)
+    # Pseudo-counts pull the maximum away a little.
+    assert P.forward(P.train(before, seqs, method="BaumWelch", rounds=5), seqs).sum() >= P.forward(before, seqs).sum() - 0.1

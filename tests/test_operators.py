@@ -231,3 +231,51 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r.seq for r in spark.table("clean_reads").collect()] == ["ACGT" * 20]
+
+
+def test_rollup_matches_the_published_table(spark):
+    # taxID, score and counts of a published 16-row table's repeated taxa.
+    rows = [(1, 2806, 0.9981, 156, 5600), (2, 2806, 0.99, 28, 3267), (3, 2806, 0.99, 20, 2409), (4, 2806, 0.99, 0, 2149), (5, 2806, 0.99, 0, 1725), (6, 39820, 0.9, 2379, 0), (7, 39820, 0.9, 1481, 0), (8, 131567, 0.9, 3024, 0), (9, 131567, 0.9, 1729, 9)]
+    got = {r.taxID: (r.score, r.a, r.b) for r in C.rollup(spark.createDataFrame(rows, "ord bigint, taxID int, score double, a int, b int")).collect()}
+    assert got == {2806: (0.9981, 204, 15150), 39820: (0.9, 3860, 0), 131567: (0.9, 4753, 9)}
+
+
+def test_names_and_abundance(spark):
+    got = R.named(spark.createDataFrame([(5, "A"), (2, "C")], "ord bigint, seq string")).collect()
+    assert {r.seq: r.name for r in got} == {"C": "S1", "A": "S2"}
+    wide = spark.createDataFrame([("x", 1, 0), ("y", 2, 3)], "sample string, ACGT int, GGTT int")
+    assert sorted(tuple(r) for r in R.from_abundance(wide).collect()) == [("x", "ASV1", "ACGT", 1), ("x", "ASV2", "GGTT", 0), ("y", "ASV1", "ACGT", 2), ("y", "ASV2", "GGTT", 3)]
+
+
+def test_translated_tree_and_metadata(spark, taxa, tmp_path):
+    rng = np.random.default_rng(8)
+    codons = [c for c in (a + b + d for a in "ACGT" for b in "ACGT" for d in "ACGT") if c not in ("TAA", "TAG", "TGA")]
+    rows = []
+    for tax in (4, 5, 7):
+        base = list(rng.choice(codons, 25))
+        for k in range(6):
+            s = list(base)
+            s[k] = str(rng.choice(codons))
+            rows.append((len(rows), "".join(s), tax))
+    training = spark.createDataFrame(rows, "train bigint, seq string, taxID int")
+    L.learn(training, taxa, max_waves=3, numcode=1).save(f"{tmp_path}/model")
+    model = C.Classifier.load(spark, f"{tmp_path}/model")
+    assert model.numcode == 1 and model.nodes.where("aaleaf").count() >= 2
+    asked = reads(spark, [(0, "q_1", rows[0][1], "", "s"), (1, "q_2", rows[0][1][:-1], "", "s"), (2, "q_3", "TAA" + rows[0][1][3:], "", "s")])
+    got = {r.ord: r for r in C.classify(asked, model, ping_at=0.0, mincount=1, offset=-20, species="all", metadata=True).collect()}
+    assert (got[1].reason, got[1].score, got[2].reason) == (8, None, 9)
+    assert got[0].reason in (0, 1, 2, 3, 4) and got[0].genus in ("", "Aus") and got[0].NNtaxID == 4 and got[0].NNdistance == 0 and len(got[0].scores) == len(got[0].path)
+
+
+def test_sql_functions(spark):
+    from taxaspark.functions.register import register
+    from taxaspark.kernels import codec, phmm
+
+    names = register(spark)
+    assert {"dna_rc", "kmers", "align_motif"} <= set(names)
+    r = spark.sql("SELECT dna_rc('TATTG') a, dna_regex('GGW') b, phred_mean('!I') c, n_share('ANNA') d, kmers('ACGNT', 2) e, ambiguous('ACGN') f, last_taxon('a; b') g, align_motif('ACGT', 'TTACGTTT') h").first()
+    assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g) == ("CAATA", "GG[AT]", 20.0, 0.5, ["AC", "CG"], 1, "b") and (r.h.first, r.h.last, r.h.score) == (3, 6, 20.0)
+    m = phmm.derive(["ACGTAC", "ACGTAC"])
+    packed = bytearray(codec.encode_phmm(m))
+    got = spark.createDataFrame([(packed, "ACGTAC")], "m binary, s string").selectExpr("phmm_forward(m, s) AS x").first().x
+    assert got == pytest.approx(phmm.forward(codec.decode_phmm(bytes(packed)), ["ACGTAC"])[0])
