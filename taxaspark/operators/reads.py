@@ -168,11 +168,13 @@ def overlap_start(r1: Column, r2: Column, seed: int = 16) -> Column:
     would start before r1, or if there is none.
     """
     n = F.length(r2) - seed + 1
+    times = lambda k: (F.length(r1) - F.length(F.replace(r1, k, F.lit("")))) / seed
+    first = F.substring(r2, 1, seed)  # decides nearly always, so the search below is rarely run
     runs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.struct(i.alias("i"), F.substring(r2, i, F.lit(seed)).alias("k")))
-    once = F.filter(runs, lambda s: (F.length(s["k"]) == seed) & (F.length(r1) - F.length(F.replace(r1, s["k"], F.lit(""))) == seed))
+    once = F.filter(runs, lambda s: (F.length(s["k"]) == seed) & (times(s["k"]) == 1))
     hit = F.get(once, F.lit(0))
     start = F.instr(r1, hit["k"]) - hit["i"] + 1
-    return F.when((n > 0) & (start > 0), start)
+    return F.when((n > 0) & (times(first) == 1), F.instr(r1, first)).when((n > 0) & (start > 0), start)
 
 
 def stitch(pairs: DataFrame, up: str | None = None, down: str | None = None, min_diff: int = 6, seed: int = 16) -> DataFrame:
