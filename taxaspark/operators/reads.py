@@ -147,6 +147,17 @@ def trim(reads: DataFrame, up: str, down: str | None = None, min_kept: int = 51)
     return located.withColumn("seq", cut(F.col("seq"))).withColumn("qual", cut(F.col("qual"))).drop("__start", "__size")
 
 
+def pair_mates(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Mates (ord, name, r1, q1, r2, q2, names_agree) of two read sets in the same order.
+
+    Names agree if they are as long as each other and differ in two characters at most.
+    """
+    other = second.select("ord", F.col("name").alias("__name"), F.col("seq").alias("r2"), F.col("qual").alias("q2"))
+    unlike = F.size(F.filter(F.zip_with(F.split("name", ""), F.split("__name", ""), lambda a, b: a != b), lambda x: x))
+    both = first.select("ord", "name", F.col("seq").alias("r1"), F.col("qual").alias("q1")).join(other, "ord")
+    return both.withColumn("names_agree", (F.length("name") == F.length("__name")) & (unlike <= 2)).drop("__name")
+
+
 def locate_primers(pairs: DataFrame, up: str, down: str) -> DataFrame:
     """Pairs with each primer once, R1 beginning after ``up`` and R2 after ``down``; swapped pairs are put right."""
     u, d = disambiguate(up), disambiguate(down)

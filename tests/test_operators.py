@@ -279,3 +279,24 @@ def test_sql_functions(spark):
     packed = bytearray(codec.encode_phmm(m))
     got = spark.createDataFrame([(packed, "ACGTAC")], "m binary, s string").selectExpr("phmm_forward(m, s) AS x").first().x
     assert got == pytest.approx(phmm.forward(codec.decode_phmm(bytes(packed)), ["ACGTAC"])[0])
+
+
+def test_mates_and_the_asv_chain(spark):
+    from taxaspark.plans.pipelines import classify_samples, paired_reads_to_asvs, reference_classifier
+
+    rng = np.random.default_rng(9)
+    inner = "".join(rng.choice(list("ACGT"), 70))
+    up, down = "GGAACAGGAACCTTGG", "CCTTCCTTGGAACCAA"
+    whole = "CGGTTGGGGTGA" + inner + S.rc("TTGACCTTAACC")
+    rows = [(i, f"m{i}/1", "ACAC" + up + whole, "I" * 114) for i in range(4)]
+    mates = [(i, f"m{i}/2", "GTGT" + down + S.rc(whole), "I" * 114) for i in range(4)]
+    fix = lambda rs: spark.createDataFrame([(o, n, s, q[: len(s)]) for o, n, s, q in rs], "ord bigint, name string, seq string, qual string")
+    pairs = R.pair_mates(fix(rows), fix(mates))
+    assert all(r.names_agree for r in pairs.collect())
+    counts = paired_reads_to_asvs(pairs, {"one": "ACAC:GTGT"}, up, down, "CGGTTGGGGTGA", "TTGACCTTAACC")
+    assert [(r.seq, r["sample"], r.n) for r in counts.collect()] == [(inner, "one", 4)]
+    taxa = spark.createDataFrame(TAXA, "taxID int, parent_taxID int, rank string, name string")
+    refs = spark.createDataFrame([(k, f"A{k}|4", "TT" + up + inner[: 60 + k] + S.rc(down) + "AA", 4, 1) for k in (9, 10)], "ord bigint, name string, seq string, tax_id int, otu bigint")
+    model = reference_classifier(refs, taxa, up, down, "genus")
+    got = classify_samples(counts, model).collect()
+    assert [(r["sample"], r.n, r.taxon) for r in got] == [("one", 4, "Aus aus")]
