@@ -219,30 +219,48 @@ def overlap(part: np.ndarray, have: dict[int, np.ndarray]) -> float:
 SCHEMA = "doc_id bigint, item_id bigint, first_word bigint, bm25 double, question_overlap double, answer_overlap double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document and test item it contains; see SCHEMA."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame) -> Iterator:
+    """Broadcast indexes of the test items, in shards of bounded size."""
+    spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
-    shards, found = max(1, -(-size // SHARD_BYTES)), []
+    shards = max(1, -(-size // SHARD_BYTES))
     for k in range(shards):
         mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
-        index = spark.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in mine)))
+        yield spark.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in mine)))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """One row per document and test item it contains; see SCHEMA."""
+    found = []
+    for index in indexes(benchmark):
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             for batch in batches:
                 ids = batch.column(0)
                 for a, b, h, rows in T.text_words(batch.column(1), T.ALNUM):
                     out = match_texts(index.value, h, rows, b - a)
                     if out:
                         at, *rest = zip(*out)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + i for i in at])), *(pa.array(x, kind) for x, kind in zip(rest, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + i for i in at])), *(pa.array(x, kind) for x, kind in zip(rest, kinds))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
         found.append(docs.select("doc_id", "text").mapInArrow(run, SCHEMA))
     return reduce(DataFrame.unionByName, found)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that contain no test item, all columns as they were."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["__bad"], "left_anti")
+    """The rows of ``docs`` that contain no test item, all columns as they were (each row is judged where it is read)."""
+    schema = docs.schema
+    at_text = schema.names.index("text")
+    for index in indexes(benchmark):
+
+        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                for a, b, h, rows in T.text_words(batch.column(at_text), T.ALNUM):
+                    clean[[a + x[0] for x in match_texts(index.value, h, rows, b - a)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs
