@@ -76,5 +76,7 @@ class DigestIndex:
 
 def keep_first(docs: DataFrame, index: DigestIndex, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose text is new, all columns as they were."""
-    kept = index.add(docs, text, doc_id).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(kept, docs[doc_id].eqNullSafe(kept["__keep"]), "left_semi")
+    gone = index.add(docs, text, doc_id).where("NOT kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__gone")).distinct()
+    # Dropped rows are few beside kept ones; both id and digest tell them, so ids may repeat or be null.
+    marked = docs.withColumn("__digest", digest(F.col(f"`{text}`")))
+    return marked.join(gone, (marked["__digest"] == gone["__gone"]) & marked[doc_id].eqNullSafe(gone["__id"]), "left_anti").drop("__digest")

@@ -207,23 +207,24 @@ def equivalence_classes(pages: list[Page]) -> list[tuple[tuple[int, ...], list[s
     # Most supported first; a class is kept if in every page it nests with each kept class.
     valid.sort(key=lambda x: (-sum(1 for n in x[0] if n), sum(x[0]), x[1]))
     kept: list[tuple[tuple[int, ...], list[str]]] = []
-    for v, order in valid[:200]:
-        def nests(other: tuple[tuple[int, ...], list[str]]) -> bool:
-            for i in range(len(pages)):
-                if not v[i] or not other[0][i]:
-                    continue
-                lo, hi = first[i][order[0]], last[i][order[-1]]
-                at = [first[i][t] for t in other[1]]
-                inside = [lo < k < hi for k in at]
-                if any(inside) and not all(inside) and any(other_lo < lo < other_hi for other_lo, other_hi in zip(at, at[1:])) is False and at[0] > lo:
-                    return False
-            return True
-
-        if all(nests(k) for k in kept):
+    for v, order in valid:
+        if all(_nested(v, order, *k, first, last) for k in kept):
             kept.append((v, order))
     return kept
 
 
+def _nested(v: tuple, order: list[str], w: tuple, other: list[str], first: list[dict], last: list[dict]) -> bool:
+    """Whether in every page two classes stand apart or one lies between tokens of the other."""
+    for i, (n, m) in enumerate(zip(v, w)):
+        if not n or not m:
+            continue
+        a, b = (first[i][order[0]], last[i][order[-1]]), (first[i][other[0]], last[i][other[-1]])
+        crossing = a[0] < b[0] < a[1] < b[1] or b[0] < a[0] < b[1] < a[1]
+        if crossing:
+            return False
+    return True
+
+
 def article_path(pages: list[Page]) -> str | None:
     """The template element whose slots hold the article."""
     classes = equivalence_classes(pages)

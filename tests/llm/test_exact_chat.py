@@ -42,6 +42,8 @@ def test_keep_first_keeps_columns_and_empty_tables_work(spark, docs):
     kept = keep_first(docs(ROWS), DigestIndex(spark))
     assert kept.columns == docs(ROWS).columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([3, 8, 8, 1, 2, 4], key=str)
+    twice = docs([(5, "one", "x"), (5, "two", "x"), (3, "two", "x"), (None, "one", "x"), (None, "three", "x")])
+    assert sorted((str(r.doc_id), r.text) for r in keep_first(twice, DigestIndex(spark)).collect()) == [("3", "two"), ("5", "one"), ("None", "three")]
     assert DigestIndex(spark).add(docs([])).count() == 0
 
 
