@@ -32,6 +32,7 @@ class Classifier:
     key: DataFrame
     training: DataFrame
     nodes: DataFrame | None = None
+    members: DataFrame | None = None
     k: int = 4
     numcode: int | None = None
     frame: int = 0
@@ -39,7 +40,7 @@ class Classifier:
 
     def save(self, path: str) -> None:
         """One Parquet table each under ``path``."""
-        for name in ("taxonomy", "key", "training", "nodes"):
+        for name in ("taxonomy", "key", "training", "nodes", "members"):
             if getattr(self, name) is not None:
                 getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
         meta = [(self.k, self.numcode, self.frame, self.remainder)]
@@ -49,7 +50,7 @@ class Classifier:
     def load(spark, path: str, tree: bool = True) -> Classifier:
         read = lambda name: spark.read.parquet(f"{path}/{name}")
         meta = read("meta").first()
-        return Classifier(read("taxonomy"), read("key"), read("training"), read("nodes") if tree else None, meta["k"], meta["numcode"], meta["frame"], meta["remainder"])
+        return Classifier(read("taxonomy"), read("key"), read("training"), read("nodes") if tree else None, read("members") if tree else None, meta["k"], meta["numcode"], meta["frame"], meta["remainder"])
 
 
 def build_key(training: DataFrame, taxonomy: DataFrame) -> DataFrame:

@@ -152,3 +152,10 @@ def write_samples(reads: DataFrame, path: str) -> None:
     """One folder of FASTQ files per ``sample_id`` (the demultiplexer's sink)."""
     text = reads.select("sample_id", F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), "qual").alias("value"))
     text.write.mode("append").partitionBy("sample_id").text(path)
+
+
+def write_pair_samples(pairs: DataFrame, path: str) -> None:
+    """One folder of FASTQ files per ``sample_id`` and mate (R1, R2)."""
+    record = lambda seq, qual: F.concat_ws("\n", F.concat(F.lit("@"), "name"), seq, F.lit("+"), qual)
+    mates = F.array(F.struct(F.lit("R1").alias("mate"), record("r1", "q1").alias("value")), F.struct(F.lit("R2").alias("mate"), record("r2", "q2").alias("value")))
+    pairs.select("sample_id", F.explode(mates).alias("m")).select("sample_id", "m.mate", "m.value").write.mode("append").partitionBy("sample_id", "mate").text(path)

@@ -162,6 +162,9 @@ def test_learned_tree_classifies_left_out_sequences(spark, taxa):
     assert exact.taxID == 4 and exact.score is None and exact.taxon == "Aus aus"
     with pytest.raises(ValueError):
         L.expand(model, ["99"])
+    short = L.learn(training, taxa, recursive=False)
+    grown = L.expand(short, [""], max_waves=4)
+    assert {r.clade for r in short.nodes.collect()} <= {r.clade for r in grown.nodes.collect()} and grown.members.count() == short.members.count()
 
 
 def test_species_are_masked_without_an_exact_hit(spark, taxa):
@@ -194,6 +197,12 @@ def test_files_round_trip(spark, tmp_path):
     assert [r.name for r in fastx.fastq_records(lines, legacy=True).collect()] == ["b"]
 
 
+def test_demultiplexed_files(spark, tmp_path):
+    pairs = spark.createDataFrame([("a", "n1", "AC", "II", "GT", "JJ"), ("b", "n2", "CC", "II", "GG", "JJ")], "sample_id string, name string, r1 string, q1 string, r2 string, q2 string")
+    fastx.write_pair_samples(pairs, f"{tmp_path}/out")
+    assert open(glob.glob(f"{tmp_path}/out/sample_id=a/mate=R2/part-*")[0]).read() == "@n1\nGT\n+\nJJ\n"
+
+
 def test_dumps_and_xml(spark, tmp_path):
     (tmp_path / "nodes.dmp").write_text("1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\tgenus\t|\n")
     (tmp_path / "names.dmp").write_text("1\t|\troot\t|\t\t|\tscientific name\t|\n2\t|\tAus\t|\t\t|\tscientific name\t|\n2\t|\tOld\t|\t\t|\tsynonym\t|\n")
