@@ -6,6 +6,7 @@ decides first occurrences and ties.  Everything is built from column expressions
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,8 @@ def quality_filter(
 ) -> DataFrame:
     """Reads that pass length, quality and ambiguity limits and then occur ``min_count`` times among the survivors.
 
-    A limit of None is not applied.  The count is an aggregation joined back, so a sequence
-    that makes up much of the input is combined before the shuffle instead of sorted in one window.
+    A limit of None is not applied.  Counts come back by :func:`by_group`, so a sequence that
+    makes up much of the input is neither sorted in one window nor joined in one task.
     """
     out = reads
     if min_length is not None:
@@ -39,8 +40,20 @@ def quality_filter(
         out = out.where(ambiguous_count(F.col("seq")) <= max_ambigs)
     if min_count is None or min_count <= 1:
         return out
-    often = out.groupBy("seq").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= min_count).select("seq")
-    return out.join(often, "seq", "left_semi")
+    return by_group(out, lambda groups: groups.where(F.col("__n") >= min_count)).select(*reads.columns)
+
+
+def by_group(rows: DataFrame, change: Callable[[DataFrame], DataFrame] = lambda groups: groups, salts: int = 32) -> DataFrame:
+    """The rows with ``__n`` and ``__first``, the size and first ord of their sequence's group.
+
+    ``change`` may filter or extend the groups (one row per sequence).  Rows are dealt by
+    sequence and salt, and a group only comes to the salts it has, so no group meets in one task.
+    """
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int"))
+    part = salted.groupBy("seq", "__salt").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("low"))
+    groups = part.groupBy("seq").agg(F.sum("n").alias("__n"), F.min("low").alias("__first"), F.collect_set("__salt").alias("__salts"))
+    held = change(groups).withColumn("__salt", F.explode("__salts")).drop("__salts")
+    return salted.join(held, ["seq", "__salt"]).drop("__salt")
 
 
 def subset(rows: DataFrame, keep: Column) -> DataFrame:
@@ -57,10 +70,8 @@ def first_occurrences(reads: DataFrame) -> DataFrame:
 
 def pointers(reads: DataFrame) -> DataFrame:
     """The rows with ``pointer``, the rank of their sequence by first occurrence, and ``duplicated``."""
-    first = reads.groupBy("seq").agg(F.min("ord").alias("first_ord"))
-    # Ranks are global: counts per range of first_ord, then positions within each range.
-    numbered = rank_by(first, "first_ord", "pointer")
-    return reads.join(numbered, "seq").withColumn("duplicated", F.col("ord") != F.col("first_ord"))
+    out = by_group(reads, lambda groups: rank_by(groups, "__first", "pointer"))
+    return out.withColumn("duplicated", F.col("ord") != F.col("__first")).drop("__n", "__first")
 
 
 def rank_by(rows: DataFrame, key: str, name: str, buckets: int = 64) -> DataFrame:
