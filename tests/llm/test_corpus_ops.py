@@ -185,6 +185,11 @@ def test_chains_are_collinear_and_best():
         assert S.chain(x, y)[0][-1] in [i for i in range(12) if best[i] >= max(best) - S.SEED]
 
 
+def test_good_runs_cover_what_is_worth_it():
+    assert S.good_runs([3, -1, 2]) == [(0, 3)] and S.good_runs([]) == [] and S.good_runs([-1, -2]) == []
+    assert sorted(S.good_runs([5, 5, -50, 4, -1, 4, -30])) == [(0, 2), (3, 6)]
+
+
 def test_equal_words_is_the_longest_common_subsequence():
     assert S.equal_words([1, 2, 3, 4], [1, 9, 3, 4]) == 3 and S.equal_words([1, 2, 3, 4, 5], [2, 3, 9, 5]) == 3 and S.equal_words([], [1]) == 0
 
