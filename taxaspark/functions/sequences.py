@@ -77,9 +77,14 @@ def seq_hash(seq: Column) -> Column:
     return F.md5(seq.cast("binary"))
 
 
+def letters(text: Column) -> Column:
+    """The characters of a string; none of an empty one."""
+    return F.when(F.length(text) > 0, F.split(text, "")).otherwise(F.array().cast("array<string>"))
+
+
 def phred(qual: Column) -> Column:
     """Phred scores (0 to 93) of a quality string."""
-    return F.transform(F.filter(F.split(qual, ""), lambda c: c != ""), lambda c: F.ascii(c) - 33)
+    return F.transform(letters(qual), lambda c: F.ascii(c) - 33)
 
 
 def from_phred(scores: Column) -> Column:
@@ -88,8 +93,10 @@ def from_phred(scores: Column) -> Column:
 
 
 def mean_phred(qual: Column) -> Column:
-    scores = phred(qual)
-    return F.aggregate(scores, F.lit(0), lambda a, x: a + x).cast("double") / F.size(scores)
+    """Mean score, from the sum of the codes; null for an empty string."""
+    n = F.length(qual)
+    total = F.aggregate(F.split(qual, ""), F.lit(0), lambda a, c: a + F.ascii(c))
+    return F.when(n > 0, (total - 33 * n).cast("double") / n)
 
 
 def ambiguous_count(seq: Column) -> Column:
@@ -159,7 +166,8 @@ def kmers(seq: Column, k: int) -> Column:
     """All runs of k residues, in order, that hold only A, C, G, T."""
     n = F.length(seq) - k + 1
     all_ = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.substring(seq, i, F.lit(k)))
-    return F.when(n > 0, F.filter(all_, lambda x: x.rlike(f"^[ACGT]{{{k}}}$"))).otherwise(F.array().cast("array<string>"))
+    plain = seq.rlike("^[ACGT]*$")  # most sequences need no check of each run
+    return F.when((n > 0) & plain, all_).when(n > 0, F.filter(all_, lambda x: x.rlike(f"^[ACGT]{{{k}}}$"))).otherwise(F.array().cast("array<string>"))
 
 
 def common_prefix(lineages: Column) -> Column:

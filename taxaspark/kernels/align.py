@@ -38,41 +38,47 @@ def semiglobal(motif: str, seqs: list[str]) -> dict[str, np.ndarray]:
     the sequence's start and end.
     """
     codes, n = encode(seqs)
-    m, (count, width) = len(motif), codes.shape
+    codes = np.ascontiguousarray(codes.T)  # one row per position, so a cell of all sequences is contiguous
+    m, (width, count) = len(motif), codes.shape
     mask = _MASK[np.frombuffer(motif.encode(), np.uint8)]
     low = -1e9
     # Row i holds the best alignments that end at motif residue i; start is where they began:
     # j >= 0 for sequence residues skipped, -i for motif residues that overhang.
-    h = np.zeros((count, width + 1))
-    start = np.tile(np.arange(width + 1), (count, 1))
-    up, up_start = np.full((count, width + 1), low), np.zeros((count, width + 1), np.int64)
-    rows = np.arange(count)
-    best, best_start = np.full(count, low), np.zeros(count, np.int64)
+    h = np.zeros((width + 1, count))
+    start = np.tile(np.arange(width + 1, dtype=np.int32)[:, None], (1, count))
+    up, up_start = np.full((width + 1, count), low), np.zeros((width + 1, count), np.int32)
+    cols = np.arange(count)
+    best, best_start = np.full(count, low), np.zeros(count, np.int32)
     best_last, best_tail = np.zeros(count, np.int64), np.zeros(count, np.int64)
     for i in range(1, m + 1):
-        pair = SCORE[mask[i - 1]][codes]
         open_up, more_up = h - GAP_OPEN, up - GAP_EXTEND
-        new_up = np.maximum(open_up, more_up)
-        new_up_start = np.where(open_up >= more_up, start, up_start)
+        up = np.maximum(open_up, more_up)
+        up_start = np.where(open_up >= more_up, start, up_start)
+        # All but the gap in the motif is known from the row before.
+        diagonal = h[:-1] + SCORE[mask[i - 1]][codes]
+        vertical = up[1:] > diagonal
         new, new_start = np.empty_like(h), np.empty_like(start)
-        new[:, 0], new_start[:, 0] = 0.0, -i
-        left, left_start = np.full(count, low), np.zeros(count, np.int64)
+        new[0], new_start[0] = 0.0, -i
+        new[1:], new_start[1:] = np.where(vertical, up[1:], diagonal), np.where(vertical, up_start[1:], start[:-1])
+        left, left_start = np.full(count, low), np.zeros(count, np.int32)
         for j in range(1, width + 1):
-            diagonal = h[:, j - 1] + pair[:, j - 1]
-            a, b = new[:, j - 1] - GAP_OPEN, left - GAP_EXTEND
-            left_start = np.where(a >= b, new_start[:, j - 1], left_start)
-            left = np.maximum(a, b)
-            cell = np.maximum(np.maximum(diagonal, left), new_up[:, j])
-            new[:, j] = cell
-            new_start[:, j] = np.where(cell == diagonal, start[:, j - 1], np.where(cell == new_up[:, j], new_up_start[:, j], left_start))
-        h, start, up, up_start = new, new_start, new_up, new_up_start
-        end = h[rows, n]  # the sequence is used up; the rest of the motif overhangs
+            a = new[j - 1] - GAP_OPEN
+            left -= GAP_EXTEND
+            fresh = a >= left
+            np.copyto(left, a, where=fresh)
+            np.copyto(left_start, new_start[j - 1], where=fresh)
+            across = left > new[j]
+            if across.any():
+                np.copyto(new[j], left, where=across)
+                np.copyto(new_start[j], left_start, where=across)
+        h, start = new, new_start
+        end = h[n, cols]  # the sequence is used up; the rest of the motif overhangs
         better = end > best
-        best, best_start = np.where(better, end, best), np.where(better, start[rows, n], best_start)
+        best, best_start = np.where(better, end, best), np.where(better, start[n, cols], best_start)
         best_last, best_tail = np.where(better, n, best_last), np.where(better, m - i, best_tail)
-    inside = np.where(np.arange(width + 1)[None] <= n[:, None], h, low)
-    at = inside.argmax(axis=1)
-    better = inside[rows, at] > best
-    best, best_start = np.where(better, inside[rows, at], best), np.where(better, start[rows, at], best_start)
+    inside = np.where(np.arange(width + 1)[:, None] <= n[None], h, low)
+    at = inside.argmax(axis=0)
+    better = inside[at, cols] > best
+    best, best_start = np.where(better, inside[at, cols], best), np.where(better, start[at, cols], best_start)
     best_last, best_tail = np.where(better, at, best_last), np.where(better, 0, best_tail)
     return {"score": best, "first": np.maximum(best_start, 0) + 1, "last": best_last, "head": np.maximum(-best_start, 0), "tail": best_tail}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.sequences import ambiguous_count, disambiguate, mean_phred, phred, rc, reverse_complement, seq_hash
+from ..functions.sequences import ambiguous_count, disambiguate, letters, mean_phred, rc, reverse_complement, seq_hash
 
 
 def quality_filter(
@@ -209,16 +209,15 @@ def stitch(pairs: DataFrame, up: str | None = None, down: str | None = None, min
     rows = rows.select("ord", "r1", "q1", reverse_complement(F.col("r2")).alias("y"), F.reverse("q2").alias("qy"))
     rows = rows.withColumn("at", overlap_start(F.col("r1"), F.col("y"), seed)).where("at IS NOT NULL")
     rows = rows.withColumn("n", F.length("r1") - F.col("at") + 1).where(F.col("n") <= F.length("y"))
-    letters = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
-    a, b = letters(F.substring("r1", F.col("at"), F.col("n"))), letters(F.substring("y", F.lit(1), F.col("n")))
-    p, q = phred(F.substring("q1", F.col("at"), F.col("n"))), phred(F.substring("qy", F.lit(1), F.col("n")))
+    over1, over2 = F.substring("r1", F.col("at"), F.col("n")), F.substring("y", F.lit(1), F.col("n"))
+    q1, q2 = letters(F.substring("q1", F.col("at"), F.col("n"))), letters(F.substring("qy", F.lit(1), F.col("n")))
 
     def base(z: Column) -> Column:
-        return F.when(z["a"] == z["b"], z["a"]).when(F.abs(z["p"] - z["q"]) < min_diff, F.lit("N")).when(z["p"] < z["q"], z["b"]).otherwise(z["a"])
+        return F.when(z["a"] == z["b"], z["a"]).when(F.abs(F.ascii(z["p"]) - F.ascii(z["q"])) < min_diff, F.lit("N")).when(z["p"] < z["q"], z["b"]).otherwise(z["a"])
 
-    zipped = F.arrays_zip(a.alias("a"), b.alias("b"), p.alias("p"), q.alias("q"))
-    middle = F.array_join(F.transform(zipped, base), "")
-    better = F.array_join(F.transform(zipped, lambda z: F.chr(F.greatest(z["p"], z["q"]) + 33)), "")
+    zipped = F.arrays_zip(letters(over1).alias("a"), letters(over2).alias("b"), q1.alias("p"), q2.alias("q"))
+    middle = F.when(over1 == over2, over1).otherwise(F.array_join(F.transform(zipped, base), ""))
+    better = F.array_join(F.zip_with(q1, q2, lambda p, q: F.greatest(p, q)), "")  # codes order as scores do
     ends = lambda x, mid, y: F.concat(F.substring(x, F.lit(1), F.col("at") - 1), mid, F.substring(y, F.col("n") + 1, F.lit(1 << 30)))
     return rows.select("ord", ends(F.col("r1"), middle, F.col("y")).alias("seq"), ends(F.col("q1"), better, F.col("qy")).alias("qual"))
 

@@ -25,9 +25,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a scan over all cores, if its files give fewer tasks than there are (never so at scale)."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() > cores else df.repartition(cores)
+
+
 def reads(spark: SparkSession, sf_dir: str, bases: str = BASES) -> DataFrame:
     """ord, name, sample, seq, qual."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     letters = docs.select("doc_id", "source", F.lower(F.regexp_replace("text", "[^A-Za-z]", "")).alias("l"))
     pieces = letters.select("doc_id", "source", F.posexplode(F.regexp_extract_all("l", F.lit(f".{{1,{LENGTH}}}"), F.lit(0))).alias("piece", "p"))
     return pieces.select(
