@@ -444,7 +444,7 @@ _KNN = """
 train_reads AS (SELECT ord, seq, length(seq) AS l FROM reads WHERE length(seq) = 120),
 km AS (SELECT ord, kmer, count(*) AS n FROM (SELECT ord, unnest(list_transform(range(1, l - 2), lambda i: substr(seq, CAST(i AS BIGINT), 4))) AS kmer FROM train_reads) GROUP BY ALL),
 t AS (SELECT ord, kmer, least(n, 15) / 117.0::DOUBLE AS f FROM km),
-q AS (SELECT ord, kmer, n / 117.0::DOUBLE AS f FROM km WHERE ord % 100 = 0 AND (ord // 1000000) % 100 = 0),
+q AS (SELECT ord, kmer, n / 117.0::DOUBLE AS f FROM km WHERE ord % 100 = 0),
 tn AS (SELECT ord, sum(f * f) AS s FROM t GROUP BY ord),
 qn AS (SELECT ord, sum(f * f) AS s FROM q GROUP BY ord),
 dots AS (SELECT q.ord AS query, t.ord AS train, sum(q.f * t.f) AS d FROM q JOIN t USING (kmer) GROUP BY ALL),
@@ -455,8 +455,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, tr
 @query(V(" SELECT query, place, round(distance, 6) AS distance FROM ranked WHERE place <= 10", _KNN))
 def q_knn_kmer(spark: SparkSession, sf: str) -> DataFrame:
     full = X.reads(spark, sf).where(F.length("seq") == X.LENGTH)
-    doc = F.floor(F.col("ord") / 1000000)
-    queries = full.where((F.col("ord") % 100 == 0) & (doc % 100 == 0)).select(F.col("ord").alias("query"), "seq")
+    queries = full.where("ord % 100 = 0").select(F.col("ord").alias("query"), "seq")
     near = K.nearest(queries, full.select(F.col("ord").alias("train"), "seq"), 10)
     return near.select("query", F.col("place").cast("bigint").alias("place"), F.round("distance", 6).alias("distance"))
 
@@ -511,8 +510,7 @@ def q_classify_ping_only(spark: SparkSession, sf: str) -> DataFrame:
 def q_ping_lca(spark: SparkSession, sf: str) -> DataFrame:
     """Exact hits, then neighbours within 2 % of a set of queries (ids divisible by 100) against all training reads."""
     model = _trained(spark, sf)
-    doc = F.floor(F.col("ord") / 1000000)
-    unique = X.reads(spark, sf).where((doc % 100 == 0) & (F.length("seq") == X.LENGTH)).groupBy(S.seq_hash(F.col("seq")).alias("uid")).agg(F.min("seq").alias("seq"), F.min("ord").alias("ord"))
+    unique = X.reads(spark, sf).where((F.col("ord") % 100 == 0) & (F.length("seq") == X.LENGTH)).groupBy(S.seq_hash(F.col("seq")).alias("uid")).agg(F.min("seq").alias("seq"), F.min("ord").alias("ord"))
     return C.ping(unique, model, 0.98, 2).select("uid", "taxID", "exact")
 
 
@@ -552,15 +550,13 @@ def q_node_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _INFO = """
-few AS (SELECT ord, seq FROM reads WHERE (ord // 1000000) % 100 = 0),
-k AS (SELECT ord, unnest(list_transform(range(1, length(seq) - 2), lambda i: substr(seq, CAST(i AS BIGINT), 4))) AS kmer FROM few WHERE length(seq) >= 4),
+k AS (SELECT ord, unnest(list_transform(range(1, length(seq) - 4), lambda i: substr(seq, CAST(i AS BIGINT), 6))) AS kmer FROM reads WHERE length(seq) >= 6),
 c AS (SELECT ord, kmer, count(*) AS n FROM k GROUP BY ALL)"""
 
 
 @query(V(" SELECT kmer, count(DISTINCT n) AS kinds, count(*) AS holders FROM c GROUP BY kmer HAVING count(DISTINCT n) = 2", _INFO))
 def q_infocols(spark: SparkSession, sf: str) -> DataFrame:
-    r = X.reads(spark, sf).where(F.floor(F.col("ord") / 1000000) % 100 == 0)
-    return K.counts(r).groupBy("kmer").agg(F.countDistinct("n").alias("kinds"), F.count(F.lit(1)).alias("holders")).where("kinds = 2")
+    return K.counts(X.reads(spark, sf), 6).groupBy("kmer").agg(F.countDistinct("n").alias("kinds"), F.count(F.lit(1)).alias("holders")).where("kinds = 2")
 
 
 @query(V("SELECT tax_id, min_by(name, ord) AS name, count(*) AS n, min(ord) AS first FROM refseqs GROUP BY tax_id"))
