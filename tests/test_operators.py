@@ -309,3 +309,46 @@ def test_mates_and_the_asv_chain(spark):
     model = reference_classifier(refs, taxa, up, down, "genus")
     got = classify_samples(counts, model).collect()
     assert [(r["sample"], r.n, r.taxon) for r in got] == [("one", 4, "Aus aus")]
+
+
+def brute_clusters(rows, threshold, k=4):
+    """Centre of each ord, over all pairs of distinct sequences."""
+    rep = {}
+    for o, s in sorted(rows):
+        rep.setdefault(s, o)
+    seqs = sorted(rep, key=rep.get)
+    f = [K.count_matrix([s], k)[0] / max(len(s) - k + 1, 1) for s in seqs]
+    near = [[j for j in range(len(seqs)) if round(float(((f[i] - f[j]) ** 2).sum()) * len(s) / (2 * k), 12) <= 1 - threshold] for i, s in enumerate(seqs)]
+    up = {i: max(near[i], key=lambda j: (len(near[j]), -rep[seqs[j]])) for i in range(len(seqs))}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return rep[seqs[i]]
+
+    centre = {s: top(i) for i, s in enumerate(seqs)}
+    return {o: centre[s] for o, s in rows}
+
+
+def test_clusters_lose_no_neighbour(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = "".join(rng.choice(list("ACGT"), 120))
+
+    def variant(times):
+        s = list(base)
+        for at in rng.choice(120, times, replace=False):
+            s[at] = rng.choice(list("ACGT"))
+        return "".join(s)
+
+    # Two close sequences of 60 copies each: lists of 50 would hold copies only.
+    other = variant(1)
+    copies = [(i, base) for i in range(60)] + [(100 + i, other) for i in range(60)]
+    # More than 50 distinct neighbours, and sequences of other lengths and of one base.
+    dense = [(i, variant(int(rng.integers(1, 12)))) for i in range(150)] + [(900, "A" * 120), (901, "ACG"), (902, "CCGGTTAA" * 9)]
+    for rows, threshold in ((copies, 0.97), (dense, 0.96)):
+        monkeypatch.setattr(K, "BLOCK_ROWS", 40, raising=False)
+        got = {r.ord: r.otu for r in K.clusters(spark.createDataFrame(rows, "ord bigint, seq string"), threshold).collect()}
+        want = brute_clusters(rows, threshold)
+        assert got == want
+    assert len({v for k, v in got.items() if k < 900}) < 150
+    assert {r.otu for r in K.clusters(spark.createDataFrame(copies, "ord bigint, seq string")).collect()} == {0}
