@@ -684,8 +684,8 @@ def q_cvi(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_otu(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = _small_training(spark, sf)
-    return K.clusters(rows.select(F.col("train").alias("ord"), "seq"), 0.9)
+    """Clusters of all reference sequences at the default threshold."""
+    return K.clusters(X.refseqs(spark, sf).select("ord", "seq"))
 
 
 @query()

@@ -352,3 +352,13 @@ def test_clusters_lose_no_neighbour(spark, monkeypatch):
         assert got == want
     assert len({v for k, v in got.items() if k < 900}) < 150
     assert {r.otu for r in K.clusters(spark.createDataFrame(copies, "ord bigint, seq string")).collect()} == {0}
+
+
+@pytest.mark.skipif(not glob.glob("/root/testdata/sf0.001"), reason="no test tables")
+def test_otus_are_of_all_reference_sequences(spark):
+    from taxaspark import queries as Q
+    from taxaspark.plans import fixtures as X
+
+    got = Q.q_otu(spark, "/root/testdata/sf0.001")
+    assert got.select("ord").exceptAll(X.refseqs(spark, "/root/testdata/sf0.001").select("ord")).count() == 0
+    assert X.refseqs(spark, "/root/testdata/sf0.001").select("ord").exceptAll(got.select("ord")).count() == 0
