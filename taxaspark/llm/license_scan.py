@@ -32,7 +32,8 @@ NAMES = (
     ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version)? (?:v )?v?2(?: 0)?"),
     ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? v?1 1"),
     ("apache-1.0", "apache", r"apache(?: software)?(?: license)?(?: version)? v?1 0"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
+    ("bsd-2-clause", "freebsd", r"freebsd"),
     ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
     ("bsd-4-clause", "bsd", r"(?:original bsd|old bsd|bsd 4 clause|4 clause bsd)"),
     ("0bsd", "0bsd", r"0bsd"),
@@ -79,7 +80,8 @@ NAMES = (
     ("eupl", "european", r"european union public"),
     ("ofl-1.1", "ofl", r"(?:sil )?ofl(?: version)?(?: v?1 [01])?"),
     ("ofl-1.1", "font", r"(?:sil )?open font"),
-    ("psf-2", "python", r"(?:psf|python software foundation)"),
+    ("psf-2", "psf", r"psf"),
+    ("psf-2", "python", r"python software foundation"),
     ("php-3", "php", r"php(?: license)?(?: version)? v?3(?: 0[01])?"),
     ("ruby", "ruby", r"ruby"),
     ("openssl", "openssl", r"openssl"),
