@@ -15,7 +15,8 @@ forms, scripts, styles, comments of readers).  A page that lacks the template's
 
 Text: character references decoded, white space within a block one space, blocks
 trimmed, empty ones left out, joined by a line feed.  A null or empty page gives an
-empty text, and so does a page that ends before its article starts.  Null urls are one
+empty text, and so does a page that ends before its article starts (no end tags, and only
+blocks that stand before the article on its host).  Null urls are one
 host without a name.  Repeated rows give a row each; extra columns are ignored; an empty
 table gives no rows.
 
@@ -111,6 +112,7 @@ class Page:
         self.bad: list[bool] = [False]
         self.content: list[bool] = [False]
         self.events: list[tuple[int, str | None]] = []  # (element, text), or (element, None) at block ends
+        self.cut = True  # no end of body or html
         stack = [0]
         opened: Counter = Counter()
 
@@ -125,6 +127,8 @@ class Page:
             if kind == "text":
                 self.events.append((stack[-1], rest))
             elif kind == "close":
+                if name in ("body", "html"):
+                    self.cut = False
                 if opened[name]:
                     depth = max(i for i in range(len(stack) - 1, -1, -1) if self.names[stack[i]] == name) if len(stack) < 64 else next(i for i in range(len(stack) - 1, -1, -1) if self.names[stack[i]] == name)
                     pop_to(depth)
@@ -259,16 +263,30 @@ def article_path(pages: list[Page]) -> str | None:
     return max((p for p, n in inside.items() if n >= 0.8 * most), key=lambda p: (len(p), p))
 
 
+def around(pages: list[Page], path: str | None) -> tuple[set[str], set[str]]:
+    """Paths of blocks that stand before the template's article on some page that has it, and those that only follow it."""
+    before, after = set(), set()
+    for page in pages:
+        if path in page.paths:
+            tags = page.tags()
+            at = tags.index(path) if path in tags else len(tags)
+            before.update(tags[:at])
+            after.update(t for t in tags[at + 1 :] if not t.startswith(path + "/"))
+    return before, after - before
+
+
 def extract_group(htmls: list[str]) -> list[str]:
     """Main texts of pages that share a host."""
     pages = [Page(h) for h in htmls]
     path = article_path(pages)
+    before, after = around(pages, path)
     out = []
     for page in pages:
         own = path
         if own is None or own not in page.paths:
             own = article_path([page])
-            if own is not None and not any(page.content[e] for e, p in enumerate(page.paths) if p == own) and path is not None and "article" in path:
+            here = set(page.tags())
+            if page.cut and path is not None and here <= before and not here & after and not any(page.content):
                 own = None  # cut before its article began
         if own is None:
             out.append("")

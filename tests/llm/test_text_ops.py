@@ -207,3 +207,14 @@ def test_names_without_the_older_keyword_are_found():
         row = scanner.scan(said)
         assert label in row[5].split(",") and row[6] >= 0.9
         assert label in {x for _, _, x in scanner.detections(said)}
+
+
+def test_pages_of_another_template_keep_their_text():
+    usual = [PAGE.format(main=f"<article><h1>Head {k}</h1><p>Body {k} of some length</p></article>") for k in range(5)]
+    whole = PAGE.format(main="<div><p>This page has no such element</p><p>but much to say</p></div>")
+    open_end = whole.replace("</body></html>", "")  # end tags may be left out
+    cut = usual[0][: usual[0].index("<article>")]
+    got = H.extract_group([*usual, whole, open_end, cut])
+    assert got[:5] == [f"Head {k}\nBody {k} of some length" for k in range(5)]
+    assert got[5] == got[6] == "This page has no such element\nbut much to say"
+    assert got[7] == ""
