@@ -460,6 +460,14 @@ def q_knn_kmer(spark: SparkSession, sf: str) -> DataFrame:
     return near.select("query", F.col("place").cast("bigint").alias("place"), F.round("distance", 6).alias("distance"))
 
 
+@query()
+def q_knn_kmer_all(spark: SparkSession, sf: str) -> DataFrame:
+    """As q_knn_kmer, but over all reads, each with its own length."""
+    every = X.reads(spark, sf)
+    near = K.nearest(every.where("ord % 100 = 0").select(F.col("ord").alias("query"), "seq"), every.select(F.col("ord").alias("train"), "seq"), 10)
+    return near.select("query", F.col("place").cast("bigint").alias("place"), F.round("distance", 6).alias("distance"))
+
+
 @query(
     """WITH q AS (SELECT vec_id AS query, embedding AS a FROM embeddings WHERE vec_id % 100 = 0),
     d AS (SELECT query, vec_id AS train, sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda i: (CAST(a[i] AS DOUBLE) - CAST(embedding[i] AS DOUBLE)) ** 2))) AS distance FROM q, embeddings),
@@ -481,10 +489,10 @@ def q_ping_exact(spark: SparkSession, sf: str) -> DataFrame:
     return hashed.join(key, "md5", "left").select("ord", "taxID", F.col("taxID").isNotNull().alias("exact"))
 
 
-def _trained(spark: SparkSession, sf: str) -> C.Classifier:
-    """A classifier whose training sequences are the reads of even species."""
+def _trained(spark: SparkSession, sf: str, every_length: bool = False) -> C.Classifier:
+    """A classifier whose training sequences are the reads of even species, of full or of every length."""
     tax = X.taxonomy(spark, sf)
-    train = X.refseqs(spark, sf).where(f"tax_id % 2 = 0 AND length(seq) = {X.LENGTH}").select(F.col("ord").alias("train"), "seq", F.col("tax_id").alias("taxID"))
+    train = X.refseqs(spark, sf).where("tax_id % 2 = 0" if every_length else f"tax_id % 2 = 0 AND length(seq) = {X.LENGTH}").select(F.col("ord").alias("train"), "seq", F.col("tax_id").alias("taxID"))
     return C.Classifier(tax, C.build_key(train, tax), train)
 
 
@@ -508,9 +516,12 @@ def q_classify_ping_only(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_ping_lca(spark: SparkSession, sf: str) -> DataFrame:
-    """Exact hits, then neighbours within 2 % of a set of queries (ids divisible by 100) against all training reads."""
-    model = _trained(spark, sf)
-    unique = X.reads(spark, sf).where((F.col("ord") % 100 == 0) & (F.length("seq") == X.LENGTH)).groupBy(S.seq_hash(F.col("seq")).alias("uid")).agg(F.min("seq").alias("seq"), F.min("ord").alias("ord"))
+    """Exact hits, then neighbours within 2 % of a set of queries (ids divisible by 100) against all reads of even species, whatever their length.
+
+    Odd species are held out: with them in training every query would be an exact hit.
+    """
+    model = _trained(spark, sf, every_length=True)
+    unique = X.reads(spark, sf).where(F.col("ord") % 100 == 0).groupBy(S.seq_hash(F.col("seq")).alias("uid")).agg(F.min("seq").alias("seq"), F.min("ord").alias("ord"))
     return C.ping(unique, model, 0.98, 2).select("uid", "taxID", "exact")
 
 
@@ -639,18 +650,19 @@ def q_vfish(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q_phmm_forward(spark: SparkSession, sf: str) -> DataFrame:
-    """Forward scores of all primer regions under one model."""
+    """Forward scores of all reads, whole, under one model."""
     model = codec.encode_phmm(phmm.derive([X.UP_READ, X.UP_READ[:-2] + "AA"]))
 
     def run(batches):
         import pyarrow as pa
 
         m = codec.decode_phmm(model)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(phmm.forward(m, b.column(1).to_pylist()))], names=["ord", "score"])
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):  # bounds the emissions held at once
+                b = batch.slice(i, 512)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(phmm.forward(m, b.column(1).to_pylist()))], names=["ord", "score"])
 
-    rows = X.amplicons(spark, sf).select("ord", F.substring("seq", 7, len(X.UP)).alias("s"))
-    return rows.mapInArrow(run, "ord bigint, score double")
+    return X.reads(spark, sf).select("ord", "seq").mapInArrow(run, "ord bigint, score double")
 
 
 def _small_training(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:

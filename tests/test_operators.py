@@ -2,6 +2,7 @@
 
 import gzip
 import glob
+import hashlib
 
 import numpy as np
 import pytest
@@ -362,3 +363,37 @@ def test_otus_are_of_all_reference_sequences(spark):
     got = Q.q_otu(spark, "/root/testdata/sf0.001")
     assert got.select("ord").exceptAll(X.refseqs(spark, "/root/testdata/sf0.001").select("ord")).count() == 0
     assert X.refseqs(spark, "/root/testdata/sf0.001").select("ord").exceptAll(got.select("ord")).count() == 0
+
+
+@pytest.mark.skipif(not glob.glob("/root/testdata/sf0.001"), reason="no test tables")
+def test_searches_and_scores_cover_reads_of_every_length(spark):
+    from taxaspark.kernels import codec, phmm
+    from taxaspark import queries as Q
+    from taxaspark.plans import fixtures as X
+
+    sf = "/root/testdata/sf0.001"
+    reads = {r.ord: r.seq for r in X.reads(spark, sf).select("ord", "seq").collect()}
+    asked = {o for o in reads if o % 100 == 0}
+    assert any(len(reads[o]) < X.LENGTH for o in asked)
+    # Models score whole reads.
+    scores = {r.ord: r.score for r in Q.q_phmm_forward(spark, sf).collect()}
+    some = sorted(reads)[::97]
+    model = codec.decode_phmm(codec.encode_phmm(phmm.derive([X.UP_READ, X.UP_READ[:-2] + "AA"])))
+    assert scores.keys() == reads.keys() and [scores[o] for o in some] == pytest.approx(phmm.forward(model, [reads[o] for o in some]).tolist())
+    # Every query has a row, and short training reads are exact hits.
+    pinged = {r.uid: r for r in Q.q_ping_lca(spark, sf).collect()}
+    uid = {o: hashlib.md5(reads[o].encode()).hexdigest() for o in asked}
+    assert pinged.keys() == set(uid.values())
+    even = {r.ord for r in X.refseqs(spark, sf).where("tax_id % 2 = 0").select("ord").collect()}
+    assert all(pinged[uid[o]].exact for o in asked & even)
+    # Neighbours of every query are those of brute force.
+    near = {}
+    for r in Q.q_knn_kmer_all(spark, sf).collect():
+        near.setdefault(r.query, {})[r.place] = r.distance
+    assert near.keys() == asked
+    order = sorted(reads)
+    t = np.minimum(K.count_matrix([reads[o] for o in order]), K.CAP) / np.array([max(len(reads[o]) - 3, 1) for o in order])[:, None]
+    for o in sorted(asked)[::9] + [o for o in asked if len(reads[o]) < X.LENGTH][:10]:
+        q = K.count_matrix([reads[o]])[0] / max(len(reads[o]) - 3, 1)
+        best = np.sort(((q - t) ** 2).sum(axis=1) * len(reads[o]) / 8)[:10]
+        assert [near[o][p] for p in range(1, 11)] == pytest.approx(best.tolist(), abs=2e-6)
