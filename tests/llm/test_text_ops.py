@@ -7,7 +7,6 @@ import pyarrow as pa
 import pytest
 
 from taxaspark.llm import decontaminate as D
-from taxaspark.llm import html_extract as H
 from taxaspark.llm import mixing as M
 from taxaspark.llm import text as T
 from taxaspark.llm import toxicity as X
@@ -81,29 +80,6 @@ def test_toxicity_learns_held_out_rows(spark, docs):
     assert X.score_toxicity(docs([]), table).count() == 0
 
 
-PAGE = "<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style><script>var a='</p>';</script></head><body><nav><ul><li><a href='/'>home</a></li></ul></nav><div class='ad'>buy</div>{main}<aside>side</aside><footer>&copy; f</footer></body></html>"
-
-
-def test_html_articles_and_templates(spark):
-    main = "<article><h1>Title &amp; more</h1><p>one\n <b>two</b><br>three<p>four&#233;<form><input>no</form><div class='comments'><p>reader</p></div></article>"
-    plain = "<div><h2>Head {0}</h2><p>Body {0} of some length</p></div>"
-    pages = [(1, "http://a.com/1", PAGE.format(main=main)), (2, "http://a.com/2", None), (3, "http://a.com/3", ""), (4, "http://a.com/4", PAGE.format(main=main)[: PAGE.index("{main}") + 60]), (5, None, "<nav>cut off")]
-    pages += [(10 + k, "http://b.com/x", PAGE.format(main=plain.format(k))) for k in range(4)]
-    df = spark.createDataFrame([(i, u, h, 1) for i, u, h in pages], "page_id bigint, url string, html string, text int")
-    got = {r.page_id: r for r in H.extract_main_text(df).collect()}
-    assert got[1].text == "Title & more\none two three\nfouré" and got[1].n_chars == len(got[1].text)
-    assert got[2].text == got[3].text == "" and got[5].text == ""
-    assert got[10].text == "Head 0\nBody 0 of some length"
-    assert H.extract_main_text(df.limit(0)).count() == 0
-
-
-def test_equivalence_classes_have_one_order_and_vector():
-    pages = [H.Page(PAGE.format(main="<article>" + "<p>x" * (k + 1) + "</article>")) for k in range(5)]
-    classes = dict(H.equivalence_classes(pages))
-    assert (1, 1, 1, 1, 1) in classes and any(t.endswith("/article") for t in classes[1, 1, 1, 1, 1])
-    assert any(t.endswith("/p") for t in classes[1, 2, 3, 4, 5])
-
-
 def test_targets_are_capped_and_use_all_words():
     sizes, weights = [100, 1, 50, 0], [5, 2, 1, 5]
     t = M.targets(sizes, weights)
@@ -207,14 +183,3 @@ def test_names_without_the_older_keyword_are_found():
         row = scanner.scan(said)
         assert label in row[5].split(",") and row[6] >= 0.9
         assert label in {x for _, _, x in scanner.detections(said)}
-
-
-def test_pages_of_another_template_keep_their_text():
-    usual = [PAGE.format(main=f"<article><h1>Head {k}</h1><p>Body {k} of some length</p></article>") for k in range(5)]
-    whole = PAGE.format(main="<div><p>This page has no such element</p><p>but much to say</p></div>")
-    open_end = whole.replace("</body></html>", "")  # end tags may be left out
-    cut = usual[0][: usual[0].index("<article>")]
-    got = H.extract_group([*usual, whole, open_end, cut])
-    assert got[:5] == [f"Head {k}\nBody {k} of some length" for k in range(5)]
-    assert got[5] == got[6] == "This page has no such element\nbut much to say"
-    assert got[7] == ""
