@@ -53,6 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import grouped
+from .scratch import Scratch
 
 GROUP_PAGES = 48
 GROUP_BYTES = 4 << 20
@@ -454,14 +455,14 @@ def extract_group(htmls: list[str]) -> list[str]:
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
 
-def dealt(pages: DataFrame) -> DataFrame:
+def dealt(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """host, part, page_id, url, html: each (host, part) is a group of bounded size, by hash of the page."""
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1))
     mark = F.xxhash64("page_id", "url")
     size = F.greatest(F.ceil(F.count(F.lit(1)) / GROUP_PAGES), F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0))) / GROUP_BYTES))
     large = pages.groupBy(host.alias("of")).agg(size.cast("bigint").alias("parts")).where("parts > 1")
-    # Salted, so that a hot host is many tasks should the list of large hosts be too long to broadcast.
-    large = large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # A table's size is known, so Spark broadcasts it only under its threshold; beyond that, salts make a hot host many tasks.
+    large = scratch.write(large.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), "large_hosts")
     rows = pages.select("page_id", "url", "html", host.alias("host"), mark.alias("mark"), F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int").alias("own"))
     rows = rows.join(large, (rows["host"] == large["of"]) & (rows["own"] == large["salt"]), "left")
     return rows.select("host", F.pmod("mark", F.coalesce("parts", F.lit(1))).alias("part"), "page_id", "url", "html", F.xxhash64("host", F.pmod("mark", F.coalesce("parts", F.lit(1)))).alias("group"), "mark")
@@ -476,5 +477,5 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             cols = [group["page_id"].combine_chunks().cast(pa.int64()), group["url"].combine_chunks(), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])
 
-    rows = dealt(pages.select("page_id", "url", "html"))
+    rows = dealt(pages.select("page_id", "url", "html"), Scratch(pages.sparkSession, "html"))
     return rows.repartition("group").sortWithinPartitions("group", "mark").select("page_id", "url", "html", "group").mapInArrow(run, SCHEMA)
