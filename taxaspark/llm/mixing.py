@@ -11,7 +11,7 @@ until one block per source is left, where a small landing problem drops the docu
 total, then the word total.
 
 Blocks are dealt by (source, hash of doc_id), so a source with a third of all rows is
-many blocks.  Seeds depend on level, source and block only, so reruns agree.
+many blocks, in as many tasks.  Seeds depend on level, source and block only, so reruns agree.
 
 A null text has size 0; a null source is a source of its own, last in order.  Documents
 of size 0 take 0 words.  Repeated rows are documents of their own; extra columns are
@@ -34,25 +34,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 4096
+SALTS = 32
 MAX_SOURCES = 1_000_000
 SEED = 20240611
 
 
 def targets(sizes: list[int], weights: list[float], cap: float = CAP) -> list[float]:
     """Shares of sum(sizes) by weight, each at most cap times its size; the excess goes to the others by weight."""
-    out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), list(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        share = {i: left * weights[i] / total for i in open_}
-        over = [i for i in open_ if share[i] > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = share[i]
-            break
-        for i in over:
-            out[i] = float(cap * sizes[i])
-        left -= sum(out[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+    out, left, total = [0.0] * len(sizes), float(sum(sizes)), float(sum(weights))
+    order = sorted(range(len(sizes)), key=lambda i: cap * sizes[i] / weights[i])  # the first to be full comes first
+    for i in order:
+        out[i] = min(left * weights[i] / total, float(cap * sizes[i]))
+        left, total = left - out[i], total - weights[i]
     return out
 
 
@@ -113,27 +106,30 @@ def _mixed(ids: np.ndarray) -> np.ndarray:
     return mix(ids.astype(np.uint64) + U64(SEED))
 
 
-LEVEL = "doc_id bigint, source_no int, size bigint, p double"
+UNIT = "doc_id bigint, size bigint, source_no int, source_size bigint, target double, whole int, p double, blocks bigint"
 
 
-def _level(units: DataFrame, level: int, blocks: dict[int, int], scratch: Scratch) -> DataFrame:
-    """One flight over all blocks of a level."""
-    spark = units.sparkSession
-    counts = spark.createDataFrame([(s, n) for s, n in sorted(blocks.items())], "source_no int, blocks int")
-    dealt = units.join(counts, "source_no").withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED + level)), F.col("blocks")).cast("int"))
+def _level(units: DataFrame, level: int, scratch: Scratch) -> DataFrame:
+    """One flight over all blocks of a level; units come out with the number of blocks of the next."""
+    block = F.pmod(F.xxhash64("doc_id", "size", F.lit(SEED + level)), F.col("blocks")).cast("int")
 
     def run(key, table):
-        source, block, n = (k.as_py() for k in key)
+        source, at, n = (k.as_py() for k in key)
         ids = np.array([i or 0 for i in table["doc_id"].to_pylist()], dtype=np.int64)
         size = table["size"].to_numpy()
-        order = np.lexsort((ids, _mixed(ids), -size))  # large documents are decided first, so what is left is small
-        table = table.take(pa.array(order))
-        rng = np.random.default_rng([SEED, level, source, block])
+        table = table.take(pa.array(np.lexsort((ids, _mixed(ids), -size))))  # large documents are decided first, so what is left is small
+        rng = np.random.default_rng([SEED, level, source, at])
         p = flight(table["p"].to_pylist(), table["size"].to_pylist(), rng, land=n == 1)
-        return pa.table([table["doc_id"], table["source_no"], table["size"], pa.array(p, pa.float64())], names=["doc_id", "source_no", "size", "p"])
+        done = {"p": pa.array(p, pa.float64()), "blocks": pa.array([next_blocks(n)] * len(p), pa.int64())}
+        names = [x.split()[0] for x in UNIT.split(", ")]
+        return pa.table([done.get(c, table[c]) for c in names], names=names)
 
-    out = dealt.select("doc_id", "source_no", "size", "p", "block", "blocks").groupBy("source_no", "block", "blocks").applyInArrow(run, LEVEL)
-    return scratch.write(out, f"level{level}")
+    return scratch.write(units.withColumn("block", block).groupBy("source_no", "block", "blocks").applyInArrow(run, UNIT), f"level{level}")
+
+
+def next_blocks(n: int) -> int:
+    """Blocks of the next level: each leaves at most two units."""
+    return -(-2 * n // BLOCK)
 
 
 def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str = "source") -> DataFrame:
@@ -145,28 +141,27 @@ def mix_sources(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sou
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode()))
-    weights = [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))]
-    goal = targets([r["size"] for r in found], weights)
-    plan, blocks = [], {}
+    goal = targets([r["size"] for r in found], [WEIGHTS[i % len(WEIGHTS)] for i in range(len(found))])
+    plan, most = [], 0
     for i, (r, t) in enumerate(zip(found, goal)):
         ratio = min(t / r["size"], float(CAP)) if r["size"] else 0.0
         whole = int(ratio + 1e-12)
         part = max(0.0, ratio - whole)
-        plan.append((r["source"], i, r["size"], t, whole, part if part > 1e-12 else 0.0))
-        if part > 1e-12 and r["n"]:
-            blocks[i] = -(-r["n"] // BLOCK)
-    table = spark.createDataFrame(plan, "source string, source_no int, source_size bigint, target double, whole int, part double")
-    # A plain join: Spark broadcasts the sources only while they are under its threshold.
-    joined = rows.join(table, rows["source"].eqNullSafe(table["source"])).select("doc_id", "source_no", "size", F.col("part").alias("p"))
+        blocks = -(-r["n"] // BLOCK)
+        plan.append((r["source"], i, r["size"], t, whole, part if part > 1e-12 else 0.0, max(1, blocks)))
+        most = max(most, blocks if part > 1e-12 else 0)
+    # A written table's size is known, so Spark broadcasts it only under its threshold; beyond that, salts make a hot
+    # source many tasks.  Nothing is joined later: each unit carries what its source says.
+    table = scratch.write(spark.createDataFrame(plan, "source string, source_no int, source_size bigint, target double, whole int, p double, blocks bigint"), "sources")
+    table = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "size"), F.lit(SALTS)).cast("int"))
+    units = salted.join(table, salted["source"].eqNullSafe(table["source"]) & (salted["salt"] == table["salt"])).select(*(x.split()[0] for x in UNIT.split(", ")))
     undecided = (F.col("p") > 0) & (F.col("p") < 1) & (F.col("size") > 0)
-    done, units, level = [joined.where(~undecided)], joined.where(undecided), 0
-    while blocks:
-        out = _level(units, level, blocks, scratch)
+    done, units, level = [units.where(~undecided)], units.where(undecided), 0
+    while most:
+        out = _level(units, level, scratch)
         done.append(out.where(~undecided))
         units, level = out.where(undecided), level + 1
-        blocks = {s: -(-2 * n // BLOCK) for s, n in blocks.items() if n > 1}
-    return (
-        reduce(DataFrame.unionByName, done)
-        .join(table.drop("source"), "source_no")
-        .select("doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("p").cast("int")) * F.col("size")).cast("bigint").alias("taken"))
-    )
+        most = next_blocks(most) if most > 1 else 0
+    taken = ((F.col("whole") + F.col("p").cast("int")) * F.col("size")).cast("bigint")
+    return reduce(DataFrame.unionByName, done).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
