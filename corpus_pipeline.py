@@ -16,7 +16,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each text, through a fresh digest index."""
-    return exact_dedup.keep_first(docs, exact_dedup.DigestIndex(spark))
+    index = exact_dedup.DigestIndex(spark)
+    kept = exact_dedup.keep_first(docs, index)
+    index.drop()
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ def digest(text) -> F.Column:
 
 
 class DigestIndex:
-    """A persistent set of digests: ``text_sha256``, ``keep_id``, ``batch``."""
+    """A persistent set of digests: ``text_sha256``, ``keep_id``, in a table bucketed and sorted by digest."""
 
     def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -49,29 +49,39 @@ class DigestIndex:
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
-    def _append(self, fresh: DataFrame) -> None:
-        (fresh.write.mode("append").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").format("parquet").saveAsTable(self.table))
+    def _write(self, rows: DataFrame, table: str) -> None:
+        rows.write.mode("append").bucketBy(self.buckets, "text_sha256").sortBy("text_sha256").format("parquet").saveAsTable(table)
+
+    def compact(self) -> None:
+        """Rewrite the table as one sorted file a bucket (each batch appends one); no shuffle, since it is read by buckets."""
+        fresh = f"{self.table}_{uuid.uuid4().hex[:8]}"
+        self._write(self.read().groupBy("text_sha256").agg(F.min("keep_id").alias("keep_id")), fresh)
+        self.drop()
+        self.spark.sql(f"ALTER TABLE {fresh} RENAME TO {self.table}")
 
     def add(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
         """Append the batch's new digests; one row per document with the row that stays.
 
-        Returns doc_id, keep_id, group_size (rows of the batch with this text), kept, text_sha256.
+        Returns doc_id, keep_id, group_size (rows of the batch with this text), kept, text_sha256,
+        written to the shared folder: the index may be changed or dropped afterwards.
         """
+        scratch = Scratch(self.spark, "digests")
         rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), digest(F.col(f"`{text}`")).alias("text_sha256"))
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-        rows = Scratch(self.spark, "digests").write(rows, "rows")  # texts are read and hashed once
+        rows = scratch.write(rows, "rows")  # texts are read and hashed once
         part = rows.groupBy("text_sha256", "salt").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n"))
         groups = part.groupBy("text_sha256").agg(F.min("low").alias("first_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts"))
         batch = groups.select("text_sha256", F.col("first_id").alias("keep_id"))
-        if self.exists():
-            old = self.read().select("text_sha256").hint("merge")
-            self._append(batch.join(old, "text_sha256", "left_anti"))
-        else:
-            self._append(batch)
+        if not self.exists():
+            self._write(batch.limit(0), self.table)
+        # The index is dealt and sorted by digest on disk; the merge moves the batch's digests only.
+        self._write(batch.join(self.read().select("text_sha256").hint("merge"), "text_sha256", "left_anti"), self.table)
         # Each (digest, salt) is one row here and the documents' side is dealt by both, so no group lands in one task.
         held = groups.hint("merge").join(self.read(), "text_sha256").select("text_sha256", "keep_id", "group_size", F.explode("salts").alias("salt"))
         out = rows.hint("merge").join(held, ["text_sha256", "salt"])
-        return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        out = scratch.write(out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"), "found")
+        scratch.drop("rows")
+        return out
 
 
 def keep_first(docs: DataFrame, index: DigestIndex, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
