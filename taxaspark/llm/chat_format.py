@@ -4,7 +4,9 @@ A message is an array of parts ``struct(kind, text, uri, units)``: ``text`` carr
 words; ``image``, ``audio`` and ``document`` carry a reference and a size in units
 (image patches, audio seconds, document pages).  One visitor - a CASE over ``kind``
 inside ``transform`` - turns each part into text: escaped words, or an ordered
-placeholder ``<image>`` ... whose attachment is recorded with its expanded token count.
+placeholder ``<image>`` ... whose attachment is recorded with its expanded token count; a
+text that such a part has (a caption) follows its placeholder.  A part of any other kind
+becomes ``<part:KIND>`` and an attachment of as many tokens as it has units.
 
 Template, one turn:   ``<turn:ROLE>BODY</turn>\\n``
 Escaping, reversible: ``\\`` -> ``\\s``, ``<`` -> ``\\l``, and in roles also ``>`` -> ``\\g``.
@@ -13,11 +15,11 @@ After it no control string can occur inside a text, since each begins with ``<``
 The loss mask is kept as one run per turn (``chars`` of the turn, ``skip`` before the
 body, ``take`` under the mask), so reading it back is linear in the length.
 
-Turns are ordered by ``turn``, then role, then text; a null turn comes first.  A null
-text, role or part is empty; a null conversation id is a conversation of its own;
-repeated rows are repeated turns; extra columns are ignored; an empty table gives no
-rows.  A conversation is one row of output, so its turns meet in one row; all
-per-character work is done before that, on the turns.
+Turns are ordered by ``turn``, then role, then parts (kind, text, reference, size), as they
+are before escaping; a null turn comes first.  A null text, role, kind or part is empty (a
+part without a kind is text); a null conversation id is a conversation of its own; repeated
+rows are repeated turns; extra columns are ignored; an empty table gives no rows.  A
+conversation is one row of output, so its turns meet in one row.
 """
 
 from __future__ import annotations
@@ -52,14 +54,20 @@ def text_part(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("kind"), F.coalesce(text, F.lit("")).alias("text"), F.lit(None).cast("string").alias("uri"), F.lit(None).cast("bigint").alias("units")))
 
 
+def is_text(part: Column) -> Column:
+    return F.coalesce(part["kind"], F.lit("text")) == "text"
+
+
 def visit(part: Column) -> Column:
     """What one part becomes in the formatted text."""
-    return F.when(part["kind"].isin(*UNIT_TOKENS), F.concat(F.lit("<"), part["kind"], F.lit(">"))).otherwise(escape(F.coalesce(part["text"], F.lit(""))))
+    said = escape(F.coalesce(part["text"], F.lit("")))
+    named = F.when(part["kind"].isin(*UNIT_TOKENS), part["kind"]).otherwise(F.concat(F.lit("part:"), escape_role(part["kind"])))
+    return F.when(is_text(part), said).otherwise(F.concat(F.lit("<"), named, F.lit(">"), said))
 
 
 def expanded(part: Column) -> Column:
     """Tokens that an attachment stands for (0 for text)."""
-    per = F.lit(0)
+    per = F.when(is_text(part), F.lit(0)).otherwise(F.lit(1))
     for kind, n in UNIT_TOKENS.items():
         per = F.when(part["kind"] == kind, F.lit(n)).otherwise(per)
     return (F.coalesce(part["units"], F.lit(0)) * per).cast("bigint")
@@ -72,35 +80,29 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     array<struct<turn, ord, kind, uri, tokens>> in reading order, n_turns, expanded_tokens.
     """
     parts = F.filter(F.coalesce(F.col("parts"), F.array().cast(f"array<{PART}>")), lambda p: p.isNotNull())
-    role = F.coalesce(F.col("role"), F.lit(""))
-    head = F.concat(F.lit("<turn:"), escape_role(role), F.lit(">"))
-    one = (
-        turns.select("conv_id", "turn", role.alias("role"), parts.alias("parts"))
-        .withColumn("body", F.array_join(F.transform("parts", visit), ""))
-        .withColumn("head", head)
-        .withColumn("files", F.transform(F.filter("parts", lambda p: p["kind"].isin(*UNIT_TOKENS)), lambda p, i: F.struct(F.col("turn").alias("turn"), i.alias("ord"), p["kind"].alias("kind"), p["uri"].alias("uri"), expanded(p).alias("tokens"))))
-        .select(
-            "conv_id",
-            F.struct(
-                "turn",
-                "role",
-                F.concat("head", "body", F.lit(END)).alias("piece"),
-                F.length("head").alias("skip"),
-                F.when(F.col("role") == loss_role, F.length("body")).otherwise(0).alias("take"),
-                "files",
-            ).alias("t"),
+    one = turns.select("conv_id", F.struct("turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), parts.alias("parts")).alias("t"))
+
+    def written(t: Column) -> Column:
+        return F.struct(
+            F.concat(F.lit("<turn:"), escape_role(t["role"]), F.lit(">")).alias("head"),
+            F.array_join(F.transform(t["parts"], visit), "").alias("body"),
+            (t["role"] == loss_role).alias("learn"),
+            F.transform(
+                F.filter(t["parts"], lambda p: ~is_text(p)),
+                lambda p, i: F.struct(t["turn"].alias("turn"), i.alias("ord"), p["kind"].alias("kind"), p["uri"].alias("uri"), expanded(p).alias("tokens")),
+            ).alias("files"),
         )
-    )
-    # Order among turns of one number: role, then the piece, which orders as its text does.
+
     return (
         one.groupBy("conv_id")
         .agg(F.array_sort(F.collect_list("t")).alias("ts"))
+        .select("conv_id", F.transform("ts", written).alias("ws"))
         .select(
             "conv_id",
-            F.array_join(F.transform("ts", lambda t: t["piece"]), "").alias("formatted"),
-            F.transform("ts", lambda t: F.struct(F.length(t["piece"]).alias("chars"), t["skip"].alias("skip"), t["take"].alias("take"))).alias("loss_runs"),
-            F.flatten(F.transform("ts", lambda t: t["files"])).alias("attachments"),
-            F.size("ts").cast("bigint").alias("n_turns"),
+            F.array_join(F.transform("ws", lambda w: F.concat(w["head"], w["body"], F.lit(END))), "").alias("formatted"),
+            F.transform("ws", lambda w: F.struct((F.length(w["head"]) + F.length(w["body"]) + len(END)).alias("chars"), F.length(w["head"]).alias("skip"), F.when(w["learn"], F.length(w["body"])).otherwise(0).alias("take"))).alias("loss_runs"),
+            F.flatten(F.transform("ws", lambda w: w["files"])).alias("attachments"),
+            F.size("ws").cast("bigint").alias("n_turns"),
         )
         .withColumn("expanded_tokens", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda a, x: a + x["tokens"]))
     )
@@ -148,3 +150,17 @@ def formatted_digests(conversations: DataFrame) -> DataFrame:
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("bigint").alias("formatted_chars"),
     )
+
+
+def illustrated(conversations: DataFrame) -> DataFrame:
+    """Rows (conv_id, turn, role, parts): each text with a part of another kind, by turn."""
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("image", "audio", "document", "video"))), (F.pmod(F.coalesce("turn", F.lit(0)), F.lit(4)) + 1).cast("int"))
+    part = F.struct(kind.alias("kind"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("store/"), F.col("conv_id").cast("string")).alias("uri"), (F.coalesce("turn", F.lit(0)) + 1).cast("bigint").alias("units"))
+    return conversations.select("conv_id", "turn", "role", F.concat(text_part(F.col("text")), F.array(part)).alias("parts"))
+
+
+def part_digests(turns: DataFrame) -> DataFrame:
+    """What :func:`format_chats` makes of typed parts, per conversation: digest of the text, attachments, expanded tokens."""
+    out = format_chats(turns)
+    listed = F.array_join(F.transform("attachments", lambda a: F.concat_ws(" ", a["turn"], a["ord"], a["kind"], a["uri"], a["tokens"])), "\n")
+    return out.select("conv_id", F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"), F.size("attachments").cast("bigint").alias("n_attachments"), "expanded_tokens", F.sha2(listed.cast("binary"), 256).alias("attachments_sha256"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, html_extract, katz, mixing, near_dedup, substring_dedup
-from .chat_format import formatted_digests, probe_conversation
+from .chat_format import formatted_digests, illustrated, part_digests, probe_conversation
 from .exact_dedup import DigestIndex
 from .license_scan import scan_licenses
 from .toxicity import score_toxicity
@@ -45,7 +45,10 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return DigestIndex(spark).add(_table(spark, sf_dir, "documents"))
+    index = DigestIndex(spark)
+    found = index.add(_table(spark, sf_dir, "documents"))
+    index.drop()  # the query's own; a lasting one has a name
+    return found
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +56,11 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formatted_digests(rows.unionByName(probe_conversation(spark)))
 
 
+def q_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formatter over parts of all kinds: each turn's text and an attachment."""
+    return part_digests(illustrated(_table(spark, sf_dir, "conversations")))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.shared_passages(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +76,7 @@ QUERIES = {
     "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_chat_format": op9_chat_format,
+    "q_chat_parts": q_chat_parts,
 }
 
 ORACLES = {
@@ -92,4 +101,19 @@ ORACLES = {
                sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(n) AS BIGINT) AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "q_chat_parts": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(turn, 0) AS t,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS k
+            FROM conversations),
+        e AS (
+            SELECT *, replace(replace(text, '', '\s'), '<', '\l') AS said, replace(replace(replace(role, '', '\s'), '<', '\l'), '>', '\g') AS who,
+                   CASE t % 4 WHEN 0 THEN 'image' WHEN 1 THEN 'audio' WHEN 2 THEN 'document' ELSE 'video' END AS kind,
+                   (t + 1) * CASE t % 4 WHEN 1 THEN 25 WHEN 2 THEN 700 ELSE 1 END AS tokens
+            FROM c)
+        SELECT conv_id,
+               sha256(string_agg('<turn:' || who || '>' || said || '<' || CASE kind WHEN 'video' THEN 'part:video' ELSE kind END || '></turn>' || chr(10), '' ORDER BY k)) AS formatted_sha256,
+               count(*) AS n_attachments, CAST(sum(tokens) AS BIGINT) AS expanded_tokens,
+               sha256(string_agg(concat_ws(' ', turn, 0, kind, 'store/' || conv_id, tokens), chr(10) ORDER BY k)) AS attachments_sha256
+        FROM e GROUP BY conv_id""",
 }
