@@ -5,12 +5,17 @@ Features of a text are its distinct hashed words, word pairs and one-word-skip p
 rate per coordinate and L1 regularisation, so only few thousand weights are not zero
 and the broadcast is two short arrays (bounded by ``2**BITS``).
 
-Fitting uses a bounded sample: of the labelled rows with crc32(doc_id) mod 5 <> 0, the
-``MAX_PER_CLASS`` with the lowest hash of their id from each class, and at most
-``MAX_FEATURES`` features of each.  Scoring covers all whole texts.
+Fitting uses a bounded sample: of the labelled documents with crc32(doc_id) mod 5 <> 0, the
+``MAX_PER_CLASS`` with the lowest hash of their id from each class, all features of each.  A
+step moves a coordinate's z by less than 1 while its weight is 0, so a feature in n rows that
+has n * ``EPOCHS`` <= ``L1`` keeps weight 0 whatever comes: it is left out without any effect.
+What remains is written in parts of about ``PART_BYTES`` and streamed part by part in each
+epoch, so the driver's memory does not depend on the length of texts.  Scoring covers all
+whole texts.
 
 A null or empty text has no features and gets the intercept's score.  A document that
-is labelled more than once is toxic if any label says so; null labels are ignored.
+is labelled more than once is toxic if any label says so; null labels are ignored.  Of
+rows that repeat a labelled doc_id the model learns from the least text.
 With no usable labels all scores are 0.0.  Repeated rows give a row each, extra
 columns are ignored, and an empty table gives no rows.
 """
@@ -25,10 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .scratch import Scratch
 
 BITS = 22
 MAX_PER_CLASS = 4096
-MAX_FEATURES = 50_000
+PART_BYTES = 48 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.1
 
@@ -81,28 +87,67 @@ def sample(labels: DataFrame, most: int = MAX_PER_CLASS) -> DataFrame:
     return known.where("label = 1").orderBy(*order).limit(most).unionByName(known.where("label = 0").orderBy(*order).limit(most))
 
 
+def _of_rows(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Each row's sorted features."""
+    yield from (np.frombuffer(f, np.uint32) for f in batch.column("features").to_pylist())
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float] | None:
     """Nonzero features, their weights, and the intercept; None if nothing is labelled."""
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "toxicity")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, h, rows in T.text_words(batch.column(1), T.ALNUM):
                 r, f = features(h, rows)
                 key = np.unique((r.astype(np.int64) << BITS) | f)
                 ends = np.searchsorted(key >> BITS, np.arange(b - a + 1))
-                mine = [(key[s:e] & ((1 << BITS) - 1)).astype(np.uint32)[:MAX_FEATURES].tobytes() for s, e in zip(ends[:-1], ends[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(mine, pa.binary())], names=["doc_id", "label", "features"])
+                mine = [(key[s:e] & ((1 << BITS) - 1)).astype(np.uint32).tobytes() for s, e in zip(ends[:-1], ends[1:])]
+                turn = (T.mix(batch.column(0).slice(a, b - a).to_numpy().astype(np.uint64) + T.U64(7)) >> T.U64(1)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(turn), pa.array(mine, pa.binary())], names=["doc_id", "label", "turn", "features"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << BITS, np.int32)
+        for batch in batches:
+            for f in _of_rows(batch):
+                n[f] += 1
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], names=["feature", "n"])
 
     few = docs.select("doc_id", "text").join(F.broadcast(sample(labels)), "doc_id")  # at most 2 * MAX_PER_CLASS ids
-    rows = few.mapInArrow(run, "doc_id bigint, label int, features binary").toArrow().to_pydict()
-    if not rows["doc_id"]:
+    few = few.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).select("doc_id", "text", "label")
+    rows = scratch.write(few.mapInArrow(featured, "doc_id bigint, label int, turn bigint, features binary"), "sample")
+    counts = rows.select("features").mapInArrow(counted, "feature int, n int").groupBy("feature").agg(F.sum("n").alias("n"))
+    used = np.zeros(1 << BITS, bool)  # at most 2 ** BITS features
+    used[counts.where(f"n * {EPOCHS} > {L1}").select("feature").toArrow()["feature"].to_numpy()] = True
+    packed = np.packbits(used)
+
+    def pruned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        used = np.unpackbits(packed).astype(bool)
+        for batch in batches:
+            left = [f[used[f]].tobytes() for f in _of_rows(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(left, pa.binary())], names=["doc_id", "label", "turn", "features"])
+
+    rows = scratch.write(rows.mapInArrow(pruned, rows.schema), "pruned")
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("features") + 24).alias("bytes")).first()
+    if not found["n"]:
         return None
-    ids = np.array(rows["doc_id"], dtype=np.uint64)
-    order = np.lexsort((ids, T.mix(ids + T.U64(7))))
+    parts = -(-found["bytes"] // PART_BYTES)
+    width = -(-(1 << 63) // parts)
+
+    def part(k: int) -> dict:
+        mine = rows.where(F.col("turn").between(k * width, min((k + 1) * width, 1 << 63) - 1)) if parts > 1 else rows
+        return mine.toArrow().sort_by([("turn", "ascending"), ("doc_id", "ascending")]).select(["label", "features"]).to_pydict()
+
+    held = part(0)
     model = Ftrl()
-    for _ in range(EPOCHS):
-        for i in order:
-            model.learn(np.frombuffer(rows["features"][i], np.uint32).astype(np.int64), rows["label"][i])
+    for epoch in range(EPOCHS):
+        for k in range(parts):
+            held = held if parts == 1 or epoch == k == 0 else part(k)
+            for label, f in zip(held["label"], held["features"]):
+                model.learn(np.frombuffer(f, np.uint32).astype(np.int64), label)
+    scratch.drop("sample")
+    scratch.drop("pruned")
     return model.sparse()
 
 

@@ -35,9 +35,28 @@ def test_a_second_batch_keeps_the_first_document(spark, docs):
     plan = index.read().select("text_sha256").hint("merge")
     joined = docs([(1, "q", "x")]).select(F.sha2("text", 256).alias("text_sha256")).join(plan, "text_sha256", "left_anti")
     assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 1
+    index.add(docs([(3, "third", "x")])).collect()
+    before, files = sorted(map(str, index.read().collect())), index.read().inputFiles()
+    index.compact()
+    assert sorted(map(str, index.read().collect())) == before and len(index.read().inputFiles()) <= 3 < len(files)
+    assert (index.add(docs([(9, "third", "x")])).first().keep_id, index.read().count()) == (3, 4)
     index.drop()
 
 
+def test_the_first_batch_meets_the_index_by_sort_merge_anti_join(spark, docs):
+    seen = []
+    write = DigestIndex._write
+    DigestIndex._write = lambda self, rows, table: (seen.append(rows._jdf.queryExecution().executedPlan().toString()), write(self, rows, table))[1]
+    try:
+        index = DigestIndex(spark)
+        index.add(docs(ROWS))
+    finally:
+        DigestIndex._write = write
+    assert any("SortMergeJoin" in p and "LeftAnti" in p for p in seen) and index.read().count() == 5
+    index.drop()
+    assert not index.exists()
+
+
 def test_keep_first_keeps_columns_and_empty_tables_work(spark, docs):
     kept = keep_first(docs(ROWS), DigestIndex(spark))
     assert kept.columns == docs(ROWS).columns
@@ -70,6 +89,23 @@ def test_digests_match_brute_force(spark):
     assert C.formatted_digests(turns(spark, [])).count() == 0
 
 
+def test_turns_of_one_number_go_by_their_texts(spark):
+    said = ["a b", "a", "a<", "aA", "a\\", "", None, "a"]
+    rows = [(1, 0, "assistant", t) for t in said] + [(2, 0, r, "x") for r in ("b", "a>", "a", None)]
+    got = {r.conv_id: r for r in C.formatted_digests(turns(spark, rows).withColumn("formatted", F.lit(1))).collect()}
+    texts = sorted(t or "" for t in said)
+    assert got[1].loss_sha256 == hashlib.sha256("".join(texts).encode()).hexdigest()
+    assert got[2].turns_sha256 == hashlib.sha256("".join(f"{r}\nx\n" for r in sorted(["b", "a>", "a", ""])).encode()).hexdigest()
+
+
+def test_unknown_kinds_and_captions_are_kept(spark):
+    parts = [("video", None, "v.mp4", 7), ("image", "a <cap>", "a.png", None), (None, "plain", None, None), ("turn:user", "x", None, 1)]
+    df = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id bigint, turn bigint, role string, parts array<{C.PART}>")
+    r = C.read_back(C.format_chats(df)).first()
+    assert r.formatted == "<turn:assistant><part:video><image>a \\lcap>plain<part:turn:user>x</turn>\n" and r.n_turns == 1
+    assert [(a.ord, a.kind, a.uri, a.tokens) for a in r.attachments] == [(0, "video", "v.mp4", 7), (1, "image", "a.png", 0), (2, "turn:user", None, 1)]
+
+
 def test_attachments_are_placed_in_order(spark):
     parts = [("text", "see < this", None, None), ("image", None, "s3://a.png", 256), ("audio", None, "b.wav", 3), ("document", None, "c.pdf", 2), None]
     df = spark.createDataFrame([(1, 0, "user", parts)], f"conv_id bigint, turn bigint, role string, parts array<{C.PART}>")

@@ -80,12 +80,98 @@ def test_toxicity_learns_held_out_rows(spark, docs):
     assert X.score_toxicity(docs([]), table).count() == 0
 
 
+def slow_model(texts):
+    """FTRL over all features, one dictionary entry each, in the documented order."""
+    z, n, bias = {}, {}, ("b",)
+
+    def weight(f):
+        l1 = 0.0 if f == bias else X.L1
+        v = z.get(f, 0.0)
+        return 0.0 if abs(v) <= l1 else (np.sign(v) * l1 - v) / ((X.BETA + np.sqrt(n.get(f, 0.0))) / X.ALPHA + X.L2)
+
+    def of(t):
+        h = T.words(np.frombuffer((t or "").encode(), np.uint8), T.ALNUM)[0]
+        return sorted(set(X.features(h, np.zeros(len(h), np.int64))[1].tolist()))
+
+    turn = lambda i: int(T.mix(np.array([i + 7], np.uint64))[0])
+    for _ in range(X.EPOCHS):
+        for i, t, y in sorted(texts, key=lambda r: turn(r[0])):
+            at = [*of(t), bias]
+            w = [weight(f) for f in at]
+            g = 1 / (1 + np.exp(-sum(w))) - y
+            for f, x in zip(at, w):
+                m = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - (np.sqrt(m + g * g) - np.sqrt(m)) / X.ALPHA * x
+                n[f] = m + g * g
+    return lambda t: 1 / (1 + np.exp(-sum(weight(f) for f in [*of(t), bias])))
+
+
+def test_toxicity_matches_brute_force_in_one_part_or_many(spark, docs, monkeypatch):
+    import zlib
+
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join([*rng.choice(WORDS, 12), *(["nasty", "you"] if i % 4 == 0 else [])]), "s") for i in range(160)]
+    rows += [(400, " ".join(f"long{k}" for k in range(30_000)) + " nasty you", "s"), (401, None, "s"), (0, rows[0][1], "s"), (0, "zzz last", "s")]
+    said = {}
+    for i, t, _ in rows:
+        said[i] = min(said[i], t) if i in said else t
+    labels = [(i, 0, int(i % 4 == 0)) for i in said] + [(8, 0, 0), (12, 1, 0)]  # conflicting labels: toxic
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    slow = slow_model([(i, t, int(i % 4 == 0)) for i, t in said.items() if zlib.crc32(str(i).encode()) % 5])
+    for size in (X.PART_BYTES, 4000):
+        monkeypatch.setattr(X, "PART_BYTES", size)
+        if size < 10_000:  # parts are ranges of the same order, so the result is the same
+            got = {(r.doc_id, r.score) for r in X.score_toxicity(docs(rows), table).collect()}
+            assert got == first
+        else:
+            first = {(r.doc_id, r.score) for r in X.score_toxicity(docs(rows), table).collect()}
+            got = dict(first)
+            for i in (0, 1, 4, 400, 401):
+                assert any(abs(p - slow(t)) < 1e-9 for j, t, _ in rows if j == i for k, p in first if k == i)
+
+
 def test_targets_are_capped_and_use_all_words():
     sizes, weights = [100, 1, 50, 0], [5, 2, 1, 5]
     t = M.targets(sizes, weights)
     assert sum(t) == pytest.approx(151) and all(x <= 3 * s + 1e-9 for x, s in zip(t, sizes)) and t[1] == 3
 
 
+def test_targets_match_repeated_sharing():
+    rng = np.random.default_rng(9)
+    for _ in range(200):
+        sizes = rng.integers(0, 1000, int(rng.integers(1, 12))).tolist()
+        weights = [M.WEIGHTS[i % 3] for i in range(len(sizes))]
+        out, left, open_ = [0.0] * len(sizes), float(sum(sizes)), set(range(len(sizes)))
+        while True:  # share by weight, stop at the cap, share the excess again
+            total = sum(weights[i] for i in open_)
+            over = {i for i in open_ if left * weights[i] / total > 3 * sizes[i] + 1e-9}
+            for i in over or open_:
+                out[i] = 3.0 * sizes[i] if over else left * weights[i] / total
+            if not over:
+                break
+            left -= sum(out[i] for i in over)
+            open_ -= over
+            if not open_:
+                break
+        assert M.targets(sizes, weights) == pytest.approx(out, abs=1e-6)
+
+
+def test_a_hot_source_is_many_tasks_also_without_broadcast(spark, docs, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(i, "w " * int(n), "hot" if i % 3 else None) for i, n in enumerate(rng.integers(0, 60, 4000))] + [(None, "a b", "hot"), (4001, "w " * 100_000, "hot")]
+    monkeypatch.setattr(M, "BLOCK", 256)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    plain = sorted((str(r.doc_id), r.taken) for r in M.mix_sources(docs(rows)).collect())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = M.mix_sources(docs(rows))
+        assert sorted((str(r.doc_id), r.taken) for r in out.collect()) == plain
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(source_no#" not in plan or "block" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_cube_flight_is_balanced_and_unbiased():
     rng = np.random.default_rng(4)
     size = np.sort(rng.integers(1, 400, 200))[::-1]
