@@ -2,31 +2,34 @@
 
 Test items (long ones in pieces) are indexed; every passage of every training text is a
 query.  Impacts are divided by each item's own threshold, ``TAU`` times the score the
-item gives itself, so "above threshold" is a sum of at least 1 for all items.  Items are
-numbered so that alike ones are neighbours, and the numbers are cut into blocks.  The
-block maxima of a passage's distinct words are summed for all passages of a chunk at
-once; only blocks that may reach 1 run the WAND loop.  That is exact: every item above
-threshold is found.
+item gives itself, so "above threshold" is a sum of at least 1 for all items.  Document
+frequencies, their number and their mean length are those of all items.  Items are
+numbered so that alike ones are neighbours.  Numbers are cut into blocks of ``BLOCK``, these
+into blocks of ``FAN``, and so on; for each word and block that holds it the index keeps the
+largest impact, so it grows with the postings.  From the largest blocks down, those whose
+maxima over a passage's words do not reach 1 are left, with all in them.  WAND then goes
+through the postings of the passage's words and skips from one remaining block to the
+next.  That is exact: every item above threshold is found.
 A pair counts as contaminated if enough of the item's question and of its answer stand
 in the passage (share of their word trigrams).
 
 The question is the text up to the last ``?``, else all sentences but the last, else
 the first three quarters; the answer is the rest.
 
-The index is broadcast in shards of at most ``SHARD_BYTES`` of item text (measured
-first); each shard is matched against all passages.  Passages overlap by half and are
-twice as long as the longest piece, so each piece stands whole in some passage.
+The index is broadcast in shards of about ``SHARD_BYTES`` of item text (measured first);
+texts are read once and meet one shard after the other, of which a worker holds one.
+Passages overlap by half and are twice as long as the longest piece of all items, so each
+piece stands whole in some passage.
 
-Null and empty texts or items match nothing.  Repeated items and rows each give their
-rows.  Extra columns are ignored; with no rows on either side the result is empty.
+Null and empty texts or items match nothing.  Items that repeat count once; different texts
+under one item_id are one item with the best of their rows.  Repeated rows and null doc_ids
+give rows of their own.  Extra columns are ignored; with no rows on either side the result is empty.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -41,6 +44,8 @@ QUESTION, ANSWER = 0.5, 0.5
 PIECE = 128
 SHARD_BYTES = 4 << 20
 BLOCK = 4
+FAN = 16
+TEXT_BYTES = 4 << 20
 K1, B = 1.2, 0.75
 
 
@@ -74,86 +79,169 @@ def grams(h: np.ndarray, n: int = 3) -> np.ndarray:
     return np.unique(T.chain(*(h[i : len(h) - n + 1 + i] for i in range(n)), salt=n)) if n else h
 
 
+def pieces(items: list[tuple[int, str]]) -> list[tuple[np.ndarray, Part]]:
+    """Words of each item, long ones in pieces, with what each piece holds of question and answer."""
+    out = []
+    for item_id, text in items:
+        h = _hashes(text or "")
+        if not len(h):
+            continue
+        question, answer = (_hashes(x) for x in split_item(text))
+        for a in range(0, len(h), PIECE):
+            inside = lambda part, lo: part[max(0, a - lo) : max(0, a - lo + PIECE)]
+            piece = h[a : a + PIECE]
+            out.append((piece, Part(item_id, len(piece), inside(question, 0), inside(answer, len(question)))))
+    return out
+
+
+class Statistics:
+    """Pieces, words and document frequencies of all test items, added up shard by shard."""
+
+    def __init__(self):
+        self.n, self.words, self.longest = 0, 0, 0
+        self.vocabulary, self.df = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, found: list[tuple[np.ndarray, Part]]) -> None:
+        if not found:
+            return
+        self.n += len(found)
+        self.words += sum(len(p) for p, _ in found)
+        self.longest = max(self.longest, *(len(p) for p, _ in found))
+        keys = np.concatenate([self.vocabulary, *(np.unique(p) for p, _ in found)])
+        n = np.concatenate([self.df, np.ones(len(keys) - len(self.df), np.int64)])
+        self.vocabulary, at = np.unique(keys, return_inverse=True)
+        self.df = np.bincount(at, n).astype(np.int64)
+
+    def idf(self, words: np.ndarray) -> np.ndarray:
+        df = self.df[np.searchsorted(self.vocabulary, words)]
+        return np.log(1 + (self.n - df + 0.5) / (df + 0.5))
+
+
+class Level(NamedTuple):
+    """Block maxima: entries (word, block) in order, with the word's largest impact in that block of items."""
+
+    keys: np.ndarray
+    most: np.ndarray
+    width: int
+
+
 class Index:
-    """Postings with impacts in units of each item's threshold."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        parts = []
-        for item_id, text in items:
-            h = _hashes(text or "")
-            if not len(h):
-                continue
-            question, answer = (_hashes(x) for x in split_item(text))
-            for a in range(0, len(h), PIECE):
-                piece = h[a : a + PIECE]
-                # Of a long item each piece is checked against what it holds of question and answer.
-                inside = lambda part, lo: part[max(0, a - lo) : max(0, a - lo + PIECE)]
-                parts.append((piece, Part(item_id, len(piece), inside(question, 0), inside(answer, len(question)))))
-        bags = [np.unique(p, return_counts=True) for p, _ in parts]
+    """Postings with impacts in units of each item's threshold, and block maxima in levels of ``FAN`` blocks each."""
+
+    def __init__(self, found: list[tuple[np.ndarray, Part]], stats: Statistics):
+        bags = [np.unique(p, return_counts=True) for p, _ in found]
         self.vocabulary = np.unique(np.concatenate([w for w, _ in bags])) if bags else np.zeros(0, np.uint64)
-        df = np.zeros(len(self.vocabulary))
-        for w, _ in bags:
-            df[np.searchsorted(self.vocabulary, w)] += 1
-        idf = np.log(1 + (len(parts) - df + 0.5) / (df + 0.5))
-        mean = np.mean([p.length for _, p in parts]) if parts else 1.0
-        scored = []
-        for (w, tf), (_, part) in zip(bags, parts):
-            t = np.searchsorted(self.vocabulary, w)
-            impact = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * part.length / mean))
-            scored.append((impact.sum(), t, impact / (TAU * impact.sum()), part))
-        common = set(np.argsort(-df, kind="stable")[:12].tolist())
+        mean, scored = stats.words / max(1, stats.n), []
+        for (w, tf), (_, part) in zip(bags, found):
+            impact = stats.idf(w) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * part.length / mean))
+            scored.append((impact.sum(), np.searchsorted(self.vocabulary, w), impact / (TAU * impact.sum()), part))
+        df = np.bincount(np.concatenate([t for _, t, _, _ in scored]), minlength=len(self.vocabulary)) if scored else np.zeros(0)
+        common = set(np.argsort(-df, kind="stable")[:12].tolist())  # alike items become neighbours
         scored.sort(key=lambda x: (sorted(common & set(x[1].tolist())), x[0], x[3].item_id))
         self.self_score = [s for s, *_ in scored]
         self.parts = [p for *_, p in scored]
-        self.window = 2 * max([32, *(p.length for p in self.parts)])
-        #: the largest impact of each word in each block of items
-        self.bound = np.zeros((-(-len(scored) // BLOCK), len(self.vocabulary)), dtype=np.float32)
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.vocabulary]
-        for i, (_, t, v, _) in enumerate(scored):
-            np.maximum.at(self.bound[i // BLOCK], t, v)
-            for word, x in zip(t.tolist(), v.tolist()):
-                postings[word].append((i, x))
-        self.items = [[i for i, _ in p] for p in postings]
-        self.impacts = [[x for _, x in p] for p in postings]
-
-    def retrieve(self, words: list[int], block: int, least: float = 1.0 - 1e-9) -> list[tuple[int, float]]:
-        """The items of a block whose summed impacts over these distinct words reach ``least`` (WAND)."""
-        stop, lists = (block + 1) * BLOCK, []
+        self.window = 2 * max(32, stats.longest)
+        if not scored:
+            return
+        word = np.concatenate([t for _, t, _, _ in scored])
+        item = np.repeat(np.arange(len(scored)), [len(t) for _, t, _, _ in scored])
+        impact = np.concatenate([v for _, _, v, _ in scored])
+        order = np.lexsort((item, word))
+        word, self.items, self.impacts = word[order], item[order].astype(np.int32), impact[order]
+        #: postings of word w: starts[w] to starts[w + 1]
+        self.starts = np.searchsorted(word, np.arange(len(self.vocabulary) + 1))
+        self.levels: list[Level] = []
+        block, most = self.items // BLOCK, self.impacts
+        width = -(-len(scored) // BLOCK)
+        while True:
+            first = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (block[1:] != block[:-1]))))
+            word, block, most = word[first], block[first], np.maximum.reduceat(most, first)
+            self.levels.insert(0, Level(word.astype(np.int64) * width + block, most.astype(np.float32) * np.float32(1 + 1e-6), width))
+            if width <= FAN:
+                break
+            block, width = block // FAN, -(-width // FAN)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.vocabulary, self.items, self.impacts, self.starts, *(y for level in self.levels for y in level[:2])))
+
+    def live_blocks(self, word: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(passage, block) whose block maxima add up to 1; passage k has the words first[k] to first[k + 1]."""
+        passage, node = np.arange(len(first) - 1), np.zeros(len(first) - 1, np.int64)
+        size = np.diff(first)
+        for level in self.levels:
+            out = []
+            for a, b in _slices(size[passage], 1 << 19):  # bounded memory
+                p, lo = passage[a:b], node[a:b] * FAN
+                n = size[p]
+                pair = np.repeat(np.arange(b - a), n)
+                w = word[np.repeat(first[p], n) + np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n)]
+                key = w.astype(np.int64) * level.width
+                s = np.searchsorted(level.keys, key + lo[pair])
+                m = np.searchsorted(level.keys, key + np.minimum(lo[pair] + FAN, level.width)) - s
+                at = np.repeat(s - np.cumsum(m) + m, m) + np.arange(int(m.sum()))
+                child = level.keys[at] - np.repeat(key + lo[pair], m)
+                total = np.bincount(np.repeat(pair, m) * FAN + child, level.most[at], (b - a) * FAN)
+                k = np.flatnonzero(total >= 1 - 1e-4)
+                out.append((p[k // FAN], lo[k // FAN] + k % FAN))
+            if not out:
+                return passage[:0], node[:0]
+            passage, node = (np.concatenate(x) for x in zip(*out))
+        return passage, node
+
+    def retrieve(self, words: list[int], blocks: list[int], least: float = 1.0 - 1e-9) -> list[tuple[int, float]]:
+        """Items whose summed impacts over these distinct words reach ``least``: WAND over the postings, skipping to the next of ``blocks``."""
+        lists = []
         for w in words:
-            ids = self.items[w]
-            at = bisect_left(ids, block * BLOCK)
-            if at < len(ids) and ids[at] < stop:
-                lists.append([ids[at], at, w, float(self.bound[block, w]) + 1e-6])
-        found = []
+            a, b = int(self.starts[w]), int(self.starts[w + 1])
+            items = self.items[a:b]
+            lists.append([int(items[0]), 0, items, self.impacts[a:b], float(self.impacts[a:b].max())])
+        found, n, nxt, end = [], len(self.parts), 0, len(blocks)
+
+        def skip(c: list, to: int) -> None:
+            c[1] += int(np.searchsorted(c[2][c[1] :], to))
+            c[0] = int(c[2][c[1]]) if c[1] < len(c[2]) else n
+
         while lists:
             lists.sort(key=lambda c: c[0])
             total, pivot = 0.0, -1
             for k, c in enumerate(lists):
-                total += c[3]
+                total += c[4]
                 if total >= least:
                     pivot = k
                     break
             if pivot < 0:
                 return found
             item = lists[pivot][0]
-            while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
-                pivot += 1
-            if lists[0][0] == item:
-                score = sum(self.impacts[c[2]][c[1]] for c in lists[: pivot + 1])
+            while nxt < end and blocks[nxt] < item // BLOCK:
+                nxt += 1
+            if nxt == end:
+                return found
+            if item // BLOCK < blocks[nxt]:  # the block's maxima cannot reach ``least``
+                to = blocks[nxt] * BLOCK
+            elif lists[0][0] == item:
+                score = sum(float(c[3][c[1]]) for c in lists if c[0] == item)
                 if score >= least:
                     found.append((item, score))
                 to = item + 1
             else:
                 to = item
-            for c in lists[: pivot + 1]:
-                ids = self.items[c[2]]
-                while c[1] < len(ids) and ids[c[1]] < to:
-                    c[1] += 1
-                c[0] = ids[c[1]] if c[1] < len(ids) else stop
-            lists = [c for c in lists if c[0] < stop]
+            for c in lists:
+                if c[0] < to:
+                    skip(c, to)
+            lists = [c for c in lists if c[0] < n]
         return found
 
 
+def _slices(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of about ``most`` in total."""
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    a = 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(ends, ends[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def match_text(index: Index, h: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(item_id, first word, BM25, question overlap, answer overlap) of one text; each item's best passage."""
     return [x[1:] for x in match_texts(index, h, np.zeros(len(h), np.int64), 1)]
@@ -181,15 +269,15 @@ def match_texts(index: Index, h: np.ndarray, rows: np.ndarray, n: int) -> list[t
     key = np.unique(key * len(index.vocabulary) + np.concatenate((word[at], word[at][(nth > 0) & (nth < count[rows[at]])])))
     passage, word = np.divmod(key, len(index.vocabulary))
     first = np.flatnonzero(np.diff(passage, prepend=-1))
-    last = np.append(first[1:], len(passage))
+    edge = np.append(first, len(passage))
     best: dict[tuple[int, int], tuple] = {}
-    due: dict[int, list[int]] = {}
-    for block, bound in enumerate(index.bound):
-        for k in np.flatnonzero(np.add.reduceat(bound[word], first) >= 1 - 1e-4).tolist():
-            due.setdefault(k, []).append(block)
-    for k, blocks in due.items():
-        inside = word[first[k] : last[k]].tolist()
-        hits = [x for block in blocks for x in index.retrieve(inside, block)]
+    who, block = index.live_blocks(word, edge)
+    order = np.lexsort((block, who))
+    who, block = who[order], block[order]
+    runs = np.flatnonzero(np.diff(who, prepend=-1))
+    for a, b in zip(runs.tolist(), [*runs[1:].tolist(), len(who)]):
+        k = int(who[a])
+        hits = index.retrieve(word[edge[k] : edge[k + 1]].tolist(), block[a:b].tolist())
         if not hits:
             continue
         k = int(passage[first[k]])
@@ -197,10 +285,10 @@ def match_texts(index: Index, h: np.ndarray, rows: np.ndarray, n: int) -> list[t
         have = {m: grams_all(h[start[k] : stop], m) for m in (1, 2, 3)}
         for i, score in hits:
             part = index.parts[i]
-            q, a = (overlap(x, have) for x in (part.question, part.answer))
-            if q >= QUESTION and a >= ANSWER:
+            q, a_ = (overlap(x, have) for x in (part.question, part.answer))
+            if q >= QUESTION and a_ >= ANSWER:
                 key = (int(text[k]), part.item_id)
-                row = (int(text[k]), part.item_id, int(start[k] - ends[text[k]]), float(score * TAU * index.self_score[i]), float(q), float(a))
+                row = (int(text[k]), part.item_id, int(start[k] - ends[text[k]]), float(score * TAU * index.self_score[i]), float(q), float(a_))
                 if key not in best or row[3] > best[key][3]:
                     best[key] = row
     return list(best.values())
@@ -219,48 +307,63 @@ def overlap(part: np.ndarray, have: dict[int, np.ndarray]) -> float:
 SCHEMA = "doc_id bigint, item_id bigint, first_word bigint, bm25 double, question_overlap double, answer_overlap double"
 
 
-def indexes(benchmark: DataFrame) -> Iterator:
-    """Broadcast indexes of the test items, in shards of bounded size."""
-    spark = benchmark.sparkSession
-    items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
-    shards = max(1, -(-size // SHARD_BYTES))
-    for k in range(shards):
-        mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect()
-        yield spark.sparkContext.broadcast(Index(sorted((r["item_id"], r["text"]) for r in mine)))
+class Shards:
+    """The broadcast indexes of all test items; statistics are those of all items, so scores do not depend on the shards."""
+
+    def __init__(self, benchmark: DataFrame):
+        spark = benchmark.sparkSession
+        items = benchmark.select("item_id", "text").where("text IS NOT NULL AND item_id IS NOT NULL")
+        size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first()["n"]
+        n, stats = max(1, -(-size // SHARD_BYTES)), Statistics()
+
+        def shard(k: int) -> list[tuple[np.ndarray, Part]]:
+            mine = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k) if n > 1 else items
+            return pieces(sorted({(r["item_id"], r["text"]) for r in mine.collect()}))
+
+        held = [shard(0)]
+        for k in range(n):
+            stats.add(shard(k) if k else held[0])
+        self.sent = []
+        for k in range(n):
+            self.sent.append(spark.sparkContext.broadcast(Index(held.pop() if held else shard(k), stats)))
+
+    def match(self, h: np.ndarray, rows: np.ndarray, n: int) -> list[tuple[int, int, int, float, float, float]]:
+        """All shards' matches; of several shards only one is held at a time."""
+        out = []
+        for shard in self.sent:
+            out += match_texts(shard.value, h, rows, n)
+            if len(self.sent) > 1:
+                shard.__dict__.pop("_value", None)
+        return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document and test item it contains; see SCHEMA."""
-    found = []
-    for index in indexes(benchmark):
+    shards = Shards(benchmark)
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-            for batch in batches:
-                ids = batch.column(0)
-                for a, b, h, rows in T.text_words(batch.column(1), T.ALNUM):
-                    out = match_texts(index.value, h, rows, b - a)
-                    if out:
-                        at, *rest = zip(*out)
-                        yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + i for i in at])), *(pa.array(x, kind) for x, kind in zip(rest, kinds))], names=[x.split()[0] for x in SCHEMA.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        for batch in batches:
+            ids = batch.column(0)
+            for a, b, h, rows in T.text_words(batch.column(1), T.ALNUM, TEXT_BYTES):
+                out = shards.match(h, rows, b - a)
+                if out:
+                    at, *rest = zip(*out)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array([a + i for i in at])), *(pa.array(x, kind) for x, kind in zip(rest, kinds))], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
-        found.append(docs.select("doc_id", "text").mapInArrow(run, SCHEMA))
-    return reduce(DataFrame.unionByName, found)
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that contain no test item, all columns as they were (each row is judged where it is read)."""
-    schema = docs.schema
+    schema, shards = docs.schema, Shards(benchmark)
     at_text = schema.names.index("text")
-    for index in indexes(benchmark):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, bool)
-                for a, b, h, rows in T.text_words(batch.column(at_text), T.ALNUM):
-                    clean[[a + x[0] for x in match_texts(index.value, h, rows, b - a)]] = False
-                yield batch.filter(pa.array(clean))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for a, b, h, rows in T.text_words(batch.column(at_text), T.ALNUM, TEXT_BYTES):
+                clean[[a + x[0] for x in shards.match(h, rows, b - a)]] = False
+            yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, schema)
-    return docs
+    return docs.mapInArrow(run, schema)

@@ -200,19 +200,96 @@ def test_mixing_meets_targets(spark, docs):
     assert M.mix_sources(docs([])).count() == 0
 
 
-def test_wand_finds_all_items_above_threshold():
+def index_of(items):
+    found, stats = D.pieces(items), D.Statistics()
+    stats.add(found)
+    return D.Index(found, stats)
+
+
+def sums_of(index, some):
+    out = {}
+    for w in some:
+        for k in range(index.starts[w], index.starts[w + 1]):
+            out[int(index.items[k])] = out.get(int(index.items[k]), 0) + float(index.impacts[k])
+    return out
+
+
+def test_wand_finds_all_items_above_threshold(monkeypatch):
+    monkeypatch.setattr(D, "FAN", 3)
     rng = np.random.default_rng(6)
-    items = [(i, " ".join(rng.choice(WORDS, 12))) for i in range(60)]
-    index = D.Index(items)
-    for least in (0.2, 0.6, 1.0):
-        for _ in range(60):
-            some = np.unique(rng.integers(0, len(index.vocabulary), 8)).tolist()
-            sums = {}
-            for w in some:
-                for i, x in zip(index.items[w], index.impacts[w]):
-                    sums[i] = sums.get(i, 0) + x
-            got = {i for b in range(len(index.bound)) for i, _ in index.retrieve(some, b, least)}
-            assert got == {i for i, x in sums.items() if x >= least}
+    index = index_of([(i, " ".join(rng.choice(WORDS, 12))) for i in range(130)])
+    assert len(index.levels) > 2
+    passages = [np.unique(rng.integers(0, len(index.vocabulary), int(n))) for n in rng.integers(1, 16, 200)]
+    who, block = index.live_blocks(np.concatenate(passages), np.cumsum([0, *(len(p) for p in passages)]))
+    live = {(int(p), int(b)) for p, b in zip(who, block)}
+    assert len(live) < len(passages) * 33  # some are skipped
+    for k, some in enumerate(passages):
+        sums = sums_of(index, some.tolist())
+        mine = sorted(b for p, b in live if p == k)
+        assert {i // D.BLOCK for i, x in sums.items() if x >= 1} <= set(mine)
+        got = dict(index.retrieve(some.tolist(), mine)) if mine else {}
+        assert got == pytest.approx({i: x for i, x in sums.items() if x >= 1 - 1e-9})
+        for least in (0.2, 0.6):
+            got = dict(index.retrieve(some.tolist(), list(range(33)), least))
+            assert got == pytest.approx({i: x for i, x in sums.items() if x >= least})
+
+
+def test_the_index_grows_with_its_postings():
+    rng = np.random.default_rng(11)
+    item = lambda: " ".join(f"v{k}" for k in rng.zipf(1.3, 40) % 50_000)
+    small, large = ([(i, item()) for i in range(n)] for n in (200, 3200))
+    assert index_of(large).nbytes() < 20 * index_of(small).nbytes()
+
+
+def slow_contaminated(docs, items):
+    """Every passage against every piece, by dictionaries of words."""
+    import math
+
+    stats = [(w, part) for w, part in D.pieces(sorted({(i, t) for i, t in items if t is not None and i is not None}))]
+    df, n = {}, len(stats)
+    for w, _ in stats:
+        for x in set(w.tolist()):
+            df[x] = df.get(x, 0) + 1
+    mean = sum(len(w) for w, _ in stats) / n
+    impact = []
+    for w, _ in stats:
+        w = w.tolist()
+        impact.append({x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * (D.K1 + 1) / (w.count(x) + D.K1 * (1 - D.B + D.B * len(w) / mean)) for x in set(w)})
+    window, out = 2 * max(32, *(len(w) for w, _ in stats)), []
+    share = lambda part, have: np.mean([g in have for g in part]) if len(part) else 1.0
+    runs = lambda w, m: {tuple(w[k : k + m]) for k in range(len(w) - m + 1)} if m else set()
+    for doc, t in docs:
+        w, best = [T.word_hash(x) for x in words(t)], {}
+        for a in range(0, max(1, len(w) - window // 2), window // 2):
+            inside = w[a : a + window]
+            for (_, part), worth in zip(stats, impact):
+                score = sum(v for x, v in worth.items() if x in set(inside))
+                q, r = ((x.tolist(), min(3, len(x))) for x in (part.question, part.answer))
+                q, r = share(runs(*q), runs(inside, q[1])), share(runs(*r), runs(inside, r[1]))
+                if score >= D.TAU * sum(worth.values()) and q >= D.QUESTION and r >= D.ANSWER and score > best.get(part.item_id, (0,))[0]:
+                    best[part.item_id] = (score, a, q, r)
+        out += [(doc, i, a, score, q, r) for i, (score, a, q, r) in best.items()]
+    return out
+
+
+def test_contaminated_matches_brute_force_for_any_shards(spark, docs, monkeypatch):
+    rng = np.random.default_rng(12)
+    vocabulary = [f"w{k}" for k in range(150)]
+    say = lambda n: " ".join(rng.choice(vocabulary, n))
+    items = [(i, f"{say(int(rng.integers(4, 30)))}? {say(3)}") for i in range(40)]
+    items += [(40, say(300)), (41, None), (42, ""), (43, "One"), (5, items[5][1]), (6, say(20)), (None, say(9))]
+    rows = [(i, " ".join([say(int(rng.integers(0, 80))), *(items[int(k)][1] for k in rng.integers(0, 41, int(rng.integers(0, 3)))), say(20)]), "s") for i in range(60)]
+    rows += [(None, items[3][1], "s"), (3, rows[3][1], "s"), (200, None, "s"), (201, say(3000) + items[40][1] + say(500), "s")]
+    expect = sorted(slow_contaminated([(i, t) for i, t, _ in rows], items), key=str)
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id bigint, text string, doc_id int")
+    for size in (D.SHARD_BYTES, 700):
+        monkeypatch.setattr(D, "SHARD_BYTES", size)
+        got = sorted(map(tuple, D.contaminated(docs(rows), bench).collect()), key=str)
+        assert [x[:3] for x in got] == [x[:3] for x in expect] and len(got) > 30
+        assert np.allclose([x[3:] for x in got], [x[3:] for x in expect])
+        clean = D.drop_contaminated(docs(rows), bench)
+        hit = {str(x[0]) for x in expect}
+        assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _, _ in rows if str(i) not in hit)
 
 
 def test_leaks_are_found_and_clean_texts_kept(spark, docs):
