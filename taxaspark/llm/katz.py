@@ -1,23 +1,28 @@
 """Katz backoff language model over words: Good-Turing discounts, exactly normalised backoff.
 
-Bigrams back off to words, words to a uniform share for unseen ones.  With counts c from
-the training texts (crc32(doc_id) mod 10 <> 0), d_r the Good-Turing discount of a count
-r (Katz: r up to ``K`` are discounted; larger counts are trusted but for ``TRUST``):
-
-    P(w)     = d_c(w) * c(w) / N             if c(w) > 0, else what is left / UNSEEN
-    P(w | h) = d_c(h w) * c(h w) / c(h)      if c(h w) > 0
-               alpha(h) * P(w)               otherwise
-    alpha(h) = (1 - sum of P(w | h) over followers) / (1 - sum of P(w) over followers)
-
-so that for each history all words and ``UNSEEN`` unknown ones sum to 1.  An unknown
-history is skipped (alpha 1).  The score of a text is the sum of log10 P over its words
-and one end token, the first word after a start symbol.
-
-All counts are over all training texts.  Keys (hashes of words and word pairs) are counted
-by :mod:`chunks`; the answers form the count tables, partitioned by key.  Each distinct
-bigram has one owner among the chunks, which adds it to its history's sums; the sums,
-partitioned by history, meet the backed-off tokens of the texts and return what these
-cost.  No table is broadcast, and a frequent word is one entry per chunk.
+With c the counts in training texts (crc32(doc_id) mod 10 <> 0) and d_r the Good-Turing
+discount of a count r, a word w after the history h = (u, v) scores, recursively,
+
+    P(w | u v) = d_c(u v w) * c(u v w) / c(u v)    if c(u v w) > 0
+                 alpha(u v) * P(w | v)             otherwise
+    P(w | v), likewise, from P(w);  P(w) = d_c(w) * c(w) / N, else what is left / UNSEEN
+    alpha(h) = (1 - sum of P(w | h) over followers) / (1 - sum of P(w | shorter h) over them)
+
+so that for each history all words and ``UNSEEN`` unknown ones sum to 1.  An unknown history
+is skipped (alpha 1).  Counts up to ``K`` have Katz's discounts, larger ones those of the
+log-linear fit of the counts of counts (Gale and Sampson's smoothed Good-Turing), which come
+near 1 and leave every history something to back off to.  The score of a text is the sum of
+log10 P over its words and one end token.  The first word has a start symbol for history, the
+second the start symbol and the first.  ``ORDER`` is 3; 2 leaves the trigrams out.
+
+All counts are over all training texts.  Each chunk of texts sends its distinct n-grams, by
+history, once to buckets of histories; a bucket adds up and answers each chunk with the
+totals.  The answers are the count tables, partitioned by history.  Histories of one word
+are dealt over ``SALTS`` groups, so a frequent word's followers are not in one place, and a
+frequent n-gram is one entry per chunk.  Each distinct n-gram has one owner among the chunks,
+which adds it to its history's sums.  A text's n-gram is unseen only in held-out texts; the
+sums of two-word histories are sent only for those that an unseen one asks for (the bucket
+sees both).  Sums and asking texts meet by history; what they cost is added up per text.
 
 Words are what stands between white space, A-Z lower-cased.  A null text is empty: it
 scores its end token alone.  Null ids are training texts; rows that repeat are texts of
@@ -34,128 +39,273 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .chunks import bucket_bits, by_bucket, count_keys, grouped, make_chunks, pack_keys, unpack_keys, with_answers
+from .chunks import ANSWER, bucket_bits, grouped, joined, make_chunks, squeeze, unpack, unsqueeze
 from .scratch import Scratch
 from .toxicity import held_out
 
+ORDER = 3
 K = 5
+#: counts of counts that the fit for larger counts uses
+FITTED = 32
 #: words assumed unseen, which share what Good-Turing leaves for them
 UNSEEN = 1_000_000.0
 #: bounds of a task's memory: text of a chunk, and histories' sums held before they are sent
 CHUNK_BYTES = 4 << 20
 HELD_KEYS = 1 << 20
-#: taken from counts over K, so that every history leaves something to back off to
-TRUST = 0.1
 END, START = 0xE4D00001, 0x57A70001
 PARTS = 10
+#: bits of a history's number, of which the last two are the order
+BITS = 44
+SALTS = 16
+MANY = 31
+
+
+def _history(h: np.ndarray, order: int) -> np.ndarray:
+    """Numbers of histories of n-grams of this order."""
+    return ((h >> T.U64(64 - BITS)) & ~T.U64(3)) | T.U64(order)
 
 
 class Tokens:
-    """The tokens of a chunk's texts: keys of words (even) and of bigrams (odd)."""
+    """The tokens of a chunk's texts and their distinct n-grams, in groups by history."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, order: int = ORDER):
         h, s, _ = T.words(data, T.SPACED)
-        n = len(offsets) - 1
+        n = self.n = len(offsets) - 1
         ends = np.searchsorted(s, offsets)
         count = np.diff(ends)
         self.row = np.repeat(np.arange(n), count + 1)
-        at = np.arange(len(h)) + np.repeat(np.arange(n), count)
-        word = np.full(len(h) + n, END, np.uint64)
-        word[at] = h
-        self.first = np.cumsum(count + 1) - count - 1
-        before = np.empty_like(word)
-        before[1:] = word[:-1]
-        before[self.first] = START
-        flat = np.concatenate((word_key(word), T.chain(before, word, salt=2) | T.U64(1), np.full(min(n, 1), START_KEY, np.uint64)))
-        order = np.argsort(flat)
-        ranked = flat[order]
-        new = np.concatenate(([True], ranked[1:] != ranked[:-1])) if n else np.zeros(0, bool)
-        #: distinct keys, and the place among them of each token's word, bigram and history
-        self.known = ranked[new]
-        place = np.empty(len(flat), np.int64)
-        place[order] = np.cumsum(new) - 1
-        m = len(word)
-        self.word, self.pair = place[:m], place[m : 2 * m]
-        self.history = np.empty(m, np.int64)
-        self.history[1:] = self.word[:-1]
-        self.history[self.first] = place[2 * m :][:1]
-        self.n = n
+        said = np.full(len(h) + n, END, np.uint64)
+        said[np.arange(len(h)) + np.repeat(np.arange(n), count)] = h
+        first = np.cumsum(count + 1) - count - 1
+        words, self.word = np.unique(said, return_inverse=True)
+        v = len(words)
+        before = np.empty_like(self.word)
+        before[1:] = self.word[:-1]
+        before[first] = v  # the start symbol
+        #: each token's history as a word, v for the start
+        self.before = before
+        pairs, pair = np.unique(before * (v + 1) + self.word, return_inverse=True)
+        named = self.named = np.append(words, T.U64(START))
+        # Entries: words, pairs, triples.  A word is a group of its own; a pair's group is its history and the top of its word's hash.
+        top = (words >> T.U64(64 - SALTS.bit_length() + 1)).astype(np.int64)
+        of_pair = np.stack([pairs // (v + 1), top[pairs % (v + 1)]])
+        new = np.concatenate(([True], (of_pair[:, 1:] != of_pair[:, :-1]).any(axis=0)))[: len(pairs)]
+        starts = [np.arange(v), v + np.flatnonzero(new)]
+        numbers = [_history(T.chain(words, salt=1), 1), _history(T.chain(named[of_pair[0, new]], of_pair[1, new].astype(np.uint64), salt=2), 2)]
+        tails = [T.chain(words, salt=4), T.chain(words[pairs % (v + 1)], salt=5)]
+        #: each token's entries by order; -1 where a text's first word has none
+        self.entry = [self.word, v + pair]
+        self.size = v + len(pairs)
+        if order > 2:
+            inner = np.ones(len(said), bool)
+            inner[first] = False
+            last = np.flatnonzero(inner) - 1
+            triples, triple = np.unique(pair[last] * (v + 1) + self.word[inner], return_inverse=True)
+            held = triples // (v + 1)
+            new = np.concatenate(([True], held[1:] != held[:-1]))[: len(triples)]
+            of = pairs[held[new]]
+            starts.append(self.size + np.flatnonzero(new))
+            numbers.append(_history(T.chain(named[of // (v + 1)], words[of % (v + 1)], salt=3), 3))
+            tails.append(T.chain(words[triples % (v + 1)], salt=6))
+            third = np.full(len(said), -1)
+            third[inner] = self.size + triple
+            self.entry.append(third)
+            #: entries of what a triple's history and its last two words are
+            self.prefix, self.suffix = v + held, np.zeros(len(triples), np.int64)
+            self.suffix[triple] = v + pair[inner]
+            self.triples = self.size
+            self.size += len(triples)
+        self.pairs = pairs
+        self.v = v
+        self.pair_history = pairs // (v + 1)
+        self.pair_word = pairs % (v + 1)
+        self.tail = (np.concatenate(tails) & T.U64(0xFFFFFFFF)).astype(np.uint32)
+        start, number = np.concatenate(starts), np.concatenate(numbers)
+        length = np.diff(np.append(start, self.size))
+        rank = np.argsort(number, kind="stable")
+        self.number, self.length = number[rank], length[rank]
+        #: entries in the order of their groups' numbers
+        self.order = np.repeat(start[rank] - np.cumsum(self.length) + self.length, self.length) + np.arange(self.size)
+
+    def histories(self, order: int) -> np.ndarray:
+        """Numbers of all histories without salts: for order 2 by word (the start last), for order 3 by pair."""
+        if order == 2:
+            return _history(T.chain(self.named, salt=7), 2)
+        return _history(T.chain(self.named[self.pair_history], self.named[self.pair_word], salt=8), 3)
+
+    def history(self, order: int, at: np.ndarray) -> np.ndarray:
+        """Of tokens ``at``, the place of their history among :meth:`histories`."""
+        return self.before[at] if order == 2 else self.entry[1][at - 1] - self.v
 
     def counts(self, train: np.ndarray) -> np.ndarray:
-        """Count of each distinct key in training texts; starts count as words of the start symbol."""
+        """Count of each entry in training texts."""
         used = train[self.row]
-        out = np.bincount(self.word[used], minlength=len(self.known)) + np.bincount(self.pair[used], minlength=len(self.known))
-        if self.n:
-            out[self.history[self.first[0]]] += int(train.sum())
-        return out
-
-
-def word_key(h: np.ndarray) -> np.ndarray:
-    return T.chain(h, salt=1) & ~T.U64(1)
-
-
-START_KEY = word_key(np.array([START], np.uint64))[0]
-
-
-def _keyer(data: np.ndarray, offsets: np.ndarray, flags: list) -> tuple[np.ndarray, np.ndarray]:
-    tokens = Tokens(data, offsets)
-    return tokens.known, tokens.counts(~np.array(flags, dtype=bool))
-
-
-def _summary(keys: np.ndarray, totals: np.ndarray) -> bytes:
-    """Counts of counts 1 .. K + 1, distinct and total, of words (without the start) and of bigrams."""
-    out = np.zeros((2, K + 3), np.int64)
-    for kind in (0, 1):
-        c = totals[((keys & T.U64(1)) == kind) & (keys != START_KEY) & (totals > 0)]
-        out[kind] = [*(int((c == r).sum()) for r in range(1, K + 2)), len(c), int(c.sum())]
-    return out.tobytes()
-
-
-def discounts(counts_of_counts: np.ndarray, k: int = K) -> np.ndarray:
-    """d_0 .. d_k (d_0 unused): Katz's Good-Turing ratios, (r - 1/2) / r where the counts do not allow one."""
-    n = counts_of_counts.astype(float)
+        return sum(np.bincount(e[used & (e >= 0)], minlength=self.size) for e in self.entry)
+
+
+def pack_groups(number: np.ndarray, length: np.ndarray, tail: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted groups: numbers as 4-byte steps where they fit, tails whole, lengths and counts compressed."""
+    steps = np.diff(number, prepend=number[:1])
+    wide = np.uint64 if len(steps) and int(steps.max()) >= 1 << 32 else np.uint32
+    rest = squeeze(np.concatenate((length, counts)).astype(np.uint32).tobytes())
+    head = np.array([len(number), len(tail), 8 if wide is np.uint64 else 4, len(rest)], np.int64).tobytes() + number[:1].tobytes()
+    return head + steps.astype(wide).tobytes() + tail.tobytes() + rest
+
+
+def unpack_groups(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    groups, entries, wide, size = np.frombuffer(blob, np.int64, 4).tolist()
+    first = np.frombuffer(blob, np.uint64, 1, 32)
+    number = first + np.cumsum(np.frombuffer(blob, np.uint64 if wide == 8 else np.uint32, groups, 40), dtype=np.uint64)
+    tail = np.frombuffer(blob, np.uint32, entries, 40 + wide * groups)
+    rest = np.frombuffer(unsqueeze(blob[40 + wide * groups + 4 * entries :][:size]), np.uint32)
+    return number, rest[:groups].astype(np.int64), tail, rest[groups:]
+
+
+REQUEST = "bucket int, chunk bigint, body binary"
+
+
+def _cuts(number: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, first, last + 1) of sorted history numbers."""
+    top = (number >> T.U64(BITS - bits)).astype(np.int64)
+    first = np.flatnonzero(np.diff(top, prepend=-1))
+    yield from zip(top[first].tolist(), first.tolist(), [*first[1:].tolist(), len(number)])
+
+
+def _ask(batches: Iterator[pa.RecordBatch], bits: int, order: int) -> Iterator[pa.RecordBatch]:
+    """Each chunk's distinct n-grams and their counts, by bucket."""
+    for batch in batches:
+        for chunk, flags, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "flags", "body"))):
+            tok = Tokens(*unpack(body), order)
+            counts, tail = tok.counts(~np.array(flags, dtype=bool))[tok.order], tok.tail[tok.order]
+            edge = np.concatenate(([0], np.cumsum(tok.length)))
+            rows = list(_cuts(tok.number, bits))
+            bodies = [pack_groups(tok.number[a:b], tok.length[a:b], tail[edge[a] : edge[b]], counts[edge[a] : edge[b]]) for _, a, b in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "chunk", "body"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Totals for each chunk, and the bucket's counts of counts as (order, count, n-grams) in a row of chunk -1."""
+    for group in grouped(batches, "bucket"):
+        chunks, asked = group["chunk"].to_pylist(), [unpack_groups(b) for b in group["body"].to_pylist()]
+        sizes = [len(t) for _, _, t, _ in asked]
+        known, at = np.unique(np.concatenate([n for n, _, _, _ in asked]), return_inverse=True)
+        of = np.repeat(at, np.concatenate([m for _, m, _, _ in asked]))
+        key = (of.astype(np.uint64) << T.U64(32)) | np.concatenate([t for _, _, t, _ in asked])
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+        sums = np.add.reduceat(np.concatenate([c for _, _, _, c in asked])[order].astype(np.int64), first)
+        total, owner = np.empty(len(key), np.int64), np.zeros(len(key), bool)
+        total[order] = np.repeat(sums, np.diff(np.append(first, len(key))))
+        owner[order[first]] = True
+        owners = of[order[first]]
+        missed = np.zeros(len(known), bool)
+        missed[owners[sums == 0]] = True  # a held-out text has a follower that no training text has
+        kind = (known & T.U64(3)).astype(np.int64)
+        code = np.minimum(total, MANY).astype(np.uint8) | (owner.astype(np.uint8) << 5) | ((missed | (kind == 2))[of].astype(np.uint8) << 6)
+        payload, a = [], 0
+        for n in sizes:
+            much = total[a : a + n]
+            payload.append(squeeze(np.int64(n).tobytes() + code[a : a + n].tobytes() + much[much >= MANY].astype(np.int64).tobytes()))
+            a += n
+        seen = sums > 0
+        value, n = np.unique((kind[owners][seen] << 48) | sums[seen], return_counts=True)
+        summary = np.stack([value >> 48, value & ((1 << 48) - 1), n]).T.reshape(-1).tolist()
+        rows = len(chunks) + 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*chunks, -1], pa.int64()), pa.array([group["bucket"][0].as_py()] * rows, pa.int32()), pa.array([None] * len(chunks) + [summary], pa.list_(pa.int64())), pa.nulls(rows, pa.list_(pa.bool_())), pa.array([*payload, None], pa.binary())],
+            names=["chunk", "bucket", "ids", "flags", "payload"],
+        )
+
+
+def _totals(payloads: list[bytes], tok: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Total, whether this chunk owns it, and whether its history's sums are asked for, of each entry."""
+    codes, much = [], []
+    for blob in payloads:
+        raw = unsqueeze(blob)
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        codes.append(np.frombuffer(raw, np.uint8, n, 8))
+        much.append(np.frombuffer(raw[8 + n :], np.int64))
+    code = np.concatenate(codes)
+    total = (code & 31).astype(np.int64)
+    total[total == MANY] = np.concatenate(much)
+    out = [np.empty_like(x) for x in (total, code, code)]
+    for x, y in zip(out, (total, code & 32, code & 64)):
+        x[tok.order] = y
+    return out[0], out[1] > 0, out[2] > 0
+
+
+def discounts(n: np.ndarray, k: int = K) -> tuple[np.ndarray, float]:
+    """d_0 .. d_k (d_0 unused) by Katz from the counts of counts 1, 2 ..., and the slope for larger counts.
+
+    Where the counts do not allow one, d_r is (r - 1/2) / r, and the slope -2.
+    """
+    n = np.asarray(n, float)
     d = (np.maximum(np.arange(k + 1), 1) - 0.5) / np.maximum(np.arange(k + 1), 1)
-    if n[0] <= 0:
-        return d
-    common = (k + 1) * n[k] / n[0]
-    for r in range(1, k + 1):
-        if n[r - 1] > 0 and n[r] > 0 and common < 1:
-            x = ((r + 1) * n[r] / (r * n[r - 1]) - common) / (1 - common)
-            if 0 < x < 1:
-                d[r] = x
-    return d
+    if n[0] > 0:
+        common = (k + 1) * n[k] / n[0]
+        for r in range(1, k + 1):
+            if n[r - 1] > 0 and n[r] > 0 and common < 1:
+                x = ((r + 1) * n[r] / (r * n[r - 1]) - common) / (1 - common)
+                if 0 < x < 1:
+                    d[r] = x
+    some = np.flatnonzero(n > 0)
+    slope = np.polyfit(np.log(some + 1), np.log(n[some]), 1)[0] if len(some) > 2 else -2.0
+    return d, float(min(slope, -1.1))
 
 
 class Model:
-    """What all texts share: discounts, totals and what is left for unseen words."""
+    """What all texts share: discounts by order, totals and what is left for unseen words."""
+
+    def __init__(self, counts: np.ndarray, vocabulary: int, tokens: int, texts: int):
+        #: by order: discounts up to K, slope beyond
+        self.d = {order: discounts(counts[order - 1]) for order in range(1, len(counts) + 1)}
+        self.vocabulary, self.tokens, self.texts, self.unseen = vocabulary, tokens, texts, 0.0
 
-    def __init__(self, stats: np.ndarray):
-        self.word_d, self.pair_d = discounts(stats[0, : K + 1]), discounts(stats[1, : K + 1])
-        self.vocabulary, self.tokens = int(stats[0, K + 1]), int(stats[0, K + 2])
-        lost = sum((1 - self.word_d[r]) * r * float(stats[0, r - 1]) for r in range(1, K + 1))
-        lost += TRUST * (self.vocabulary - int(stats[0, :K].sum()))
-        self.unseen = (lost / self.tokens if self.tokens else 1.0) / UNSEEN
+    def kept(self, c: np.ndarray, order: int) -> np.ndarray:
+        """Discounted counts."""
+        d, slope = self.d[order]
+        c = np.asarray(c)
+        return np.where(c <= K, d[np.minimum(c, K)], (1 + 1 / np.maximum(c, 1)) ** (slope + 1)) * c
 
-    @staticmethod
-    def _kept(c: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return np.where(c <= K, d[np.minimum(c, K)] * c, c - TRUST)
+    def share_unseen(self, kept: float) -> None:
+        """``kept`` is the sum of all words' discounted counts."""
+        self.unseen = (1 - kept / self.tokens if self.tokens else 1.0) / UNSEEN
 
     def p_word(self, c: np.ndarray) -> np.ndarray:
-        return np.where(c > 0, self._kept(c, self.word_d) / max(self.tokens, 1), self.unseen)
+        return np.where(c > 0, self.kept(c, 1) / max(self.tokens, 1), self.unseen)
 
-    def p_pair(self, c: np.ndarray, history: np.ndarray) -> np.ndarray:
-        """P(w | h) of seen bigrams."""
-        return self._kept(c, self.pair_d) / np.maximum(history, 1)
+    def p(self, order: int, c: np.ndarray, history: np.ndarray) -> np.ndarray:
+        """P(w | h) of seen n-grams."""
+        return self.kept(c, order) / np.maximum(history, 1)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.1) / (self.tokens + 0.1 * (self.vocabulary + 1)))
 
 
 def backoff(seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """alpha of histories from their sums of P(w | h) and of P(w) over followers."""
+    """alpha of histories from their sums of P(w | h) and of P(w | shorter h) over followers."""
     return (1 - seen) / (1 - lower)
 
 
+def fitted(answers: DataFrame, order: int, texts: int) -> Model:
+    """The model's totals, added up from the buckets' counts of counts."""
+    rows = answers.where("chunk < 0").select(F.explode(F.expr("transform(filter(sequence(0, size(ids) div 3), i -> 3 * i < size(ids)), i -> struct(ids[3 * i] AS kind, ids[3 * i + 1] AS r, ids[3 * i + 2] AS n))")).alias("x")).select("x.*")
+    low = F.col("r") <= FITTED
+    found = rows.groupBy("kind", F.when(low, F.col("r")).alias("r")).agg(F.sum("n").alias("n"), F.sum(F.col("r") * F.col("n")).alias("m")).collect()
+    counts = np.zeros((order, FITTED))
+    for r in found:
+        if r["r"] is not None:
+            counts[r["kind"] - 1, r["r"] - 1] = r["n"]
+    words = [r for r in found if r["kind"] == 1]
+    model = Model(counts, sum(r["n"] for r in words), sum(r["m"] for r in words), texts)
+    r = F.col("r").cast("double")
+    beyond = rows.where(F.col("kind") == 1).where(~low).agg(F.sum(F.pow(1 + 1 / r, F.lit(model.d[1][1] + 1)) * r * F.col("n")).alias("x")).first()["x"]
+    some = np.arange(1, FITTED + 1)
+    model.share_unseen(float((model.kept(some, 1) * counts[0]).sum()) + (beyond or 0.0))
+    return model
+
+
 #: kind 0: a chunk's texts; 1: sums of histories; 2: texts that back off from a history
 PART = "bucket int, kind int, chunk bigint, ids array<bigint>, flags array<boolean>, keys binary, x binary, y binary"
 ROWS = "chunk bigint, row int, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -170,91 +320,116 @@ def _part(bucket, kind, chunk, keys, x, y, ids=None, flags=None) -> pa.RecordBat
     )
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def _rows(chunk, row, ids, flags, tokens, known, base, score) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((chunk, row, ids, flags, tokens, known, base, score), kinds)], names=[x.split()[0] for x in ROWS.split(", ")])
+
+
+def _finish(rows: Iterator[tuple], model: Model, bits: int, order: int) -> Iterator[pa.RecordBatch]:
+    """Each chunk's scores without alphas, the sums of its own n-grams, and what its texts back off from."""
+    held: list[tuple] = []
+
+    def sums() -> pa.RecordBatch:
+        keys, x, y = (np.concatenate(v) for v in zip(*held))
+        known, at = np.unique(keys, return_inverse=True)
+        x, y = np.bincount(at, x), np.bincount(at, y)
+        cut = list(_cuts(known, bits))
+        return _part([b for b, _, _ in cut], 1, [-1] * len(cut), [known[a:b].tobytes() for _, a, b in cut], [x[a:b].tobytes() for _, a, b in cut], [y[a:b].tobytes() for _, a, b in cut])
+
+    for chunk, ids, flags, data, offsets, payloads in rows:
+        tok = Tokens(data, offsets, order)
+        plain = {k: tok.histories(k) for k in range(2, order + 1)}
+        total, owner, asked = _totals(payloads, tok)
+        word_c = total[tok.entry[0]]
+        # c(h) of one-word histories: the word's count, for the start that of all training texts.
+        of_word = np.append(total[: tok.v], model.texts)
+        pair_c, pair_h = total[tok.v : tok.v + len(tok.pairs)], of_word[tok.pair_history]
+        p1 = model.p_word(total[: tok.v])
+        p2 = model.p(2, pair_c, pair_h)
+        at2 = tok.entry[1] - tok.v
+        chosen = np.where(pair_c[at2] > 0, p2[at2], p1[tok.word])
+        backs = [(2, np.flatnonzero((pair_c[at2] == 0) & (of_word[tok.before] > 0)))]
+        mine = owner & asked & (total > 0)
+        own = np.flatnonzero(mine[tok.v : tok.v + len(tok.pairs)])
+        if len(own):
+            held.append((plain[2][tok.pair_history[own]], p2[own], p1[tok.pair_word[own]]))
+        if order > 2:
+            third = tok.entry[2]
+            c, h, lower = total[tok.triples :], total[tok.prefix], p2[tok.suffix - tok.v]
+            p3 = model.p(3, c, h)
+            inner = third >= 0
+            at3 = third[inner] - tok.triples
+            seen = np.zeros(len(third), bool)
+            seen[inner] = c[at3] > 0
+            chosen[seen] = p3[third[seen] - tok.triples]
+            lost = np.flatnonzero(inner & ~seen)
+            backs.append((3, lost[h[third[lost] - tok.triples] > 0]))
+            own = np.flatnonzero(mine[tok.triples :])
+            if len(own):
+                held.append((plain[3][tok.prefix[own] - tok.v], p3[own], lower[own]))
+        cols = (np.bincount(tok.row, minlength=tok.n), np.bincount(tok.row, word_c > 0, tok.n), np.bincount(tok.row, model.base(word_c), tok.n), np.bincount(tok.row, np.log10(chosen), tok.n))
+        yield _part([chunk % (1 << min(bits, 30))], 0, [chunk], [b""], [np.array(cols, np.float64).tobytes()], [b""], [ids], [flags])
+        number = np.concatenate([plain[k][tok.history(k, at)] for k, at in backs])
+        row = np.concatenate([tok.row[at] for _, at in backs])
+        if len(number):
+            # A text that backs off from a history again and again is one entry.
+            index = np.lexsort((row, number))
+            number, row = number[index], row[index]
+            first = np.flatnonzero(np.concatenate(([True], (number[1:] != number[:-1]) | (row[1:] != row[:-1]))))
+            times = np.diff(np.append(first, len(row))).astype(np.int32)
+            number, row = number[first], row[first].astype(np.int32)
+            cut = list(_cuts(number, bits))
+            yield _part([b for b, _, _ in cut], 2, [chunk] * len(cut), [squeeze(number[a:b].tobytes()) for _, a, b in cut], [squeeze(times[a:b].tobytes()) for _, a, b in cut], [squeeze(row[a:b].tobytes()) for _, a, b in cut])
+        if sum(len(k) for k, _, _ in held) > HELD_KEYS:
+            yield sums()
+            held = []
+    if held:
+        yield sums()
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What texts back off to costs; a bucket's sums are held, its texts pass one chunk at a time."""
+    bucket, keys, x, y, known, alpha = None, [], [], [], np.zeros(0, np.uint64), np.zeros(0)
+    for batch in batches:
+        for r in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):  # by bucket and kind
+            if r["bucket"] != bucket:
+                bucket, keys, x, y, alpha = r["bucket"], [], [], [], None
+            if r["kind"] == 0:
+                n = len(r["ids"])
+                v = np.frombuffer(r["x"], np.float64).reshape(4, n)
+                yield _rows([r["chunk"]] * n, list(range(n)), r["ids"], r["flags"], v[0].astype(np.int64), v[1].round().astype(np.int64), v[2], v[3])
+            elif r["kind"] == 1:
+                keys.append(np.frombuffer(r["keys"], np.uint64))
+                x.append(np.frombuffer(r["x"], np.float64))
+                y.append(np.frombuffer(r["y"], np.float64))
+            else:
+                if alpha is None:
+                    known, at = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, np.uint64), None)
+                    alpha = backoff(np.bincount(at, np.concatenate(x)), np.bincount(at, np.concatenate(y))) if keys else np.zeros(0)
+                key, times, row = (np.frombuffer(unsqueeze(r[c]), t) for c, t in (("keys", np.uint64), ("x", np.int32), ("y", np.int32)))
+                at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+                cost = np.where(known[at] == key, np.log10(alpha[at]), 0.0) * times if len(known) else np.zeros(len(key))
+                row, at = np.unique(row, return_inverse=True)
+                m = len(row)
+                yield _rows([r["chunk"]] * m, row, [None] * m, [None] * m, [0] * m, [0] * m, [0.0] * m, np.bincount(at, cost))
+
+
+def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "katz")
     chunks = make_chunks(docs, scratch, held_out(F.col("doc_id"), PARTS), CHUNK_BYTES)
-    bits = bucket_bits(chunks, 0.14)
-    answers = scratch.write(count_keys(chunks, _keyer, bits, _summary), "counts", compression="zstd")
-    stats = np.zeros((2, K + 3), np.int64)
-    for r in answers.where("chunk < 0").select("payload").toLocalIterator():
-        stats += np.frombuffer(r["payload"], np.int64).reshape(stats.shape)
-    model = Model(stats)
-
-    def finish(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def sums() -> pa.RecordBatch:
-            """The owned bigrams' part of their histories' sums, over several chunks."""
-            keys, x, y = (np.concatenate(v) for v in zip(*held))
-            known, at = np.unique(keys, return_inverse=True)
-            x, y = np.bincount(at, x), np.bincount(at, y)
-            cut = list(by_bucket(known, bits))
-            return _part([b for b, _, _ in cut], 1, [-1] * len(cut), [pack_keys(known[a:b]) for _, a, b in cut], [x[a:b].tobytes() for _, a, b in cut], [y[a:b].tobytes() for _, a, b in cut])
-
-        for chunk, ids, flags, data, offsets, totals, owner in rows:
-            tok = Tokens(data, offsets)
-            word, history, pair = totals[tok.word], totals[tok.history], totals[tok.pair]
-            log = np.log10(np.where(pair > 0, model.p_pair(pair, history), model.p_word(word)))
-            cols = (np.bincount(tok.row, minlength=tok.n), np.bincount(tok.row, word > 0, tok.n), np.bincount(tok.row, model.base(word), tok.n), np.bincount(tok.row, log, tok.n))
-            yield _part([chunk % (1 << min(bits, 30))], 0, [chunk], [b""], [np.array(cols, np.float64).tobytes()], [b""], [ids], [flags])
-            mine = np.zeros(len(tok.known), np.int64)
-            mine[tok.pair] = np.arange(len(tok.pair)) + 1  # one place of each distinct bigram
-            place = mine[owner & (mine > 0) & (totals > 0)] - 1
-            if len(place):
-                held.append((tok.known[tok.history[place]], model.p_pair(pair[place], history[place]), model.p_word(word[place])))
-            back = np.flatnonzero((pair == 0) & (history > 0))
-            if len(back):
-                back = back[np.argsort(tok.history[back], kind="stable")]
-                key, first = np.unique(tok.known[tok.history[back]], return_index=True)
-                edge, row = np.append(first, len(back)), tok.row[back].astype(np.int32)
-                cut = list(by_bucket(key, bits))
-                yield _part(
-                    [b for b, _, _ in cut], 2, [chunk] * len(cut), [pack_keys(key[a:b]) for _, a, b in cut], [np.diff(edge[a : b + 1]).astype(np.int32).tobytes() for _, a, b in cut], [row[edge[a] : edge[b]].tobytes() for _, a, b in cut]
-                )
-            if sum(len(k) for k, _, _ in held) > HELD_KEYS:
-                yield sums()
-                held = []
-        if held:
-            yield sums()
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def texts(chunk, ids, flags, raw) -> pa.RecordBatch:
-            n = len(ids)
-            v = np.frombuffer(raw, np.float64).reshape(4, n)
-            return rows_of([chunk] * n, list(range(n)), ids, flags, v[0].astype(np.int64), v[1].round().astype(np.int64), v[2], v[3])
-
-        def rows_of(chunk, row, ids, flags, tokens, known, base, score) -> pa.RecordBatch:
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((chunk, row, ids, flags, tokens, known, base, score), kinds)], names=[x.split()[0] for x in ROWS.split(", ")])
-
-        for group in grouped(batches, "bucket"):
-            keys, x, y = [], [], []
-            alpha = None
-            for r in group.to_pylist():  # by kind
-                if r["kind"] == 0:
-                    yield texts(r["chunk"], r["ids"], r["flags"], r["x"])
-                elif r["kind"] == 1:
-                    keys.append(unpack_keys(r["keys"]))
-                    x.append(np.frombuffer(r["x"], np.float64))
-                    y.append(np.frombuffer(r["y"], np.float64))
-                else:
-                    if alpha is None:
-                        known, at = np.unique(np.concatenate(keys), return_inverse=True) if keys else (np.zeros(0, np.uint64), None)
-                        alpha = backoff(np.bincount(at, np.concatenate(x)), np.bincount(at, np.concatenate(y))) if keys else np.zeros(0)
-                    key = unpack_keys(r["keys"])
-                    at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-                    cost = np.where(known[at] == key, np.log10(alpha[at]), 0.0) if len(known) else np.zeros(len(key))
-                    n, row = np.frombuffer(r["x"], np.int32), np.frombuffer(r["y"], np.int32)
-                    total = np.bincount(row, np.repeat(cost, n))
-                    row = np.unique(row)
-                    m = len(row)
-                    yield rows_of([r["chunk"]] * m, row, [None] * m, [None] * m, [0] * m, [0] * m, [0.0] * m, total[row])
-
-    parts = with_answers(chunks, answers, finish, PART)
-    settled = parts.repartition("bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(settle, ROWS)
+    bits = bucket_bits(chunks, 0.15 * order)
+    asked = chunks.select("chunk", "flags", "body").mapInArrow(lambda b: _ask(b, bits, order), REQUEST)
+    answers = scratch.write(asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answer, ANSWER), "counts", compression="none")
+    model = fitted(answers, order, chunks.agg(F.sum(F.size(F.filter("flags", lambda f: ~f))).alias("n")).first()["n"] or 0)
+    bodies = chunks.select("chunk", F.lit(-1).alias("bucket"), "ids", "flags", F.col("body").alias("payload"))
+    parts = joined(bodies.unionByName(answers.where("chunk >= 0")), lambda rows: _finish(rows, model, bits, order), PART)
+    settled = parts.repartition("bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(_settle, ROWS)
     out = settled.groupBy("chunk", "row").agg(
         F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base_score").alias("base_score"), F.sum("score").alias("score")
     )
     out = out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
-    return scratch.write(out, "scores")
+    out = scratch.write(out, "scores")
+    scratch.drop("chunks")
+    scratch.drop("counts")
+    return out

@@ -121,50 +121,90 @@ def tokens(t):
     return re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [1]
 
 
-def counts(rows):
-    words, pairs, starts = collections.Counter(), collections.Counter(), 0
+def slow_katz(rows, order):
+    """P(w | history) by the definition, over dictionaries of word tuples; and the word counts."""
+    grams, texts = [collections.Counter() for _ in range(order)], 0
     for i, t in rows:
         if zlib.crc32(str(i).encode()) % 10:
-            w = tokens(t)
-            words.update(w)
-            pairs.update(zip([0, *w], w))
-            starts += 1
-    return words, pairs, starts
+            w = [0, *tokens(t)]
+            texts += 1
+            for n in range(1, order + 1):
+                grams[n - 1].update(tuple(w[k : k + n]) for k in range(len(w) - n + 1) if n > 1 or k)
+    totals = sum(grams[0].values())
+    fit = [K.discounts([sum(v == r for v in c.values()) for r in range(1, K.FITTED + 1)]) for c in grams]
+
+    def kept(c, n):
+        d, slope = fit[n - 1]
+        return c * (d[c] if c <= K.K else (1 + 1 / c) ** (slope + 1))
+
+    unseen = (1 - sum(kept(c, 1) for c in grams[0].values()) / totals) / K.UNSEEN
+    followers = collections.defaultdict(list)
+    for c in grams[1:]:
+        for g in c:
+            followers[g[:-1]].append(g[-1])
+    size = lambda h: texts if h == (0,) else grams[len(h) - 1][h]
 
+    def p(h, w):
+        if not h:
+            return kept(grams[0][w,], 1) / totals if grams[0][w,] else unseen
+        if grams[len(h)][(*h, w)]:
+            return kept(grams[len(h)][(*h, w)], len(h) + 1) / size(h)
+        return alpha(h) * p(h[1:], w)
 
-def model_of(words, pairs):
-    of = lambda c: [sum(v == r for v in c.values()) for r in range(1, K.K + 2)]
-    return K.Model(np.array([[*of(c), len(c), sum(c.values())] for c in (words, pairs)]))
+    known = {}
 
+    def alpha(h):
+        if h not in known:
+            known[h] = (1 - sum(p(h, x) for x in followers[h])) / (1 - sum(p(h[1:], x) for x in followers[h])) if h in followers else 1.0
+        return known[h]
 
-def test_katz_scores_match_brute_force(spark, docs):
-    rng = np.random.default_rng(5)
-    small = [f"t{k}" for k in range(60)]
-    rows = [(i, " ".join(small[int(k)] for k in np.minimum(rng.geometric(0.08, int(n)), 59))) for i, n in enumerate(rng.integers(0, 60, 200))]
-    rows += [(1000, None), (1001, "Unseen WORDS only"), (1002, "t1 " * 5000)]
-    got = {r.doc_id: r for r in K.score_texts(docs([(i, t, "s") for i, t in rows])).collect()}
-    words, pairs, starts = counts(rows)
-    m = model_of(words, pairs)
-    seen, lower = collections.Counter(), collections.Counter()
-    of = lambda h: starts if h == 0 else words[h]
-    for (h, w), c in pairs.items():
-        seen[h] += float(m.p_pair(np.array(c), np.array(of(h))))
-        lower[h] += float(m.p_word(np.array(words[w])))
+    return p, grams
 
-    def p(h, w):
-        if pairs[h, w]:
-            return float(m.p_pair(np.array(pairs[h, w]), np.array(of(h))))
-        return (float(K.backoff(seen[h], lower[h])) if h in seen else 1.0) * float(m.p_word(np.array(words[w])))
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_katz_scores_match_brute_force(spark, docs, order, monkeypatch):
+    monkeypatch.setattr(K, "CHUNK_BYTES", 20_000)
+    rng = np.random.default_rng(5)
+    small = [f"t{k}" for k in range(60)]
+    rows = [(i, " ".join(small[int(k)] for k in np.minimum(rng.geometric(0.08, int(n)), 59))) for i, n in enumerate(rng.integers(0, 60, 400))]
+    rows += [(1000, None), (1001, "Unseen WORDS only"), (1002, "t1 " * 5000), (1003, "always the same " * 40), (1004, "always the other"), (1018, "always the other"), (1009, "x"), (None, "t1 t2 t3")]
+    rows += [rows[7], rows[7]]  # repeated rows count again
+    table = docs([(i, t, "s") for i, t in rows]).repartition(5)
+    got = collections.defaultdict(list)
+    for r in K.score_texts(table, order).collect():
+        got[r.doc_id].append(r)
+    assert sum(map(len, got.values())) == len(rows) and len(got[7]) == 3
+    p, grams = slow_katz(rows, order)
+    words = grams[0]
     for i, t in rows:
         w = tokens(t)
-        r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(words[x] > 0 for x in w), sum(words.values()))
-        assert r.base_score == pytest.approx(sum(math.log10((words[x] + 0.1) / (r.train_tokens + 0.1 * (len(words) + 1))) for x in w))
-        assert r.score == pytest.approx(sum(math.log10(p(h, x)) for h, x in zip([0, *w], w)), abs=1e-6)
-    for h in [0, "t1", "t5", "never"]:  # exactly normalised
-        assert sum(p(h, w) for w in words) + p(h, "no such word") * K.UNSEEN == pytest.approx(1, abs=1e-9)
-    assert K.score_texts(docs([])).count() == 0
+        for r in got[i]:
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i is not None and zlib.crc32(str(i).encode()) % 10 == 0, len(w), sum(words[x,] > 0 for x in w), sum(words.values()))
+            assert r.base_score == pytest.approx(sum(math.log10((words[x,] + 0.1) / (r.train_tokens + 0.1 * (len(words) + 1))) for x in w))
+            said = [0, *w]
+            assert r.score == pytest.approx(sum(math.log10(p(tuple(said[max(0, k - order + 1) : k]), said[k])) for k in range(1, len(said))), abs=1e-6)
+    histories = [(0,), ("t1",), ("never",), ("always",)] + [("t1", "t5"), (0, "t1"), ("always", "the"), ("t1", "never")] * (order > 2)
+    for h in histories:  # exactly normalised
+        assert sum(p(h, w) for (w,) in words) + p(h, "no such word") * K.UNSEEN == pytest.approx(1, abs=1e-9)
+    assert K.score_texts(docs([]), order).count() == 0
+
+
+def test_larger_counts_lose_less_and_every_history_leaves_something():
+    d, slope = K.discounts([1000, 300, 150, 90, 60, 45, 30, 25, 20])
+    model = K.Model(np.array([[1000, 300, 150, 90, 60, 45, 30, 25, 20]] * 2), 1, 1, 1)
+    kept = model.kept(np.arange(1, 2000), 2) / np.arange(1, 2000)
+    assert (kept < 1).all() and (np.diff(kept[K.K :]) > 0).all() and kept[-1] > 0.999 and slope < -1
+    assert K.discounts(np.zeros(9))[1] == -2.0
+
+
+def test_groups_of_keys_pack_exactly():
+    rng = np.random.default_rng(15)
+    for n, top in ((1, 2**44), (500, 2**20), (500, 2**44)):
+        number = np.sort(rng.integers(0, top, n).astype(np.uint64))
+        length = rng.integers(1, 5, n)
+        tail, counts = rng.integers(0, 2**32, length.sum()).astype(np.uint32), rng.integers(0, 9, length.sum())
+        got = K.unpack_groups(K.pack_groups(number, length, tail, counts))
+        assert all((x == y).all() for x, y in zip(got, (number, length, tail, counts)))
 
 
 def test_chains_are_collinear_and_best():
