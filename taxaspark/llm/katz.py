@@ -15,14 +15,14 @@ near 1 and leave every history something to back off to.  The score of a text is
 log10 P over its words and one end token.  The first word has a start symbol for history, the
 second the start symbol and the first.  ``ORDER`` is 3; 2 leaves the trigrams out.
 
-All counts are over all training texts.  Each chunk of texts sends its distinct n-grams, by
-history, once to buckets of histories; a bucket adds up and answers each chunk with the
-totals.  The answers are the count tables, partitioned by history.  Histories of one word
-are dealt over ``SALTS`` groups, so a frequent word's followers are not in one place, and a
-frequent n-gram is one entry per chunk.  Each distinct n-gram has one owner among the chunks,
-which adds it to its history's sums.  A text's n-gram is unseen only in held-out texts; the
-sums of two-word histories are sent only for those that an unseen one asks for (the bucket
-sees both).  Sums and asking texts meet by history; what they cost is added up per text.
+All counts are over all training texts.  Each chunk of texts sends its distinct words and
+pairs, each pair with its distinct followers, once to buckets; a bucket adds up (a pair's
+count is that of its followers, and of where it ends a text) and answers each chunk with the
+totals.  The answers are the count tables, partitioned by pair; a frequent n-gram is one
+entry per chunk.  Each distinct n-gram has one owner among the chunks, which adds it to its
+history's sums.  A text's n-gram is unseen only in held-out texts; the sums of two-word
+histories are sent only for those that an unseen triple asks for (the bucket sees both).
+Sums and asking texts meet by history; what they cost is added up per text.
 
 Words are what stands between white space, A-Z lower-cased.  A null text is empty: it
 scores its end token alone.  Null ids are training texts; rows that repeat are texts of
@@ -51,22 +51,25 @@ FITTED = 32
 UNSEEN = 1_000_000.0
 #: bounds of a task's memory: text of a chunk, and histories' sums held before they are sent
 CHUNK_BYTES = 4 << 20
-HELD_KEYS = 1 << 20
+HELD_KEYS = 1 << 19
 END, START = 0xE4D00001, 0x57A70001
 PARTS = 10
-#: bits of a history's number, of which the last two are the order
-BITS = 44
-SALTS = 16
+#: bits of a group's number, of which the last tells words from pairs
+BITS = 46
 MANY = 31
 
 
-def _history(h: np.ndarray, order: int) -> np.ndarray:
-    """Numbers of histories of n-grams of this order."""
-    return ((h >> T.U64(64 - BITS)) & ~T.U64(3)) | T.U64(order)
+def _number(h: np.ndarray, pair: int) -> np.ndarray:
+    """Numbers of groups: of words (0) or of pairs (1)."""
+    return ((h >> T.U64(64 - BITS)) & ~T.U64(1)) | T.U64(pair)
 
 
 class Tokens:
-    """The tokens of a chunk's texts and their distinct n-grams, in groups by history."""
+    """The tokens of a chunk's texts and their distinct n-grams.
+
+    Words and pairs are groups; a pair's group holds the triples that begin with it.  A group's own
+    count is what its triples do not tell: all of it for words, the pairs that end a text otherwise.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, order: int = ORDER):
         h, s, _ = T.words(data, T.SPACED)
@@ -78,87 +81,68 @@ class Tokens:
         said[np.arange(len(h)) + np.repeat(np.arange(n), count)] = h
         first = np.cumsum(count + 1) - count - 1
         words, self.word = np.unique(said, return_inverse=True)
-        v = len(words)
-        before = np.empty_like(self.word)
-        before[1:] = self.word[:-1]
-        before[first] = v  # the start symbol
-        #: each token's history as a word, v for the start
-        self.before = before
-        pairs, pair = np.unique(before * (v + 1) + self.word, return_inverse=True)
-        named = self.named = np.append(words, T.U64(START))
-        # Entries: words, pairs, triples.  A word is a group of its own; a pair's group is its history and the top of its word's hash.
-        top = (words >> T.U64(64 - SALTS.bit_length() + 1)).astype(np.int64)
-        of_pair = np.stack([pairs // (v + 1), top[pairs % (v + 1)]])
-        new = np.concatenate(([True], (of_pair[:, 1:] != of_pair[:, :-1]).any(axis=0)))[: len(pairs)]
-        starts = [np.arange(v), v + np.flatnonzero(new)]
-        numbers = [_history(T.chain(words, salt=1), 1), _history(T.chain(named[of_pair[0, new]], of_pair[1, new].astype(np.uint64), salt=2), 2)]
-        tails = [T.chain(words, salt=4), T.chain(words[pairs % (v + 1)], salt=5)]
-        #: each token's entries by order; -1 where a text's first word has none
-        self.entry = [self.word, v + pair]
-        self.size = v + len(pairs)
+        v = self.v = len(words)
+        self.before = np.empty_like(self.word)  # each token's history as a word, v for the start
+        self.before[1:] = self.word[:-1]
+        self.before[first] = v
+        pairs, self.pair = np.unique(self.before * (v + 1) + self.word, return_inverse=True)
+        self.pair_history, self.pair_word = pairs // (v + 1), pairs % (v + 1)
+        self.named = np.append(words, T.U64(START))
+        #: place of each token's triple, -1 where there is none (a text's first word; order 2)
+        self.triple = np.full(len(said), -1)
+        self.prefix = self.suffix = np.zeros(0, np.int64)
         if order > 2:
             inner = np.ones(len(said), bool)
             inner[first] = False
-            last = np.flatnonzero(inner) - 1
-            triples, triple = np.unique(pair[last] * (v + 1) + self.word[inner], return_inverse=True)
-            held = triples // (v + 1)
-            new = np.concatenate(([True], held[1:] != held[:-1]))[: len(triples)]
-            of = pairs[held[new]]
-            starts.append(self.size + np.flatnonzero(new))
-            numbers.append(_history(T.chain(named[of // (v + 1)], words[of % (v + 1)], salt=3), 3))
-            tails.append(T.chain(words[triples % (v + 1)], salt=6))
-            third = np.full(len(said), -1)
-            third[inner] = self.size + triple
-            self.entry.append(third)
-            #: entries of what a triple's history and its last two words are
-            self.prefix, self.suffix = v + held, np.zeros(len(triples), np.int64)
-            self.suffix[triple] = v + pair[inner]
-            self.triples = self.size
-            self.size += len(triples)
-        self.pairs = pairs
-        self.v = v
-        self.pair_history = pairs // (v + 1)
-        self.pair_word = pairs % (v + 1)
-        self.tail = (np.concatenate(tails) & T.U64(0xFFFFFFFF)).astype(np.uint32)
-        start, number = np.concatenate(starts), np.concatenate(numbers)
-        length = np.diff(np.append(start, self.size))
-        rank = np.argsort(number, kind="stable")
-        self.number, self.length = number[rank], length[rank]
-        #: entries in the order of their groups' numbers
-        self.order = np.repeat(start[rank] - np.cumsum(self.length) + self.length, self.length) + np.arange(self.size)
+            triples, self.triple[inner] = np.unique(self.pair[np.flatnonzero(inner) - 1] * (v + 1) + self.word[inner], return_inverse=True)
+            #: of each triple, its first two words and its last two, as pairs
+            self.prefix, self.suffix = triples // (v + 1), np.zeros(len(triples), np.int64)
+            self.suffix[self.triple[inner]] = self.pair[inner]
+        self.tail = (T.chain(words[self.pair_word[self.suffix]], salt=6) & T.U64(0xFFFFFFFF)).astype(np.uint32)
+        number = np.concatenate([_number(T.chain(words, salt=1), 0), _number(T.chain(self.named[self.pair_history], words[self.pair_word], salt=2), 1)])
+        length = np.concatenate([np.zeros(v, np.int64), np.bincount(self.prefix, minlength=len(pairs))])
+        start = np.cumsum(length) - length
+        #: groups by number, and triples by their groups' numbers
+        self.groups = np.argsort(number, kind="stable")
+        self.number, self.length = number[self.groups], length[self.groups]
+        self.triples = np.repeat(start[self.groups] - np.cumsum(self.length) + self.length, self.length) + np.arange(len(self.prefix))
 
     def histories(self, order: int) -> np.ndarray:
-        """Numbers of all histories without salts: for order 2 by word (the start last), for order 3 by pair."""
+        """Numbers of all histories: for order 2 of words (the start last), for order 3 of pairs."""
         if order == 2:
-            return _history(T.chain(self.named, salt=7), 2)
-        return _history(T.chain(self.named[self.pair_history], self.named[self.pair_word], salt=8), 3)
+            return _number(T.chain(self.named, salt=7), 0)
+        return _number(T.chain(self.named[self.pair_history], self.named[self.pair_word], salt=8), 1)
 
     def history(self, order: int, at: np.ndarray) -> np.ndarray:
         """Of tokens ``at``, the place of their history among :meth:`histories`."""
-        return self.before[at] if order == 2 else self.entry[1][at - 1] - self.v
+        return self.before[at] if order == 2 else self.pair[at - 1]
 
-    def counts(self, train: np.ndarray) -> np.ndarray:
-        """Count of each entry in training texts."""
+    def counts(self, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Own counts of groups and counts of triples in training texts, as they are sent."""
         used = train[self.row]
-        return sum(np.bincount(e[used & (e >= 0)], minlength=self.size) for e in self.entry)
+        triple = np.bincount(self.triple[used & (self.triple >= 0)], minlength=len(self.prefix))
+        pair = np.bincount(self.pair[used], minlength=len(self.pair_word)) - np.bincount(self.prefix, triple, len(self.pair_word)).astype(np.int64)
+        return np.concatenate([np.bincount(self.word[used], minlength=self.v), pair])[self.groups], triple[self.triples]
 
 
-def pack_groups(number: np.ndarray, length: np.ndarray, tail: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted groups: numbers as 4-byte steps where they fit, tails whole, lengths and counts compressed."""
+def pack_groups(number: np.ndarray, length: np.ndarray, own: np.ndarray, tail: np.ndarray, counts: np.ndarray) -> bytes:
+    """Sorted groups: numbers as steps of the bytes they need, tails whole, lengths and counts compressed."""
     steps = np.diff(number, prepend=number[:1])
-    wide = np.uint64 if len(steps) and int(steps.max()) >= 1 << 32 else np.uint32
-    rest = squeeze(np.concatenate((length, counts)).astype(np.uint32).tobytes())
-    head = np.array([len(number), len(tail), 8 if wide is np.uint64 else 4, len(rest)], np.int64).tobytes() + number[:1].tobytes()
-    return head + steps.astype(wide).tobytes() + tail.tobytes() + rest
+    wide = max(1, -(-int(steps.max()).bit_length() // 8))
+    rest = squeeze(np.concatenate((length, own, counts)).astype(np.uint32).tobytes())
+    head = np.array([len(number), len(tail), wide, len(rest)], np.int64).tobytes() + number[:1].tobytes()
+    return head + np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes() + tail.tobytes() + rest
 
 
-def unpack_groups(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def unpack_groups(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     groups, entries, wide, size = np.frombuffer(blob, np.int64, 4).tolist()
-    first = np.frombuffer(blob, np.uint64, 1, 32)
-    number = first + np.cumsum(np.frombuffer(blob, np.uint64 if wide == 8 else np.uint32, groups, 40), dtype=np.uint64)
-    tail = np.frombuffer(blob, np.uint32, entries, 40 + wide * groups)
-    rest = np.frombuffer(unsqueeze(blob[40 + wide * groups + 4 * entries :][:size]), np.uint32)
-    return number, rest[:groups].astype(np.int64), tail, rest[groups:]
+    steps = np.zeros((groups, 8), np.uint8)
+    steps[:, :wide] = np.frombuffer(blob, np.uint8, wide * groups, 40).reshape(groups, wide)
+    number = np.frombuffer(blob, np.uint64, 1, 32) + np.cumsum(steps.reshape(-1).view(np.uint64), dtype=np.uint64)
+    at = 40 + wide * groups
+    tail = np.frombuffer(blob[at : at + 4 * entries], np.uint32)
+    rest = np.frombuffer(unsqueeze(blob[at + 4 * entries :][:size]), np.uint32)
+    return number, rest[:groups].astype(np.int64), rest[groups : 2 * groups], tail, rest[2 * groups :]
 
 
 REQUEST = "bucket int, chunk bigint, body binary"
@@ -176,40 +160,51 @@ def _ask(batches: Iterator[pa.RecordBatch], bits: int, order: int) -> Iterator[p
     for batch in batches:
         for chunk, flags, body in zip(*(batch.column(c).to_pylist() for c in ("chunk", "flags", "body"))):
             tok = Tokens(*unpack(body), order)
-            counts, tail = tok.counts(~np.array(flags, dtype=bool))[tok.order], tok.tail[tok.order]
+            (own, counts), tail = tok.counts(~np.array(flags, dtype=bool)), tok.tail[tok.triples]
             edge = np.concatenate(([0], np.cumsum(tok.length)))
             rows = list(_cuts(tok.number, bits))
-            bodies = [pack_groups(tok.number[a:b], tok.length[a:b], tail[edge[a] : edge[b]], counts[edge[a] : edge[b]]) for _, a, b in rows]
+            bodies = [pack_groups(tok.number[a:b], tok.length[a:b], own[a:b], tail[edge[a] : edge[b]], counts[edge[a] : edge[b]]) for _, a, b in rows]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in rows], pa.int32()), pa.array([chunk] * len(rows), pa.int64()), pa.array(bodies, pa.binary())], names=["bucket", "chunk", "body"])
 
 
+def _add_up(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all keys, the total and whether they are the first of their kind; and the totals and places of the distinct ones."""
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))[: len(key)]
+    sums = np.add.reduceat(n[order].astype(np.int64), first) if len(key) else np.zeros(0, np.int64)
+    total, owner = np.empty(len(key), np.int64), np.zeros(len(key), bool)
+    total[order] = np.repeat(sums, np.diff(np.append(first, len(key))))
+    owner[order[first]] = True
+    return total, owner, sums, order[first]
+
+
+def _pack_totals(total: np.ndarray, owner: np.ndarray, asked: np.ndarray) -> bytes:
+    code = np.minimum(total, MANY).astype(np.uint8) | (owner.astype(np.uint8) << 5) | (asked.astype(np.uint8) << 6)
+    return code.tobytes() + total[total >= MANY].astype(np.int64).tobytes()
+
+
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Totals for each chunk, and the bucket's counts of counts as (order, count, n-grams) in a row of chunk -1."""
     for group in grouped(batches, "bucket"):
         chunks, asked = group["chunk"].to_pylist(), [unpack_groups(b) for b in group["body"].to_pylist()]
-        sizes = [len(t) for _, _, t, _ in asked]
-        known, at = np.unique(np.concatenate([n for n, _, _, _ in asked]), return_inverse=True)
-        of = np.repeat(at, np.concatenate([m for _, m, _, _ in asked]))
-        key = (of.astype(np.uint64) << T.U64(32)) | np.concatenate([t for _, _, t, _ in asked])
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-        sums = np.add.reduceat(np.concatenate([c for _, _, _, c in asked])[order].astype(np.int64), first)
-        total, owner = np.empty(len(key), np.int64), np.zeros(len(key), bool)
-        total[order] = np.repeat(sums, np.diff(np.append(first, len(key))))
-        owner[order[first]] = True
-        owners = of[order[first]]
+        number, length, own, tail, counts = (np.concatenate(x) for x in zip(*asked))
+        known, at = np.unique(number, return_inverse=True)
+        of = np.repeat(at, length)
+        total, owner, sums, place = _add_up((of.astype(np.uint64) << T.U64(32)) | tail, counts)
         missed = np.zeros(len(known), bool)
-        missed[owners[sums == 0]] = True  # a held-out text has a follower that no training text has
-        kind = (known & T.U64(3)).astype(np.int64)
-        code = np.minimum(total, MANY).astype(np.uint8) | (owner.astype(np.uint8) << 5) | ((missed | (kind == 2))[of].astype(np.uint8) << 6)
-        payload, a = [], 0
-        for n in sizes:
-            much = total[a : a + n]
-            payload.append(squeeze(np.int64(n).tobytes() + code[a : a + n].tobytes() + much[much >= MANY].astype(np.int64).tobytes()))
-            a += n
-        seen = sums > 0
-        value, n = np.unique((kind[owners][seen] << 48) | sums[seen], return_counts=True)
+        missed[of[place[sums == 0]]] = True  # a held-out text has a triple that no training text has
+        whole = np.bincount(at, own, len(known)) + np.bincount(of[place], sums, len(known))
+        group_total, group_owner, _, _ = _add_up(at, np.zeros(len(at), np.int64))
+        group_total = whole.astype(np.int64)[at]
+        payload, g, e = [], 0, 0
+        for n, m in ((len(x[0]), len(x[3])) for x in asked):
+            parts = _pack_totals(group_total[g : g + n], group_owner[g : g + n], missed[at[g : g + n]]), _pack_totals(total[e : e + m], owner[e : e + m], missed[of[e : e + m]])
+            payload.append(squeeze(np.array([n, m, len(parts[0])], np.int64).tobytes() + parts[0] + parts[1]))
+            g, e = g + n, e + m
+        order = (known & T.U64(1)).astype(np.int64) + 1
+        value, n = np.unique(np.concatenate([(order << 48) | whole.astype(np.int64), (3 << 48) | sums]), return_counts=True)
+        value, n = value[some := (value & ((1 << 48) - 1)) > 0], n[some]
         summary = np.stack([value >> 48, value & ((1 << 48) - 1), n]).T.reshape(-1).tolist()
         rows = len(chunks) + 1
         yield pa.RecordBatch.from_arrays(
@@ -218,21 +213,22 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _totals(payloads: list[bytes], tok: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Total, whether this chunk owns it, and whether its history's sums are asked for, of each entry."""
-    codes, much = [], []
-    for blob in payloads:
-        raw = unsqueeze(blob)
-        n = int(np.frombuffer(raw, np.int64, 1)[0])
-        codes.append(np.frombuffer(raw, np.uint8, n, 8))
-        much.append(np.frombuffer(raw[8 + n :], np.int64))
-    code = np.concatenate(codes)
-    total = (code & 31).astype(np.int64)
-    total[total == MANY] = np.concatenate(much)
-    out = [np.empty_like(x) for x in (total, code, code)]
-    for x, y in zip(out, (total, code & 32, code & 64)):
-        x[tok.order] = y
-    return out[0], out[1] > 0, out[2] > 0
+def _unpack_totals(raws: list[bytes], sizes: list[int], place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Totals, and codes with their flags, at their places."""
+    code = np.frombuffer(b"".join(r[:n] for r, n in zip(raws, sizes)), np.uint8)
+    total = (code & MANY).astype(np.int64)
+    total[total == MANY] = np.frombuffer(b"".join(r[n:] for r, n in zip(raws, sizes)), np.int64)
+    out = np.empty_like(total), np.empty_like(code)
+    out[0][place], out[1][place] = total, code
+    return out
+
+
+def _totals(payloads: list[bytes], tok: Tokens) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(totals, codes) of words and pairs, and of triples; code & 32: this chunk is the owner, & 64: its group's sums are asked for."""
+    raws = [unsqueeze(blob) for blob in payloads]
+    heads = [np.frombuffer(r, np.int64, 3).tolist() for r in raws]
+    groups = _unpack_totals([r[24 : 24 + k] for r, (_, _, k) in zip(raws, heads)], [n for n, _, _ in heads], tok.groups)
+    return groups, _unpack_totals([r[24 + k :] for r, (_, _, k) in zip(raws, heads)], [m for _, m, _ in heads], tok.triples)
 
 
 def discounts(n: np.ndarray, k: int = K) -> tuple[np.ndarray, float]:
@@ -339,34 +335,28 @@ def _finish(rows: Iterator[tuple], model: Model, bits: int, order: int) -> Itera
     for chunk, ids, flags, data, offsets, payloads in rows:
         tok = Tokens(data, offsets, order)
         plain = {k: tok.histories(k) for k in range(2, order + 1)}
-        total, owner, asked = _totals(payloads, tok)
-        word_c = total[tok.entry[0]]
+        (total, code), (triple_c, triple_code) = _totals(payloads, tok)
+        v, word_c = tok.v, total[tok.word]
         # c(h) of one-word histories: the word's count, for the start that of all training texts.
-        of_word = np.append(total[: tok.v], model.texts)
-        pair_c, pair_h = total[tok.v : tok.v + len(tok.pairs)], of_word[tok.pair_history]
-        p1 = model.p_word(total[: tok.v])
-        p2 = model.p(2, pair_c, pair_h)
-        at2 = tok.entry[1] - tok.v
-        chosen = np.where(pair_c[at2] > 0, p2[at2], p1[tok.word])
-        backs = [(2, np.flatnonzero((pair_c[at2] == 0) & (of_word[tok.before] > 0)))]
-        mine = owner & asked & (total > 0)
-        own = np.flatnonzero(mine[tok.v : tok.v + len(tok.pairs)])
+        of_word = np.append(total[:v], model.texts)
+        pair_c = total[v:]
+        p1 = model.p_word(total[:v])
+        p2 = model.p(2, pair_c, of_word[tok.pair_history])
+        chosen = np.where(pair_c[tok.pair] > 0, p2[tok.pair], p1[tok.word])
+        backs = [(2, np.flatnonzero((pair_c[tok.pair] == 0) & (of_word[tok.before] > 0)))]
+        own = np.flatnonzero((code[v:] & 32 > 0) & (pair_c > 0))
         if len(own):
             held.append((plain[2][tok.pair_history[own]], p2[own], p1[tok.pair_word[own]]))
         if order > 2:
-            third = tok.entry[2]
-            c, h, lower = total[tok.triples :], total[tok.prefix], p2[tok.suffix - tok.v]
-            p3 = model.p(3, c, h)
-            inner = third >= 0
-            at3 = third[inner] - tok.triples
-            seen = np.zeros(len(third), bool)
-            seen[inner] = c[at3] > 0
-            chosen[seen] = p3[third[seen] - tok.triples]
-            lost = np.flatnonzero(inner & ~seen)
-            backs.append((3, lost[h[third[lost] - tok.triples] > 0]))
-            own = np.flatnonzero(mine[tok.triples :])
+            p3 = model.p(3, triple_c, pair_c[tok.prefix])
+            inner = np.flatnonzero(tok.triple >= 0)
+            seen = triple_c[tok.triple[inner]] > 0
+            chosen[inner[seen]] = p3[tok.triple[inner[seen]]]
+            lost = inner[~seen]
+            backs.append((3, lost[pair_c[tok.pair[lost - 1]] > 0]))
+            own = np.flatnonzero((triple_code & 96 == 96) & (triple_c > 0))
             if len(own):
-                held.append((plain[3][tok.prefix[own] - tok.v], p3[own], lower[own]))
+                held.append((plain[3][tok.prefix[own]], p3[own], p2[tok.suffix[own]]))
         cols = (np.bincount(tok.row, minlength=tok.n), np.bincount(tok.row, word_c > 0, tok.n), np.bincount(tok.row, model.base(word_c), tok.n), np.bincount(tok.row, np.log10(chosen), tok.n))
         yield _part([chunk % (1 << min(bits, 30))], 0, [chunk], [b""], [np.array(cols, np.float64).tobytes()], [b""], [ids], [flags])
         number = np.concatenate([plain[k][tok.history(k, at)] for k, at in backs])
@@ -422,6 +412,7 @@ def score_texts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     asked = chunks.select("chunk", "flags", "body").mapInArrow(lambda b: _ask(b, bits, order), REQUEST)
     answers = scratch.write(asked.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_answer, ANSWER), "counts", compression="none")
     model = fitted(answers, order, chunks.agg(F.sum(F.size(F.filter("flags", lambda f: ~f))).alias("n")).first()["n"] or 0)
+    scratch.release()  # the requests have been answered
     bodies = chunks.select("chunk", F.lit(-1).alias("bucket"), "ids", "flags", F.col("body").alias("payload"))
     parts = joined(bodies.unionByName(answers.where("chunk >= 0")), lambda rows: _finish(rows, model, bits, order), PART)
     settled = parts.repartition("bucket").sortWithinPartitions("bucket", "kind", "chunk").mapInArrow(_settle, ROWS)

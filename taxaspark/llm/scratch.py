@@ -46,6 +46,10 @@ class Scratch:
             self.spark.conf.set(BATCH, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of earlier writes now: its cleaner acts when the driver's JVM collects their plans."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Remove a table, through Spark's file system so that any store works."""
         jvm = self.spark.sparkContext._jvm

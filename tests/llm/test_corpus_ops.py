@@ -201,10 +201,10 @@ def test_groups_of_keys_pack_exactly():
     rng = np.random.default_rng(15)
     for n, top in ((1, 2**44), (500, 2**20), (500, 2**44)):
         number = np.sort(rng.integers(0, top, n).astype(np.uint64))
-        length = rng.integers(1, 5, n)
+        length, own = rng.integers(0, 5, n), rng.integers(0, 3, n)
         tail, counts = rng.integers(0, 2**32, length.sum()).astype(np.uint32), rng.integers(0, 9, length.sum())
-        got = K.unpack_groups(K.pack_groups(number, length, tail, counts))
-        assert all((x == y).all() for x, y in zip(got, (number, length, tail, counts)))
+        got = K.unpack_groups(K.pack_groups(number, length, own, tail, counts))
+        assert all((x == y).all() for x, y in zip(got, (number, length, own, tail, counts)))
 
 
 def test_chains_are_collinear_and_best():
