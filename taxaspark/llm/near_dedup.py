@@ -1,9 +1,7 @@
 """MinHash near-dedup: improved consistent weighted sampling (ICWS) over TF-IDF shingles.
 
 1. Five-word shingles of every whole text are counted over the corpus (``chunks``).  The
-   weight of a shingle is tf * idf with the smoothed, damped
-   ``idf = 1 + DAMPING * ln((1 + N) / df) / ln(1 + N)``, so a passage shared by a large
-   group of copies still counts.
+   weight of a shingle is tf * idf with the smoothed ``idf = 1 + ln((1 + N) / (1 + df))``.
 2. A text whose shingles of df >= 2 weigh less than ``SIMILARITY`` of its total cannot
    reach that weighted Jaccard similarity with any text; it is done, without loss.
 3. ICWS gives the others ``BANDS`` x ``ROWS`` samples.  What a text shares with nobody is
@@ -11,10 +9,11 @@
    are one *representative* from here on.
 4. Representatives meet in bands.  Within a small bucket all pairs are candidates; in a
    larger one every member is compared with ``HUBS`` hubs, then those that are not yet in
-   the bucket's main class with hubs of that class.  What is still apart after that is
-   compared in blocks by ``BINS`` partial weights per set: the sum of the smaller partial
-   weights bounds what two sets share, so only pairs whose bound reaches ``SIMILARITY``
-   become rows.  No bucket emits all its pairs, and no candidate link is dropped.
+   the bucket's main class with hubs of that class.  Those still outside it (stragglers) are
+   compared with the whole bucket in blocks by ``BINS`` partial weights per set: the sum of the
+   smaller partial weights bounds what two sets share, so only pairs whose bound reaches
+   ``SIMILARITY`` become rows.  Members of the main class are not compared with each other, so
+   no bucket emits all its pairs, and no link between classes is dropped.
 5. Every candidate is verified by weighted Jaccard similarity over all shingles; classes
    are the connected components of verified links.
 
@@ -41,11 +40,10 @@ from .scratch import Scratch
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-DAMPING = 0.25
 HUBS = 2
 SMALL = 12
 BINS = 64
-BLOCK = 2048
+BLOCK = 512
 CHUNK_BYTES = 6 << 20
 
 
@@ -69,7 +67,7 @@ def _keyer(data: np.ndarray, offsets: np.ndarray, flags: list) -> tuple[np.ndarr
 
 
 def idf(df: np.ndarray, n: int) -> np.ndarray:
-    return 1 + DAMPING * np.log((1 + n) / df) / np.log(1 + n)
+    return 1 + np.log((1 + n) / (1 + df))
 
 
 _TABLES: dict[int, tuple] = {}
@@ -129,10 +127,9 @@ def partial_weights(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.bincount((keys >> T.U64(58)).astype(np.int64), weights, BINS).astype(np.float32)
 
 
-def may_reach(bins: np.ndarray, totals: np.ndarray, mine: np.ndarray) -> np.ndarray:
-    """Which of all sets may be as similar as SIMILARITY to each of ``mine`` (indexes)."""
-    least = np.minimum(bins[mine][:, None, :], bins[None]).sum(axis=2)
-    return least * (1 + 1e-4) >= SIMILARITY * (totals[mine][:, None] + totals[None] - least)
+def reaches(least: np.ndarray, total_a: np.ndarray, total_b: np.ndarray) -> np.ndarray:
+    """Whether sets that share at most ``least`` may be as similar as SIMILARITY."""
+    return least * (1 + 1e-4) >= SIMILARITY * (total_a + total_b - least)
 
 
 def unpack_set(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -214,31 +211,33 @@ def _hubs(members: DataFrame, seed: int) -> DataFrame:
 
 
 def bounded_pairs(rest: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket (bucket, rep, label, n) with different labels whose bound reaches SIMILARITY.
+    """Pairs (a, b) of one bucket with different labels whose bound reaches SIMILARITY.
 
-    Large buckets are cut into blocks of about BLOCK members; each pair of blocks is one cell.
+    ``rest`` has (bucket, rep, label, main, n, out): ``main`` is the bucket's most frequent label, ``out`` the
+    number of its ``n`` members with another.  Blocks of about BLOCK such stragglers meet blocks of about BLOCK
+    members; each pair of blocks is one cell, so rows grow with n * out / BLOCK, not with the square of n.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cells = (
-        rest.join(reps.select("rep", "total", "bins"), "rep")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select(F.xxhash64("bucket", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") != F.col("other")).alias("mixed"), "block", "rep", "label", "total", "bins")
-    )
+    ours, theirs = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("out", "n"))
+    mark = F.xxhash64("rep")
+    held = rest.join(reps.select("rep", "total", "bins"), "rep").withColumn("ours", ours).withColumn("theirs", theirs)
+    lone = held.where("label <> main").select("*", F.pmod(mark, "ours").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("j"), F.lit(True).alias("lone"))
+    every = held.select("*", F.explode(F.sequence(F.lit(0), F.col("ours") - 1)).alias("i"), F.pmod(mark, "theirs").cast("int").alias("j"), F.lit(False).alias("lone"))
+    cells = lone.unionByName(every).select(F.xxhash64("bucket", "i", "j").alias("cell"), "lone", "rep", "label", F.col("label") != F.col("main"), "total", "bins").toDF("cell", "lone", "rep", "label", "outside", "total", "bins")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "cell"):
-            rep, label, block, total = (group[c].to_numpy() for c in ("rep", "label", "block", "total"))
+            lone, rep, label, outside, total = (group[c].to_numpy() for c in ("lone", "rep", "label", "outside", "total"))
             bins = np.frombuffer(b"".join(group["bins"].to_pylist()), np.float32).reshape(-1, BINS)
-            mixed = group["mixed"][0].as_py()
-            for a in range(0, len(rep), 16):
-                mine = np.arange(a, min(a + 16, len(rep)))
-                ok = may_reach(bins, total, mine) & (label[mine][:, None] != label[None]) & (rep[mine][:, None] < rep[None])
-                if mixed:
-                    ok &= block[mine][:, None] != block[None]
+            mine, others = np.flatnonzero(lone), np.flatnonzero(~lone)
+            for a in range(0, len(mine), 16):
+                some = mine[a : a + 16]
+                least = np.minimum(bins[some][:, None, :], bins[others][None]).sum(axis=2)
+                ok = reaches(least, total[some][:, None], total[others][None]) & (label[some][:, None] != label[others][None])
+                ok &= ~outside[others][None] | (rep[some][:, None] < rep[others][None])  # two stragglers meet twice
                 i, j = np.nonzero(ok)
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(rep[mine[i]]), pa.array(rep[j])], names=["a", "b"])
+                    x, y = rep[some[i]], rep[others[j]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     return cells.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(run, "a bigint, b bigint")
 
@@ -246,7 +245,8 @@ def bounded_pairs(rest: DataFrame, reps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), group_size (documents of the class), links, kept.
 
-    ``links`` is the number of verified links of the document's representative.
+    ``links`` is the number of verified links of the document's representative; in band buckets of over
+    SMALL members links go through hubs, so there it counts those, not all similar documents.
     """
     scratch = Scratch(docs.sparkSession, "near_dedup")
     cand = candidates(docs, scratch)
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labelled = large.join(labels, large["rep"] == labels["node"], "left").select("bucket", "rep", "total", F.coalesce("label", "rep").alias("label"))
         labelled = scratch.write(labelled, "labelled1")
         per = labelled.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
-        main = scratch.write(per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1"), "main")
+        main = scratch.write(per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels"), "main")
         open_ = labelled.drop("total").join(main, "bucket")
         hubs = scratch.write(_hubs(open_.where("label = main"), 101), "hubs2")
         again = open_.where("label <> main").join(hubs, "bucket").select("rep", F.explode("hubs").alias("hub")).select(*_pairs(F.col("rep"), F.col("hub"))).distinct()
@@ -282,7 +282,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         labels = components(links, scratch, "cc2")
         rest = open_.select("bucket", "rep").join(labels, F.col("rep") == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
         rest = scratch.write(rest, "labelled2")
-        apart = rest.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi").select("bucket", "n")
+        per = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
+        apart = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
+        apart = scratch.write(apart.select("bucket", "main", "n", (F.col("n") - F.col("most")).alias("out")), "apart")
         left = bounded_pairs(rest.join(apart, "bucket"), reps).distinct()
         tried3 = scratch.write(left.join(tried, ["a", "b"], "left_anti").join(tried2, ["a", "b"], "left_anti"), "tried3")
         links = scratch.write(links.unionByName(verify(tried3, reps)), "links3")
@@ -307,6 +309,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_per_class(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without those that a kept row of their class resembles; columns as they were."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` without those that a kept row of their class resembles; columns as they were.
+
+    Of a class the row with the smallest doc_id stays.  Rows are told by doc_id and text, so of different texts
+    under one doc_id each is judged by itself; rows that agree in both are kept or dropped together.  Rows with a
+    null doc_id stay.
+    """
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    scratch = Scratch(docs.sparkSession, "near_kept")
+    names = scratch.write(docs.where("doc_id IS NOT NULL").select(row.alias("row"), F.col("doc_id").alias("id")).distinct(), "names")
+    found = near_duplicates(docs.select(row.alias("doc_id"), "text")).where("group_size > 1").select(F.col("doc_id").alias("row"), "class_id").distinct()
+    found = scratch.write(found.join(names, "row"), "found")
+    first = found.groupBy("class_id").agg(F.min(F.struct("id", "row")).alias("m")).select("class_id", F.col("m.row").alias("first"))
+    gone = found.join(first, "class_id").where("row <> first").select(F.col("row").alias("__gone"))
+    marked = docs.withColumn("__row", row)
+    return marked.join(gone, marked["__row"] == gone["__gone"], "left_anti").drop("__row")

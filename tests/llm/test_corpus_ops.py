@@ -36,7 +36,7 @@ def weighted(texts, n):
         runs = [tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else []
         sets.append(collections.Counter(runs))
     df = collections.Counter(k for s in sets for k in s)
-    return [{k: v * (1 + N.DAMPING * math.log((1 + n) / df[k]) / math.log(1 + n)) for k, v in s.items()} for s in sets]
+    return [{k: v * (1 + math.log((1 + n) / (1 + df[k]))) for k, v in s.items()} for s in sets]
 
 
 def jaccard(a, b):
@@ -85,6 +85,35 @@ def test_near_duplicates_of_odd_tables(spark, docs):
     assert kept.columns == docs(rows).columns and sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == [2, 7, 8]
 
 
+def test_stragglers_meet_every_block_of_their_bucket(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 4)
+    rng = np.random.default_rng(13)
+    keys = rng.integers(0, 2**63, 40).astype(np.uint64)
+    reps, rest = [], []
+    for i in range(60):
+        w = np.ones(40)
+        w[rng.choice(40, int(rng.integers(0, 5)), replace=False)] = 0.5
+        reps.append((i, float(w.sum()), bytearray(N.partial_weights(keys, w).tobytes())))
+        rest.append((i % 2, i, 0 if i % 5 else i))
+    size = collections.Counter(b for b, _, _ in rest)
+    out = collections.Counter(b for b, _, label in rest if label)
+    df = spark.createDataFrame([(b, i, label, 0, size[b], out[b]) for b, i, label in rest], "bucket bigint, rep bigint, label bigint, main bigint, n bigint, out bigint")
+    got = sorted(map(tuple, N.bounded_pairs(df, spark.createDataFrame(reps, "rep bigint, total double, bins binary")).collect()))
+    bins = {i: np.frombuffer(b, np.float32) for i, _, b in reps}
+    total = {i: t for i, t, _ in reps}
+    expect = [(i, j) for b, i, x in rest for c, j, y in rest if i < j and b == c and x != y and N.reaches(np.minimum(bins[i], bins[j]).sum(), total[i], total[j])]
+    assert got == sorted(expect) and 0 < len(got)
+
+
+def test_one_row_of_a_class_stays_although_ids_repeat(spark, docs):
+    rng = np.random.default_rng(14)
+    base, other = text(rng, 90), text(rng, 90)
+    rows = [(5, base, "s"), (5, other, "s"), (3, base + " tail", "s"), (9, other + " tail", "s"), (5, base, "s"), (None, base, "s")]
+    kept = N.keep_one_per_class(docs(rows))
+    assert kept.columns == docs(rows).columns
+    assert sorted((str(r.doc_id), r.text) for r in kept.collect()) == sorted([("3", base + " tail"), ("5", other), ("None", base)])
+
+
 def test_bounds_hold_for_all_pairs():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 2**63, (20, 80)).astype(np.uint64)
@@ -93,7 +122,7 @@ def test_bounds_hold_for_all_pairs():
     w[:, :60] = w[0, :60]
     bins = np.array([N.partial_weights(k, x) for k, x in zip(keys, w)])
     total = w.sum(axis=1)
-    may = N.may_reach(bins, total, np.arange(20))
+    may = N.reaches(np.minimum(bins[:, None, :], bins[None]).sum(axis=2), total[:, None], total[None])
     for i in range(20):
         for j in range(20):
             s = N.similarity(N.pack_set(keys[i], w[i]), N.pack_set(keys[j], w[j]), total[i], total[j])
