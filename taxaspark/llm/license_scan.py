@@ -22,142 +22,9 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-
-#: label, keyword, pattern of the license's name over normalised words
-NAMES = (
-    ("mit", "mit", r"(?:the )?mit"),
-    ("mit", "expat", r"(?:the )?expat"),
-    ("mit-0", "mit", r"mit (?:0|no attribution)"),
-    ("apache-2", "apache", r"apache(?: software)?(?: license)?(?: version)? (?:v )?v?2(?: 0)?"),
-    ("apache-1.1", "apache", r"apache(?: software)?(?: license)?(?: version)? v?1 1"),
-    ("apache-1.0", "apache", r"apache(?: software)?(?: license)?(?: version)? v?1 0"),
-    ("bsd-2-clause", "bsd", r"(?:simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)"),
-    ("bsd-2-clause", "freebsd", r"freebsd"),
-    ("bsd-3-clause", "bsd", r"(?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)"),
-    ("bsd-4-clause", "bsd", r"(?:original bsd|old bsd|bsd 4 clause|4 clause bsd)"),
-    ("0bsd", "0bsd", r"0bsd"),
-    ("bsd", "bsd", r"bsd(?: style)?"),
-    ("isc", "isc", r"isc"),
-    ("gpl-1", "general", r"gnu general public license(?: as published by the free software foundation)?(?: either)? version 1"),
-    ("gpl-2", "general", r"gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version |v)2"),
-    ("gpl-3", "general", r"gnu general public license(?: as published by the free software foundation)?(?: either)? (?:version |v)3"),
-    ("gpl-2", "gpl", r"(?:gnu )?gpl(?: version)? v?2(?: 0)?(?: only| or later)?"),
-    ("gpl-3", "gpl", r"(?:gnu )?gpl(?: version)? v?3(?: 0)?(?: only| or later)?"),
-    ("gpl-2", "gplv2", r"gplv2"),
-    ("gpl-3", "gplv3", r"gplv3"),
-    ("gpl", "general", r"gnu general public"),
-    ("lgpl-2.1", "lesser", r"gnu lesser general public license(?: either)?(?: version)? v?2 1"),
-    ("lgpl-3", "lesser", r"gnu lesser general public license(?: either)?(?: version)? v?3"),
-    ("lgpl-2", "library", r"gnu library general public license(?: either)?(?: version)? v?2"),
-    ("lgpl", "lesser", r"gnu lesser general public"),
-    ("lgpl", "lgpl", r"(?:gnu )?lgpl(?: version)?(?: v?[23](?: [01])?)?"),
-    ("agpl-3", "affero", r"gnu affero general public license(?: version)? v?3"),
-    ("agpl", "affero", r"(?:gnu )?affero general public"),
-    ("agpl", "agpl", r"(?:gnu )?agpl(?: version)?(?: v?3(?: 0)?)?"),
-    ("gfdl", "documentation", r"gnu free documentation"),
-    ("mpl-1.1", "mozilla", r"mozilla public license(?: version)? v?1 1"),
-    ("mpl-2", "mozilla", r"mozilla public license(?: version)? v?2(?: 0)?"),
-    ("mpl", "mozilla", r"mozilla public"),
-    ("mpl", "mpl", r"mpl(?: version)?(?: v?[12](?: [01])?)?"),
-    ("epl-1", "eclipse", r"eclipse public license(?: version)? v?1(?: 0)?"),
-    ("epl-2", "eclipse", r"eclipse public license(?: version)? v?2(?: 0)?"),
-    ("epl", "eclipse", r"eclipse public"),
-    ("edl", "eclipse", r"eclipse distribution"),
-    ("cpl", "common", r"common public"),
-    ("cddl", "cddl", r"cddl(?: version)?(?: v?1(?: [01])?)?"),
-    ("cddl", "distribution", r"common development and distribution"),
-    ("artistic-1", "artistic", r"artistic license(?: version)? v?1(?: 0)?"),
-    ("artistic-2", "artistic", r"artistic license(?: version)? v?2(?: 0)?"),
-    ("artistic", "artistic", r"artistic"),
-    ("zlib", "zlib", r"zlib(?: libpng)?"),
-    ("libpng", "libpng", r"libpng"),
-    ("boost-1", "boost", r"boost software"),
-    ("unlicense", "unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"),
-    ("beerware", "beerware", r"beerware"),
-    ("eupl", "eupl", r"eupl(?: version)?(?: v?1 [0-2])?"),
-    ("eupl", "european", r"european union public"),
-    ("ofl-1.1", "ofl", r"(?:sil )?ofl(?: version)?(?: v?1 [01])?"),
-    ("ofl-1.1", "font", r"(?:sil )?open font"),
-    ("psf-2", "psf", r"psf"),
-    ("psf-2", "python", r"python software foundation"),
-    ("php-3", "php", r"php(?: license)?(?: version)? v?3(?: 0[01])?"),
-    ("ruby", "ruby", r"ruby"),
-    ("openssl", "openssl", r"openssl"),
-    ("postgresql", "postgresql", r"postgresql"),
-    ("ncsa", "ncsa", r"(?:university of illinois )?ncsa(?: open source)?"),
-    ("w3c", "w3c", r"w3c(?: software(?: notice)?)?"),
-    ("x11", "x11", r"x11"),
-    ("curl", "curl", r"curl"),
-    ("intel", "intel", r"intel open source"),
-    ("ibm-pl", "ibm", r"ibm public"),
-    ("sun-sissl", "sun", r"sun industry standards source"),
-    ("nasa-1.3", "nasa", r"nasa open source"),
-    ("ms-pl", "microsoft", r"microsoft public"),
-    ("ms-rl", "microsoft", r"microsoft reciprocal"),
-    ("upl-1", "universal", r"universal permissive"),
-    ("ecl-2", "educational", r"educational community"),
-    ("osl-3", "open", r"open software license(?: version)? v?3(?: 0)?"),
-    ("afl-3", "academic", r"academic free"),
-    ("odbl-1", "odbl", r"odbl(?: 1 0)?"),
-    ("odbl-1", "database", r"open database"),
-    ("pddl-1", "pddl", r"pddl(?: 1 0)?"),
-    ("odc-by", "odc", r"odc by(?: 1 0)?"),
-    ("bsl-1.1", "business", r"business source license(?: version)?(?: 1 1)?"),
-    ("sspl-1", "sspl", r"sspl(?: 1 0)?"),
-    ("sspl-1", "server", r"server side public"),
-    ("elastic-2", "elastic", r"elastic license(?: version)?(?: v?2(?: 0)?)?"),
-    ("cc0", "cc0", r"cc0(?: 1 0)?"),
-    ("cc-by-nc-nd", "nd", r"cc by nc nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "sa", r"cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nc", "nc", r"cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nd", "nd", r"cc by nd(?: [1-4] [05])?"),
-    ("cc-by-sa", "sa", r"cc by sa(?: [1-4] [05])?"),
-    ("cc-by", "cc", r"cc by(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "commons", r"creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: works)?"),
-    ("cc-by-nc-sa", "commons", r"creative commons attribution non ?commercial share ?alike"),
-    ("cc-by-nc", "commons", r"creative commons attribution non ?commercial"),
-    ("cc-by-nd", "commons", r"creative commons attribution no ?deriv(?:ative)?s?(?: works)?"),
-    ("cc-by-sa", "commons", r"creative commons attribution share ?alike"),
-    ("cc-by", "commons", r"creative commons attribution"),
-    ("cc0", "commons", r"creative commons zero"),
-)
-
-#: prefix, suffix, whether a weaker form, confidence
-FORMS = (
-    (r"(?:is |are |was |be )?(?:licensed|released|distributed|available|provided|published|offered) under (?:the )?(?:terms of )?(?:the )?", r"(?: license| licence)?", 0.95),
-    (r"(?:under|subject to) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?", r" (?:license|licence)", 0.9),
-    (r"spdx license identifier ", r"", 1.0),
-    (r"license ", r"", 0.6),
-    (r"", r" (?:license|licence)", 0.7),
-)
-
-#: whole texts' fixed sentences: label, keyword, pattern, confidence
-PHRASES = (
-    ("mit", "charge", r"permission is hereby granted free of charge to any person obtaining a copy", 1.0),
-    ("isc", "permission", r"permission to use copy modify and or distribute this software for any purpose with or without fee", 1.0),
-    ("bsd", "redistribution", r"redistribution and use in source and binary forms with or without modification are permitted", 1.0),
-    ("bsd-3-clause", "endorse", r"may be used to endorse or promote products derived from", 0.9),
-    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software", 1.0),
-    ("apache-2", "apache", r"www apache org licenses license 2 0", 1.0),
-    ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public license", 1.0),
-    ("lgpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu lesser general public license", 1.0),
-    ("mpl-2", "mozilla", r"this source code form is subject to the terms of the mozilla public license v 2 0", 1.0),
-    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain", 1.0),
-    ("public-domain", "domain", r"(?:in|into|to) the public domain", 0.8),
-    ("public-domain", "domain", r"dedicated to the public domain", 0.9),
-    ("zlib", "altered", r"altered source versions must be plainly marked as such", 1.0),
-    ("boost-1", "boost", r"boost software license version 1 0", 1.0),
-    ("wtfpl", "fuck", r"do what the fuck you want to public license", 1.0),
-    ("cc0", "creativecommons", r"creativecommons org publicdomain zero", 1.0),
-    ("cc-by", "creativecommons", r"creativecommons org licenses by", 0.95),
-    ("proprietary", "reserved", r"all rights reserved", 0.5),
-    ("proprietary", "confidential", r"proprietary and confidential", 0.8),
-    ("proprietary", "unauthorized", r"unauthorized (?:copying|use|distribution)", 0.6),
-    ("copyright", "copyright", r"copyright (?:c )?(?:19|20)[0-9][0-9]", 0.3),
-)
+from .license_rules import GRANTED, SECTIONS, U
 
+BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 class Rule(NamedTuple):
     label: str
@@ -168,11 +35,13 @@ class Rule(NamedTuple):
 
 
 def rules() -> list[Rule]:
-    """All rules, best first: fixed sentences, names with a version after their own "license", then name x form."""
-    out = [Rule(label, key, re.compile(rf"(?<= ){p}(?= )"), 0, c) for label, key, p, c in PHRASES]
-    out += [Rule(label, key, re.compile(rf"(?<= ){p}(?= )"), 1, 0.9) for label, key, p in NAMES if re.search("(public|artistic|software) license", p)]
-    for level, (before, after, c) in enumerate(FORMS, 2):
-        out += [Rule(label, key, re.compile(rf"(?<= ){before}{p}{after}(?= )"), level, c) for label, key, p in NAMES]
+    """All rules, best first."""
+    out = []
+    for priority, section in enumerate(SECTIONS):
+        for line in section.strip().split("\n"):
+            label, keyword, confidence, pattern = line.split(" | ")
+            pattern = f"(?:{{U}})?{pattern}" if priority == GRANTED else pattern
+            out.append(Rule(label, keyword, re.compile(f"(?<= ){pattern.replace('{U}', U)}(?= )"), priority, float(confidence)))
     return out
 
 
