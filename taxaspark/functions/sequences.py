@@ -170,13 +170,15 @@ def kmers(seq: Column, k: int) -> Column:
     return F.when((n > 0) & plain, all_).when(n > 0, F.filter(all_, lambda x: x.rlike(f"^[ACGT]{{{k}}}$"))).otherwise(F.array().cast("array<string>"))
 
 
-def common_prefix(lineages: Column) -> Column:
-    """Lowest common ancestor of an array of lineages (arrays, root first): their longest common prefix."""
-    return F.aggregate(
-        F.slice(lineages, 2, F.size(lineages)),
-        F.element_at(lineages, 1),
-        lambda a, b: F.slice(a, 1, F.aggregate(F.arrays_zip(a.alias("a"), b.alias("b")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda s, z: F.struct((s["n"] + F.when(s["on"] & z["a"].eqNullSafe(z["b"]), 1).otherwise(0)).alias("n"), (s["on"] & z["a"].eqNullSafe(z["b"])).alias("on")), lambda s: s["n"])),
-    )
+def lowest_ancestor(lineages: Column) -> Column:
+    """Lowest common ancestor of an array of lineages (arrays, root first).
+
+    As many of the first elements of the shortest lineage (on ties the first in order) as it has elements
+    that all lineages share; lineages that part and meet again count what they share below as well.
+    """
+    guide = F.element_at(F.array_sort(F.transform(lineages, lambda x: F.struct(F.size(x).alias("n"), x.alias("x")))), 1)["x"]
+    shared = F.aggregate(lineages, guide, lambda a, b: F.array_intersect(a, b))
+    return F.slice(guide, 1, F.size(F.filter(guide, lambda x: F.array_contains(shared, x))))
 
 
 def akaike_weights(scores: Column) -> Column:

@@ -24,6 +24,8 @@ from .taxonomy import ancestor_by, levels, rank_of
 RANKS = ["kingdom", "phylum", "class", "order", "family", "genus", "species"]
 #: a broadcast tree is at most this many bytes of packed models
 TREE_BYTES = 512 << 20
+#: why a descent ended (fixed values)
+THRESHOLD, SCORE, SHORT, LONG, COUNT = 1, 2, 3, 4, 6
 
 
 @dataclass
@@ -61,15 +63,20 @@ def build_key(training: DataFrame, taxonomy: DataFrame) -> DataFrame:
 
 
 def ping(unique: DataFrame, model: Classifier, threshold: float = 0.98, mincount: int = 5) -> DataFrame:
-    """(uid, seq, taxID, exact): a taxID for sequences found by hash or by near neighbours, null for others."""
+    """(uid, seq, taxID, exact): a taxID for sequences found by hash or by near neighbours, null for others.
+
+    Neighbours are distinct training sequences, each with the taxon of its hash, so copies of one do not
+    count several times towards ``mincount`` or the 50 nearest.
+    """
     exact = unique.join(model.key.select(F.col("md5").alias("uid"), F.col("taxID").alias("hit")), "uid", "left")
     known = exact.where("hit IS NOT NULL").select("uid", "seq", F.col("hit").alias("taxID"), F.lit(True).alias("exact"))
     misses = exact.where("hit IS NULL").select("uid", "seq", "ord")
     if not 0 < threshold < 1:
         return known.unionByName(misses.select("uid", "seq", F.lit(None).cast("int").alias("taxID"), F.lit(False).alias("exact")))
-    near = nearest(misses.select(F.col("ord").alias("query"), "seq"), model.training.select("train", "seq"), 50, model.k).where(F.col("distance") <= 1 - threshold)
+    distinct = model.training.groupBy("seq").agg(F.min("train").alias("train"))
+    near = nearest(misses.select(F.col("ord").alias("query"), "seq"), distinct.select("train", "seq"), 50, model.k).where(F.col("distance") <= 1 - threshold)
     lin = levels(model.taxonomy).select("taxID", F.array_join(F.transform("lineage", lambda x: x["taxID"].cast("string")), "; ").alias("lineage"))
-    hits = near.join(model.training.select("train", "taxID"), "train")
+    hits = near.join(distinct.select("train", seq_hash(F.col("seq")).alias("md5")), "train").join(model.key, "md5").select("query", "train", "taxID")
     enough = hits.groupBy("query").agg(F.count(F.lit(1)).alias("hits")).where(F.col("hits") >= mincount).select("query")
     ancestors = ancestor_by(hits.join(enough, "query", "left_semi").join(lin, "taxID"), "query")
     found = ancestors.select(F.col("query").alias("ord"), F.element_at(F.split("ancestor", "; "), -1).try_cast("int").alias("taxID"))
@@ -110,9 +117,15 @@ def descend_batch(children: dict[str, list[_Node]], seqs: list[str], threshold:
             best = weights.argmax(axis=1)
             for i, r in enumerate(rows):
                 kid, w, s = kids[best[i]], float(weights[i, best[i]]), state[r]
-                checks = ((s[2] * w if decay else w) >= threshold, scores[i, best[i]] >= kid.minscore + offset, len(seqs[r]) >= kid.minlength, len(seqs[r]) <= kid.maxlength, True, kid.ntotal >= mincount)
-                if not all(checks):
-                    s[5] = checks.index(False) + 1
+                fits = {
+                    THRESHOLD: (s[2] * w if decay else w) >= threshold,
+                    SCORE: scores[i, best[i]] >= kid.minscore + offset,
+                    SHORT: len(seqs[r]) >= kid.minlength,
+                    LONG: len(seqs[r]) <= kid.maxlength,
+                    COUNT: kid.ntotal >= mincount,
+                }
+                if not all(fits.values()):
+                    s[5] = next(code for code, fine in fits.items() if not fine)
                     continue
                 s[0], s[1], s[2] = kid.taxID, w, s[2] * w
                 s[3] += kid.clade[-1]

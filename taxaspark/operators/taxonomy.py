@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.sequences import common_prefix
+from ..functions.sequences import lowest_ancestor
+from .reads import rank_by
 
 MAX_DEPTH = 100
 
@@ -148,8 +149,8 @@ def rdp_taxonomy(names: DataFrame, depth: int) -> DataFrame:
     path = F.array_join(F.slice("parts", 1, F.col("pos") + 1), ";")
     up = F.array_join(F.slice("parts", 1, F.col("pos")), ";")
     taxa = exploded.select("ord", "pos", "name", path.alias("path"), up.alias("up")).groupBy("pos", "path", "up", "name").agg(F.min("ord").alias("first"))
-    # The taxonomy has one row per distinct taxon, which is far fewer than there are names.
-    numbered = taxa.withColumn("taxID", F.row_number().over(W.orderBy("pos", "first", "path")).cast("int"))
+    # One number orders the taxa: level, then first name, then place among the taxa that begin with that name (one a level).
+    numbered = rank_by(taxa.withColumn("__at", F.col("pos").cast("bigint") * (1 << 56) + F.col("first")), "__at", "__n").withColumn("taxID", F.col("__n").cast("int")).drop("__at", "__n")
     parent = numbered.select(F.col("path").alias("up"), F.col("taxID").alias("parent_taxID"))
     return numbered.join(parent, "up", "left").select("taxID", F.coalesce("parent_taxID", F.lit(0)).alias("parent_taxID"), F.concat(F.lit("rank"), (F.col("pos") + 1).cast("string")).alias("rank"), "name")
 
@@ -160,4 +161,4 @@ def ancestor_by(rows: DataFrame, group: str, lin: str = "lineage") -> DataFrame:
     Equal lineages are combined first, so a group holds its distinct lineages only.
     """
     distinct = rows.select(group, F.split(lin, "; ").alias("parts")).distinct()
-    return distinct.groupBy(group).agg(F.array_join(common_prefix(F.collect_list("parts")), "; ").alias("ancestor"))
+    return distinct.groupBy(group).agg(F.array_join(lowest_ancestor(F.collect_list("parts")), "; ").alias("ancestor"))

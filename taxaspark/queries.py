@@ -196,7 +196,19 @@ def q_join_union(spark: SparkSession, sf: str) -> DataFrame:
 def q_abundance_long(spark: SparkSession, sf: str) -> DataFrame:
     li = X.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("sample"), (F.col("l_partkey") % 16).alias("asv"))
     wide = li.groupBy("sample").pivot("asv", list(range(16))).count().na.fill(0)
-    return wide.unpivot("sample", [str(i) for i in range(16)], "asv", "n").where("n > 0").select("sample", F.col("asv").cast("bigint").alias("asv"), "n")
+    return R.from_abundance(wide).where("n > 0").select("sample", F.col("seq").cast("bigint").alias("asv"), "n")
+
+
+@query(V("SELECT ord, 'S' || row_number() OVER (ORDER BY ord) AS name, seq FROM reads"))
+def q_named(spark: SparkSession, sf: str) -> DataFrame:
+    return R.named(X.reads(spark, sf).select("ord", "seq")).select("ord", "name", "seq")
+
+
+@query(V("SELECT ord, name, seq AS r1, qual AS q1, reverse(seq) AS r2, qual AS q2, ord % 3 <> 2 AS names_agree FROM reads"))
+def q_pair_mates(spark: SparkSession, sf: str) -> DataFrame:
+    r = X.reads(spark, sf).select("ord", "name", "seq", "qual")
+    tail = F.when(F.col("ord") % 3 == 0, F.substring("name", -1, 1)).when(F.col("ord") % 3 == 1, F.lit("x")).otherwise(F.lit("xyz"))
+    return R.pair_mates(r, r.select("ord", F.concat(F.expr("substring(name, 1, length(name) - 1)"), tail).alias("name"), F.reverse("seq").alias("seq"), "qual"))
 
 
 # --- taxonomy --------------------------------------------------------------------------
@@ -303,11 +315,12 @@ _LCA = (
     _LINEAGE
     + """,
 by_hash AS (SELECT DISTINCT md5(seq) AS md5, numbers FROM refseqs JOIN lineages ON tax_id = taxID),
-elements AS (SELECT md5, unnest(string_split(numbers, '; ')) AS v, unnest(range(len(string_split(numbers, '; ')))) AS p FROM by_hash),
+guides AS (SELECT md5, string_split(numbers, '; ') AS g FROM by_hash QUALIFY row_number() OVER (PARTITION BY md5 ORDER BY len(string_split(numbers, '; ')), string_split(numbers, '; ')) = 1),
 sizes AS (SELECT md5, count(*) AS n FROM by_hash GROUP BY md5),
-per AS (SELECT md5, p, count(*) AS c, count(DISTINCT v) AS k, min(v) AS v FROM elements GROUP BY md5, p),
-ok AS (SELECT per.md5, p, v, min(CAST(c = n AND k = 1 AS INTEGER)) OVER (PARTITION BY per.md5 ORDER BY p) AS fine FROM per JOIN sizes USING (md5)),
-hash_key AS (SELECT md5, string_agg(v, '; ' ORDER BY p) AS ancestor FROM ok WHERE fine = 1 GROUP BY md5)"""
+elements AS (SELECT DISTINCT md5, numbers, unnest(string_split(numbers, '; ')) AS v FROM by_hash),
+shared AS (SELECT md5, v FROM elements JOIN sizes USING (md5) GROUP BY md5, v, n HAVING count(*) = n),
+depth AS (SELECT md5, count(*) AS a FROM (SELECT md5, unnest(g) AS v FROM guides) JOIN shared USING (md5, v) GROUP BY md5),
+hash_key AS (SELECT md5, array_to_string(g[1:a], '; ') AS ancestor FROM guides JOIN depth USING (md5))"""
 )
 
 
@@ -554,10 +567,23 @@ def q_quantile7(spark: SparkSession, sf: str) -> DataFrame:
     return li.groupBy("l_returnflag").agg(F.round(F.expr("percentile(l_extendedprice, 0.05)"), 6).alias("q05"), F.round(F.expr("percentile(l_extendedprice, 0.5)"), 6).alias("q50"))
 
 
-@query(V("SELECT otu, min(length(seq)) AS minlength, max(length(seq)) AS maxlength, count(DISTINCT seq) AS nunique, count(*) AS ntotal FROM refseqs GROUP BY otu"))
+@query(V("SELECT otu AS clade, -max(ord)::DOUBLE AS minscore, min(length(seq)) AS minlength, max(length(seq)) AS maxlength, count(DISTINCT seq) AS nunique, count(*) AS ntotal FROM refseqs JOIN lineages ON tax_id = taxID GROUP BY otu", _LINEAGE))
 def q_node_stats(spark: SparkSession, sf: str) -> DataFrame:
-    r = X.refseqs(spark, sf)
-    return r.groupBy("otu").agg(F.min(F.length("seq")).cast("bigint").alias("minlength"), F.max(F.length("seq")).cast("bigint").alias("maxlength"), F.countDistinct("seq").alias("nunique"), F.count(F.lit(1)).alias("ntotal"))
+    """The learner's node table, over groups of reference sequences in place of grown clades."""
+    tax = X.taxonomy(spark, sf)
+    lin = T.lineage(tax.select("taxID"), tax, numbers=True)
+    rows = X.refseqs(spark, sf).join(lin, F.col("tax_id") == lin["taxID"])
+    members = rows.groupBy(F.col("otu").alias("clade"), "seq").agg(F.count(F.lit(1)).alias("n"), (-F.max("ord")).cast("double").alias("score"), F.min("lineage").alias("lineage"))
+    nodes = L.nodes_of(members.withColumn("model", F.lit(None).cast("binary")))
+    whole = [F.col(c).cast("bigint").alias(c) for c in ("minlength", "maxlength", "nunique", "ntotal")]
+    return nodes.select("clade", "minscore", *whole)
+
+
+@query("SELECT l_orderkey AS q, string_agg(chr(CAST(33 + (l_linenumber * 17 + l_orderkey) % 90 AS INTEGER)), '' ORDER BY l_linenumber) AS scores FROM lineitem GROUP BY l_orderkey")
+def q_score_text(spark: SparkSession, sf: str) -> DataFrame:
+    code = (33 + (F.col("l_linenumber") * 17 + F.col("l_orderkey")) % 90).cast("int").alias("w")
+    lists = X.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("q")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", code))).alias("s"))
+    return lists.withColumn("weights", F.transform("s", lambda x: x["w"])).select("q", C.score_text("weights").alias("scores"))
 
 
 _INFO = """
@@ -570,9 +596,9 @@ def q_infocols(spark: SparkSession, sf: str) -> DataFrame:
     return K.counts(X.reads(spark, sf), 6).groupBy("kmer").agg(F.countDistinct("n").alias("kinds"), F.count(F.lit(1)).alias("holders")).where("kinds = 2")
 
 
-@query(V("SELECT tax_id, min_by(name, ord) AS name, count(*) AS n, min(ord) AS first FROM refseqs GROUP BY tax_id"))
+@query(V("SELECT tax_id, min_by(name, ord) AS name, count(*) AS n, CAST(sum(ord % 3) AS BIGINT) AS m FROM refseqs GROUP BY tax_id"))
 def q_rollup_taxon(spark: SparkSession, sf: str) -> DataFrame:
-    return X.refseqs(spark, sf).groupBy("tax_id").agg(F.min_by("name", "ord").alias("name"), F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    return C.rollup(X.refseqs(spark, sf).select("ord", "tax_id", "name", F.lit(1).alias("n"), (F.col("ord") % 3).cast("int").alias("m")), "tax_id")
 
 
 @query(V(" SELECT name, confidence FROM flagged ORDER BY confidence DESC, name LIMIT 20", _PURGE))
@@ -616,10 +642,9 @@ def q_fasta_records(spark: SparkSession, sf: str) -> DataFrame:
     return fastx.fasta_records(lines)
 
 
-@query(V("SELECT name, concat_ws(chr(10), '@' || name, seq, '+', qual) AS value FROM reads"))
+@query(V("SELECT concat_ws(chr(10), '@' || name, seq, '+', qual) AS value FROM reads"))
 def q_fastq_text(spark: SparkSession, sf: str) -> DataFrame:
-    r = X.reads(spark, sf)
-    return r.select("name", F.concat_ws("\n", F.concat(F.lit("@"), "name"), "seq", F.lit("+"), "qual").alias("value"))
+    return fastx.fastq_text(X.reads(spark, sf))
 
 
 @query(V("SELECT 'A' || ord AS accession, tax_id, 'org ' || tax_id AS organism, 'root; x' AS lineage, seq FROM refseqs WHERE ord % 5 <> 0"))

@@ -61,13 +61,50 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """ord, name, seq, qual of FASTQ files, through the splitting source below where a file is local, else by lines."""
-    spark.dataSource.register(FastqSource)
-    return spark.read.format("fastq").option("path", path).load()
+    """ord, name, seq, qual of four-line FASTQ files, plain or gzipped, of any store that Spark reads.
+
+    Mounted paths go through the splitting source below.  Files of other stores are read by Spark, one row a
+    file (up to 2 GB each).  ``ord`` is the file's place in order of names times 2^40 plus the record's offset.
+    """
+    scheme = path.split("://", 1)[0] if "://" in path else ""
+    if scheme in ("", "file"):
+        spark.dataSource.register(FastqSource)
+        return spark.read.format("fastq").option("path", path.removeprefix("file://")).load()
+    files = spark.read.format("binaryFile").load(path)
+    names = sorted(r["path"] for r in files.select("path").collect())
+    place = spark.sparkContext.broadcast({name: i for i, name in enumerate(names)})  # names only
+
+    def run(batches):
+        import gzip
+        import io
+
+        import pyarrow as pa
+
+        for batch in batches:
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                f = io.BytesIO(gzip.decompress(body) if name.endswith(".gz") else body)
+                rows = list(_records(f, len(f.getbuffer()), place.value[name]))
+                cols = list(zip(*rows)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string(), pa.string()))], names=["ord", "name", "seq", "qual"])
+
+    return files.select("path", "content").mapInArrow(run, "ord bigint, name string, seq string, qual string")
+
+
+FILE_BITS = 40
+
+
+def _records(f, end: int, file: int):
+    """Records that begin before ``end``, from where the file stands."""
+    while f.tell() < end:
+        at = f.tell()
+        head, seq, _, qual = (f.readline().rstrip(b"\r\n").decode() for _ in range(4))
+        if not head:
+            return
+        yield (file << FILE_BITS) + at, head[1:], seq, qual
 
 
 class FastqSource(DataSource):
-    """Four-line FASTQ records of a local or mounted path, cut at record starts about every 64 MB."""
+    """Four-line FASTQ records of a local or mounted path, cut at record starts about every 64 MB; gzipped files are not cut."""
 
     @classmethod
     def name(cls) -> str:
@@ -81,8 +118,8 @@ class FastqSource(DataSource):
 
 
 class FastqSplit(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    def __init__(self, path: str, start: int, end: int, file: int):
+        self.path, self.start, self.end, self.file = path, start, end, file
 
 
 class FastqReader(DataSourceReader):
@@ -94,22 +131,23 @@ class FastqReader(DataSourceReader):
         import os
 
         files = sorted(glob.glob(self.path)) if not os.path.isdir(self.path) else sorted(glob.glob(os.path.join(self.path, "*")))
-        return [FastqSplit(f, a, min(a + self.size, os.path.getsize(f))) for f in files for a in range(0, os.path.getsize(f), self.size)] or [FastqSplit("", 0, 0)]
+        out = []
+        for k, f in enumerate(files):
+            n = os.path.getsize(f)
+            out += [FastqSplit(f, 0, 1 << 62, k)] if f.endswith(".gz") else [FastqSplit(f, a, min(a + self.size, n), k) for a in range(0, n, self.size)]
+        return out or [FastqSplit("", 0, 0, 0)]
 
     def read(self, part: FastqSplit):
+        import gzip
+
         if not part.path:
             return
-        with open(part.path, "rb") as f:
+        with gzip.open(part.path, "rb") if part.path.endswith(".gz") else open(part.path, "rb") as f:
             f.seek(max(part.start - 1, 0))
             if part.start:
                 f.readline()
                 _to_record(f)
-            while f.tell() < part.end:
-                at = f.tell()
-                head, seq, _, qual = (f.readline().rstrip(b"\r\n").decode() for _ in range(4))
-                if not head:
-                    return
-                yield at, head[1:], seq, qual
+            yield from _records(f, part.end, part.file)
 
 
 def _to_record(f) -> None:

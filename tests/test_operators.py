@@ -33,8 +33,11 @@ def test_golden_values(spark):
     assert one(spark, lambda c: S.translate_codons(c, 1), "ATGTAAAAN") == "M*X"
     assert one(spark, S.tax_id_of, "a|b|12") == 12 and one(spark, S.tax_id_of, "none") is None
     assert one(spark, lambda c: S.wrap(c, 3), "ACGTACG") == "ACG\nTAC\nG"
-    assert one(spark, S.common_prefix, [["a", "b", "c"], ["a", "b"], ["a", "b", "d"]], "array<array<string>>") == ["a", "b"]
-    assert one(spark, S.common_prefix, [["a"], ["b"]], "array<array<string>>") == []
+    assert one(spark, S.lowest_ancestor, [["a", "b", "c"], ["a", "b"], ["a", "b", "d"]], "array<array<string>>") == ["a", "b"]
+    assert one(spark, S.lowest_ancestor, [["a"], ["b"]], "array<array<string>>") == []
+    # lineages that part and meet again: three elements of the shortest are shared, so its first three count
+    assert one(spark, S.lowest_ancestor, [["a", "x", "c", "d", "e"], ["a", "b", "c", "d"]], "array<array<string>>") == ["a", "b", "c"]
+    assert one(spark, S.lowest_ancestor, [["b", "c"], ["a", "c"]], "array<array<string>>") == ["a"]
 
 
 def reads(spark, rows):
@@ -397,3 +400,42 @@ def test_searches_and_scores_cover_reads_of_every_length(spark):
         q = K.count_matrix([reads[o]])[0] / max(len(reads[o]) - 3, 1)
         best = np.sort(((q - t) ** 2).sum(axis=1) * len(reads[o]) / 8)[:10]
         assert [near[o][p] for p in range(1, 11)] == pytest.approx(best.tolist(), abs=2e-6)
+
+
+def test_fastq_files_plain_or_gzipped_have_one_order(spark, tmp_path):
+    import gzip
+
+    from taxaspark.sources import fastx
+
+    text = {k: "".join(f"@{k}{i}\nACGT\n+\n@III\n" for i in range(40)) for k in "abc"}
+    (tmp_path / "a.fastq").write_text(text["a"])
+    (tmp_path / "b.fastq.gz").write_bytes(gzip.compress(text["b"].encode()))
+    (tmp_path / "c.fastq").write_text(text["c"])
+    expect = [f"{k}{i}" for k in "abc" for i in range(40)]
+    whole = sorted((r.ord, r.name, r.seq, r.qual) for r in fastx.read_fastq(spark, str(tmp_path)).collect())
+    assert [n for _, n, _, _ in whole] == expect and len({o for o, *_ in whole}) == 120 and {x[2:] for x in whole} == {("ACGT", "@III")}
+    spark.conf.set("spark.hadoop.fs.viewfs.mounttable.fq.link./in", f"file://{tmp_path}")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.fq.link./in", f"file://{tmp_path}")
+    far = sorted((r.ord, r.name, r.seq, r.qual) for r in fastx.read_fastq(spark, "viewfs://fq/in").collect())
+    assert far == whole
+
+
+def test_ping_counts_distinct_training_sequences(spark):
+    import random
+
+    from taxaspark.operators import classify as C
+
+    rng = random.Random(1)
+    base = "".join(rng.choice("ACGT") for _ in range(300))
+    near = [base[:k] + ("A" if base[k] != "A" else "C") + base[k + 1 :] for k in (20, 90, 150, 210, 260)]
+    tax = spark.createDataFrame([(1, 0, "no rank", "root"), (2, 1, "genus", "g"), (3, 2, "species", "s one"), (4, 2, "species", "s two")], "taxID int, parent_taxID int, rank string, name string")
+    query = spark.createDataFrame([("q", base, 0)], "uid string, seq string, ord bigint")
+
+    def found(seqs):
+        train = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(seqs)], "train bigint, seq string, taxID int")
+        return C.ping(query, C.Classifier(tax, C.build_key(train, tax), train), 0.9, 3).first().taxID
+
+    assert found([(near[0], 3)] * 60) is None  # one sequence, however often it stands there
+    assert found([(near[0], 3)] * 60 + [(near[1], 3), (near[2], 4)]) == 2
+    assert found([(s, 3) for s in near[:3]]) == 3
+    assert found([(near[0], 3), (near[0], 4), (near[1], 3), (near[2], 3)]) == 2  # its hash stands for both species
