@@ -439,3 +439,19 @@ def test_ping_counts_distinct_training_sequences(spark):
     assert found([(near[0], 3)] * 60 + [(near[1], 3), (near[2], 4)]) == 2
     assert found([(s, 3) for s in near[:3]]) == 3
     assert found([(near[0], 3), (near[0], 4), (near[1], 3), (near[2], 3)]) == 2  # its hash stands for both species
+
+
+def test_lists_of_nearest_match_a_full_sort():
+    import numpy as np
+
+    from taxaspark.operators.kmers import keep_best
+
+    rng = np.random.default_rng(3)
+    d = rng.integers(0, 12, (7, 90)).astype(float)  # many ties
+    ids = rng.permutation(90)
+    for most in (1, 5, 50, 200):
+        best = np.zeros((7, 0)), np.zeros((7, 0), np.int64)
+        for a, b in ((0, 3), (3, 40), (40, 41), (41, 90)):
+            best = keep_best(*best, d[:, a:b], ids[a:b], most)
+        for q in range(7):
+            assert list(zip(best[0][q], best[1][q])) == sorted(zip(d[q], ids))[:most]
