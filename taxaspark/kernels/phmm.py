@@ -9,6 +9,7 @@ a batch advance together.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -50,44 +51,59 @@ def _emissions(model: Phmm, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return wide[codes].transpose(2, 0, 1), inserts[codes]
 
 
+#: tables of one part of a batch are at most this many bytes
+TABLE_BYTES = 64 << 20
+
+#: the moves into a match (or the end), an insert and a delete state from match, insert and delete
+INTO = np.array([[MM, IM, DM], [MI, II, DI], [MD, ID, DD]])
+
+
+def parts(model: Phmm, seqs: list[str]) -> Iterator[slice]:
+    """Slices of a batch whose tables are within TABLE_BYTES, one sequence at least."""
+    widest = max(map(len, seqs), default=0) + 1
+    step = max(1, TABLE_BYTES // (24 * (model.size + 1) * widest))
+    return (slice(i, i + step) for i in range(0, len(seqs), step))
+
+
 def forward(model: Phmm, seqs: list[str]) -> np.ndarray:
     """Log P(sequence | model) of each sequence."""
-    return _run(model, seqs, np.logaddexp)[0]
+    return np.concatenate([_run(model, seqs[p], np.logaddexp)[0] for p in parts(model, seqs)] or [np.zeros(0)])
 
 
 def viterbi(model: Phmm, seqs: list[str]) -> tuple[np.ndarray, list[list[tuple[str, int, int]]]]:
     """Log probability and states of the best path: (M, I or D; position; residue index or -1)."""
-    score, tables = _run(model, seqs, np.maximum, keep=True)
-    m, i, d = tables
-    codes, n = encode(seqs, model.letters)
-    paths = []
-    for s in range(len(seqs)):
-        state, k, j, path = "E", model.size, int(n[s]), []
-        a = model.a
-        while True:
-            if state == "E":
-                options = {"M": m[k, s, j] + a[MM, k], "I": i[k, s, j] + a[IM, k], "D": d[k, s, j] + a[DM, k]}
-            elif state == "M":
-                options = {"M": m[k, s, j] + a[MM, k], "I": i[k, s, j] + a[IM, k], "D": d[k, s, j] + a[DM, k]}
-            elif state == "I":
-                options = {"M": m[k, s, j] + a[MI, k], "I": i[k, s, j] + a[II, k], "D": d[k, s, j] + a[DI, k]}
-            else:
-                options = {"M": m[k, s, j] + a[MD, k], "I": i[k, s, j] + a[ID, k], "D": d[k, s, j] + a[DD, k]}
-            state = max(options, key=lambda x: options[x])
-            if state == "M" and k == 0:
-                break
-            path.append((state, k, j - 1 if state != "D" else -1))
-            if state == "M":
-                k, j = k - 1, j - 1
-            elif state == "I":
-                j -= 1
-            else:
-                k -= 1
-        paths.append(path[::-1])
-    return score, paths
+    scores, paths = [np.zeros(0)], []
+    for p in parts(model, seqs):
+        score, tables = _run(model, seqs[p], np.maximum, keep=True)
+        scores.append(score)
+        found: list[list] = [[] for _ in score]
+        for rows, _, state, k, j in _steps(model, tables, np.array([len(s) for s in seqs[p]])):
+            for row, st, kk, jj in zip(rows.tolist(), state.tolist(), k.tolist(), j.tolist()):
+                if st or kk:
+                    found[row].append(("MID"[st], kk, jj - 1 if st != 2 else -1))
+        paths += [x[::-1] for x in found]
+    return np.concatenate(scores), paths
+
+
+def _steps(model: Phmm, tables: np.ndarray, n: np.ndarray) -> Iterator[tuple]:
+    """Steps back along the best paths of all sequences at once: (rows, move, state it leaves, its position, residues read).
+
+    A path's last step leaves match state 0, the start.  Of equal paths (to nine decimals) the
+    one that comes from a match is taken, then from an insert.
+    """
+    rows, k, j = np.arange(len(n)), np.full(len(n), model.size), n
+    into = np.zeros(len(n), np.int64)
+    while len(rows):
+        moves = INTO[into]
+        state = np.round(tables[:, k, rows, j].T + model.a[moves, k[:, None]], 9).argmax(axis=1)
+        yield rows, moves[np.arange(len(rows)), state], state, k, j
+        going = (state != 0) | (k > 0)
+        rows, into, k, j = rows[going], state[going], k[going], j[going]
+        k, j = k - (into != 1), j - (into != 2)
 
 
 def _run(model: Phmm, seqs: list[str], add, keep: bool = False):
+    """Scores, and the tables of match, insert and delete states (state, position, sequence, residues read) if kept."""
     codes, n = encode(seqs, model.letters)
     batch, width = codes.shape
     match, insert = _emissions(model, codes)
@@ -95,23 +111,24 @@ def _run(model: Phmm, seqs: list[str], add, keep: bool = False):
     rows = np.arange(batch)
     m, i, d = (np.full((batch, width + 1), LOW) for _ in range(3))
     m[:, 0] = 0.0
-    tables = ([], [], [])
+    tables = np.empty((3, model.size + 1, batch, width + 1)) if keep else None
+    read, steps = np.cumsum(insert, axis=1), np.arange(width)
     for k in range(model.size + 1):
         if k:
-            nm, nd = np.full_like(m, LOW), np.full_like(d, LOW)
+            nm = np.full_like(m, LOW)
             into = add(add(m + a[MM, k - 1], i + a[IM, k - 1]), d + a[DM, k - 1])
             nm[:, 1:] = into[:, :-1] + match[k - 1]
-            nd = add(add(m + a[MD, k - 1], i + a[ID, k - 1]), d + a[DD, k - 1])
-            m, d = nm, nd
+            d = add(add(m + a[MD, k - 1], i + a[ID, k - 1]), d + a[DD, k - 1])
+            m = nm
+        # A run of inserts: without what the run itself costs, its recursion is a running maximum or sum.
+        run = read + a[II, k] * steps
         i = np.full_like(m, LOW)
-        from_other = add(m + a[MI, k], d + a[DI, k])
-        for j in range(1, width + 1):
-            i[:, j] = add(from_other[:, j - 1], i[:, j - 1] + a[II, k]) + insert[:, j - 1]
+        opened = add(m[:, :-1] + a[MI, k], d[:, :-1] + a[DI, k])
+        i[:, 1:] = add.accumulate(opened + insert - run, axis=1) + run
         if keep:
-            for t, x in zip(tables, (m, i, d)):
-                t.append(x)
+            tables[:, k] = m, i, d
     score = add(add(m[rows, n] + a[MM, model.size], i[rows, n] + a[IM, model.size]), d[rows, n] + a[DM, model.size])
-    return score, tuple(np.array(t) for t in tables) if keep else None
+    return score, tables
 
 
 def from_counts(emit: np.ndarray, moves: np.ndarray, background: np.ndarray, pseudo: float = 1.0) -> Phmm:
@@ -152,21 +169,23 @@ def derive(seqs: list[str], weights: np.ndarray | None = None, letters: str = DN
 def count_paths(model: Phmm, seqs: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted emissions and moves along the best paths."""
     emit, moves = np.zeros_like(model.e), np.zeros_like(model.a)
-    codes, _ = encode(seqs, model.letters)
-    number = {("D", "D"): DD, ("D", "M"): DM, ("D", "I"): DI, ("M", "D"): MD, ("M", "M"): MM, ("M", "I"): MI, ("I", "D"): ID, ("I", "M"): IM, ("I", "I"): II}
-    for s, path in enumerate(viterbi(model, seqs)[1]):
-        state, k = "M", 0
-        for nxt, pos, j in path:
-            moves[number[state, nxt], k] += weights[s]
-            if nxt == "M" and codes[s, j] >= 0:
-                emit[codes[s, j], pos - 1] += weights[s]
-            state, k = nxt, pos
-        moves[number[state, "M"], k] += weights[s]
+    for p in parts(model, seqs):
+        (codes, n), w = encode(seqs[p], model.letters), weights[p]
+        for rows, move, state, k, j in _steps(model, _run(model, seqs[p], np.maximum, keep=True)[1], n):
+            np.add.at(moves, (move, k), w[rows])
+            at = np.flatnonzero((state == 0) & (k > 0))
+            at = at[codes[rows[at], j[at] - 1] >= 0]
+            np.add.at(emit, (codes[rows[at], j[at] - 1], k[at] - 1), w[rows[at]])
     return emit, moves
 
 
 def expected_counts(model: Phmm, seqs: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weighted emissions and moves expected over all paths (forward and backward sums)."""
+    found = [_expected(model, seqs[p], weights[p]) for p in parts(model, seqs)]
+    return sum(e for e, _ in found), sum(m for _, m in found)
+
+
+def _expected(model: Phmm, seqs: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     codes, n = encode(seqs, model.letters)
     batch, width = codes.shape
     match, insert = _emissions(model, codes)
