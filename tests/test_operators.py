@@ -185,6 +185,41 @@ def test_cross_validation_marks_one_of_two_sibling_leaves(spark):
     assert len({got[i] for i in range(4)}) == 1 or len({got[i] for i in range(4, 8)}) == 1
 
 
+def test_large_clusters_are_split_in_all_tasks(spark):
+    rng = np.random.default_rng(8)
+    ends = ["".join("ACGT"[i] for i in rng.choice(4, 150, p=p)) for p in ([0.7, 0.1, 0.1, 0.1], [0.1, 0.7, 0.1, 0.1], [0.1, 0.1, 0.7, 0.1])]
+    made = [e[:j] + "ACGT"[int(rng.integers(4))] + e[j + 1 :] for e in ends for j in range(0, 60, 2)]
+    rows = spark.createDataFrame([(i, s) for i, s in enumerate(made + made[:5])], "ord bigint, seq string")
+    whole = {r.ord: r.query for r in U.allocate_cvi(rows, 0.9).collect()}
+    dealt = {r.ord: r.query for r in U.allocate_cvi(rows, 0.9, most=10).collect()}
+    assert whole == dealt and len(whole) == 95 and 0 < sum(whole.values()) < 95
+    assert all(whole[i] == whole[90 + i] for i in range(5))
+    drawn = {r.ord: r.query for r in U.allocate_cvi(rows, 0.9, "sample").collect()}
+    assert len(drawn) == 95 and 0 < sum(drawn.values()) < 95
+    alike = spark.createDataFrame([(i, "ACGT" * 20) for i in range(4)], "ord bigint, seq string")
+    assert not any(r.query for r in U.allocate_cvi(alike, 0.9, most=0).collect())
+    with pytest.raises(ValueError):
+        U.allocate_cvi(rows, 0.9, "first")
+
+
+def test_large_leaves_are_scored_whole_under_sampled_models(spark, taxa):
+    rng = np.random.default_rng(9)
+    ends = ["".join(rng.choice(list("ACGT"), 60)) for _ in range(2)]
+    rows = [(100 * t + j, e[:j] + "N" + e[j + 1 :], 4 + t) for t, e in enumerate(ends) for j in range(30)]
+    members = L.members_of(spark.createDataFrame(rows, "train bigint, seq string, taxID int"), taxa)
+    split = lambda df: {r.uid: r.clade for r in L.leaves_of(df).collect()}
+    whole, sampled = (split(L.grow(members, "ACGT", 1, sample=n)) for n in (1000, 12))
+    assert set(whole) == set(sampled) and set(whole.values()) == set(sampled.values()) == {"1", "2"}
+    same = sum(whole[u] == sampled[u] for u in whole) / len(whole)
+    assert same in (0.0, 1.0)  # the same halves, under either number
+    assert set(split(L.grow(members, "ACGT", 1, sample=12, min_score=1.0)).values()) == {""}
+
+
+def test_retried_splits_need_enough_informative_columns():
+    x = np.array([[0, 1] * 30, [0, 1] * 30, [1, 0] * 30])
+    assert L.informative_split(x).tolist() == [0, 0, 1] and L.informative_split(x[:, :50]) is None
+
+
 def test_files_round_trip(spark, tmp_path):
     rows = reads(spark, [(i, f"r{i} x", "ACGT" * 10, "@" + "I" * 39, "s") for i in range(50)])
     fastx.write_fastq(rows.coalesce(1), f"{tmp_path}/fq")
