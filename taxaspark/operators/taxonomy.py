@@ -70,6 +70,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint() if df.sparkSession.conf.get("spark.checkpoint.dir", None) else df.cache()
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows dealt by keys to as many tasks as the session's shuffles have: groups of few bytes but much work must not be put together."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def lineage(ids: DataFrame, taxonomy: DataFrame, numbers: bool = False) -> DataFrame:
     """Each (taxID) with its lineage joined by ``; ``, names or numbers; null for an unknown or null taxID."""
     lin = levels(taxonomy).select("taxID", F.array_join(F.transform("lineage", lambda x: x["taxID"].cast("string") if numbers else x["name"]), "; ").alias("lineage"))

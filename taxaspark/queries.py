@@ -690,33 +690,30 @@ def q_phmm_forward(spark: SparkSession, sf: str) -> DataFrame:
     return X.reads(spark, sf).select("ord", "seq").mapInArrow(run, "ord bigint, score double")
 
 
-def _small_training(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Training sequences of the learner: the nation names' letters as bases, one per nation, with variants."""
-    tax = X.taxonomy(spark, sf)
-    n = X.table(spark, sf, "nation")
-    base = F.translate(F.lower(F.regexp_replace(F.repeat(F.concat("n_name", F.md5(F.col("n_regionkey").cast("string"))), 3), "[^A-Za-z0-9]", "")), X.LETTERS + "0123456789", X.BASES + "ACGTACGTAC")
-    seqs = n.select(F.col("n_nationkey"), F.explode(F.array(*(F.concat(F.substring(base, 1, 30), F.lit("ACGT"[i]), F.substring(base, 31, 30)) for i in range(4)))).alias("seq"))
-    rows = seqs.select(F.abs(F.xxhash64("n_nationkey", "seq")).alias("train"), "seq", (F.col("n_nationkey") + 100).cast("int").alias("taxID"))
-    return rows, tax
+def _items(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Training sequences of the learner: the letters of all benchmark items, whole, as bases; items belong to nations by their number."""
+    letters = F.lower(F.regexp_replace("text", "[^A-Za-z]", ""))
+    rows = X.table(spark, sf, "benchmark").select(F.col("item_id").alias("train"), F.translate(letters, X.LETTERS, X.BASES).alias("seq"), (F.pmod("item_id", F.lit(25)) + 100).cast("int").alias("taxID"))
+    return rows.where("seq <> ''"), X.taxonomy(spark, sf)
 
 
 @query()
 def q_learn_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return L.learn(*_small_training(spark, sf), max_waves=3).nodes.select("clade", "taxID", "minscore", "minlength", "maxlength", "nunique", "ntotal")
+    return L.learn(*_items(spark, sf)).nodes.select("clade", "taxID", "minscore", "minlength", "maxlength", "nunique", "ntotal")
 
 
 @query()
 def q_classify_tree(spark: SparkSession, sf: str) -> DataFrame:
-    rows, tax = _small_training(spark, sf)
-    model = L.learn(rows, tax, max_waves=3)
-    reads = rows.select(F.col("train").alias("ord"), F.lit("r_1").alias("name"), F.lit("r").alias("sample"), "seq")
-    return C.classify(reads, model, ping_at=0.0, mincount=1, offset=-10)
+    """All items, without their first letter and so never exact hits, descend the tree learned from all items."""
+    rows, tax = _items(spark, sf)
+    reads = rows.select(F.col("train").alias("ord"), F.lit("r_1").alias("name"), F.lit("r").alias("sample"), F.expr("substring(seq, 2)").alias("seq"))
+    return C.classify(reads, L.learn(rows, tax), ping_at=0.0)
 
 
 @query()
 def q_cvi(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = _small_training(spark, sf)
-    return U.allocate_cvi(rows.select(F.col("train").alias("ord"), "seq"), 0.9)
+    """Query and training sets of all reference sequences at the default threshold."""
+    return U.allocate_cvi(X.refseqs(spark, sf).select("ord", "seq"))
 
 
 @query()
