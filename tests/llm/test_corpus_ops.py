@@ -361,3 +361,32 @@ def test_links_of_texts_that_share_exact_runs_match_brute_force(spark, docs, mon
         for k in both:
             reach[k] = both
     assert {a for a, _ in pairs} <= {a for a, _ in links} and all(b in reach[a] for a, b in pairs)
+
+
+def test_texts_with_a_long_run_are_linked_although_each_seed_of_it_is_crowded(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK_BYTES", 30_000)
+    rng = np.random.default_rng(22)
+    rows, pairs = [], []
+    for _ in range(4):
+        passage = text(rng, 60)
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [f"{text(rng, 20)} {passage} {text(rng, 20)}" for _ in range(2)]
+        for k in range(0, 42, 6):  # hubs of each seed that hold 24 words of the passage
+            rows += [f"{text(rng, 10)} {' '.join(passage.split()[k : k + 24])} {text(rng, 10)}" for _ in range(60)]
+    got = {(r.doc_id, r.other_id): r for r in S.shared_passages(docs([(i, t, "s") for i, t in enumerate(rows)])).collect()}
+    for a, b in pairs:
+        found = got.get((a, b)) or got[(b, a)]
+        assert found.start_word <= 21 and found.end_word >= 79
+
+
+def test_equal_runs_hold_the_same_winnowed_run():
+    rng = np.random.default_rng(23)
+    for _ in range(200):
+        run = rng.integers(0, 2**63, S.RUN + S.WINNOW - 1).astype(np.uint64)
+        keys = []
+        for _ in range(2):
+            h = np.concatenate((rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64), run, rng.integers(0, 2**63, int(rng.integers(0, 60))).astype(np.uint64)))
+            at, key = S.seeds_of(h)
+            keys.append(set(S.long_runs(h, np.array([0, len(h)]), np.zeros(len(at), np.int64), at, key, np.ones(len(at), bool))[2].tolist()))
+        assert keys[0] & keys[1]
+    assert len(S.winnowed(np.zeros(0, np.uint64))) == 0
