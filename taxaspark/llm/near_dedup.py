@@ -12,8 +12,10 @@
    the bucket's main class with hubs of that class.  Those still outside it (stragglers) are
    compared with the whole bucket in blocks by ``BINS`` partial weights per set: the sum of the
    smaller partial weights bounds what two sets share, so only pairs whose bound reaches
-   ``SIMILARITY`` become rows.  Members of the main class are not compared with each other, so
-   no bucket emits all its pairs, and no link between classes is dropped.
+   ``SIMILARITY`` can be links.  Of these the ``MOST`` best of a straggler and block become rows;
+   stragglers with more that are then still outside are verified within blocks, from which only
+   links that join two classes become rows.  Members of the main class are not compared with
+   each other, so no bucket emits all its pairs, and no link between classes is dropped.
 5. Every candidate is verified by weighted Jaccard similarity over all shingles; classes
    are the connected components of verified links.
 
@@ -47,6 +49,8 @@ HUBS = 2
 SMALL = 12
 BINS = 64
 BLOCK = 512
+#: pairs of a straggler and block that become rows at once; the blocks in which the rest is verified are smaller, as they hold sets
+MOST, INNER = 4, 128
 CHUNK_BYTES = 6 << 20
 
 
@@ -213,43 +217,97 @@ def _hubs(members: DataFrame, seed: int) -> DataFrame:
     return members.groupBy("bucket").agg(F.array_distinct(F.array(*(F.min_by("rep", F.xxhash64("rep", F.lit(seed + i))) for i in range(HUBS)))).alias("hubs"))
 
 
-def bounded_pairs(rest: DataFrame, reps: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one bucket with different labels whose bound reaches SIMILARITY.
+def _cells(rest: DataFrame, reps: DataFrame, block: int, lone: F.Column, *more: str) -> DataFrame:
+    """Members of each bucket, dealt to cells in which every ``lone`` one meets every member, sorted by cell.
 
-    ``rest`` has (bucket, rep, label, main, n, out): ``main`` is the bucket's most frequent label, ``out`` the
-    number of its ``n`` members with another.  Blocks of about BLOCK such stragglers meet blocks of about BLOCK
-    members; each pair of blocks is one cell, so rows grow with n * out / BLOCK, not with the square of n.
+    ``rest`` has (bucket, rep, label, main, n, out): ``out`` of the bucket's ``n`` members are ``lone``.  Blocks of about
+    ``block`` of them meet blocks of about ``block`` members, so rows grow with n * out / block, not with the square of n.
     """
-    ours, theirs = (F.greatest(F.lit(1), F.ceil(F.col(c) / BLOCK)).cast("int") for c in ("out", "n"))
+    ours, theirs = (F.greatest(F.lit(1), F.ceil(F.col(c) / block)).cast("int") for c in ("out", "n"))
     mark = F.xxhash64("rep")
-    held = rest.join(reps.select("rep", "total", "bins"), "rep").withColumn("ours", ours).withColumn("theirs", theirs)
-    lone = held.where("label <> main").select("*", F.pmod(mark, "ours").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("j"), F.lit(True).alias("lone"))
+    held = rest.join(reps.select("rep", "total", "bins", *more), "rep").withColumn("ours", ours).withColumn("theirs", theirs)
+    some = held.where(lone).select("*", F.pmod(mark, "ours").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)).alias("j"), F.lit(True).alias("lone"))
     every = held.select("*", F.explode(F.sequence(F.lit(0), F.col("ours") - 1)).alias("i"), F.pmod(mark, "theirs").cast("int").alias("j"), F.lit(False).alias("lone"))
-    cells = lone.unionByName(every).select(F.xxhash64("bucket", "i", "j").alias("cell"), "lone", "rep", "label", F.col("label") != F.col("main"), "total", "bins").toDF("cell", "lone", "rep", "label", "outside", "total", "bins")
+    cells = some.unionByName(every).select(F.xxhash64("bucket", "i", "j").alias("cell"), "bucket", "lone", "rep", "label", "total", "bins", *more)
+    return cells.repartition("cell").sortWithinPartitions("cell", "rep")
+
+
+def _bounds(group: pa.Table) -> Iterator[tuple]:
+    """(lone members, members, bound of each pair, whether it may be a link) of a cell, by up to 16 lone ones."""
+    lone, label, total = (group[c].to_numpy() for c in ("lone", "label", "total"))
+    bins = np.frombuffer(b"".join(group["bins"].to_pylist()), np.float32).reshape(-1, BINS)
+    mine, others = np.flatnonzero(lone), np.flatnonzero(~lone)
+    for a in range(0, len(mine), 16):
+        some = mine[a : a + 16]
+        least = np.minimum(bins[some][:, None, :], bins[others][None]).sum(axis=2)
+        bound = least / (total[some][:, None] + total[others][None] - least)
+        yield some, others, bound, reaches(least, total[some][:, None], total[others][None]) & (label[some][:, None] != label[others][None])
+
+
+def best_pairs(rest: DataFrame, reps: DataFrame, most: int) -> DataFrame:
+    """bucket, rep, a, b, more: pairs (a, b) of a straggler ``rep`` with members of other labels whose bound reaches SIMILARITY.
+
+    ``rest`` has (bucket, rep, label, main, n, out): ``main`` is the bucket's most frequent label, ``out`` the number
+    of its ``n`` members with another (stragglers).  Of each straggler and block the ``most`` pairs with the highest
+    bounds are given; ``more`` tells that there are others.  A pair of two stragglers is one of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "cell"):
-            lone, rep, label, outside, total = (group[c].to_numpy() for c in ("lone", "rep", "label", "outside", "total"))
-            bins = np.frombuffer(b"".join(group["bins"].to_pylist()), np.float32).reshape(-1, BINS)
-            mine, others = np.flatnonzero(lone), np.flatnonzero(~lone)
-            for a in range(0, len(mine), 16):
-                some = mine[a : a + 16]
-                least = np.minimum(bins[some][:, None, :], bins[others][None]).sum(axis=2)
-                ok = reaches(least, total[some][:, None], total[others][None]) & (label[some][:, None] != label[others][None])
-                ok &= ~outside[others][None] | (rep[some][:, None] < rep[others][None])  # two stragglers meet twice
-                i, j = np.nonzero(ok)
+            rep, bucket = group["rep"].to_numpy(), group["bucket"].to_numpy()
+            for some, others, bound, ok in _bounds(group):
+                best = np.argsort(np.where(ok, -bound, np.inf), axis=1, kind="stable")[:, :most]
+                i, j = np.nonzero(np.take_along_axis(ok, best, axis=1))
                 if len(i):
-                    x, y = rep[some[i]], rep[others[j]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    x, y = rep[some[i]], rep[others[best[i, j]]]
+                    cols = [bucket[some[i]], x, np.minimum(x, y), np.maximum(x, y), ok.sum(axis=1)[i] > most]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["bucket", "rep", "a", "b", "more"])
+
+    return _cells(rest, reps, BLOCK, F.col("label") != F.col("main")).mapInArrow(run, "bucket bigint, rep bigint, a bigint, b bigint, more boolean")
+
+
+def bounded_pairs(rest: DataFrame, reps: DataFrame) -> DataFrame:
+    """All pairs (a, b) that :func:`best_pairs` takes from, once for each bucket."""
+    return best_pairs(rest, reps, 1 << 30).select("bucket", "a", "b").distinct().drop("bucket")
 
-    return cells.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(run, "a bigint, b bigint")
+
+def joining_links(rest: DataFrame, reps: DataFrame) -> DataFrame:
+    """a, b, similarity of links that join the classes of ``open`` members with all classes of their bucket that they reach.
+
+    ``rest`` is as for :func:`best_pairs`, with ``open`` and their number as ``out``.  All pairs that may be links
+    are verified in their cell, the likeliest first, except between classes that it has joined by then.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, "cell"):
+            rep, label, total, shared = *(group[c].to_numpy() for c in ("rep", "label", "total")), group["shared"]
+            up: dict[int, int] = {}
+
+            def root(x: int) -> int:
+                while x in up:
+                    x = up[x]
+                return x
+
+            found = []
+            for some, others, bound, ok in _bounds(group):
+                i, j = np.nonzero(ok)
+                order = np.argsort(-bound[i, j], kind="stable")
+                for x, y in zip(some[i[order]].tolist(), others[j[order]].tolist()):
+                    p, q = root(int(label[x])), root(int(label[y]))
+                    if p != q and (s := similarity(shared[x].as_py(), shared[y].as_py(), total[x], total[y])) >= SIMILARITY:
+                        up[p] = q
+                        found.append((min(rep[x], rep[y]), max(rep[x], rep[y]), s))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "similarity"])
+
+    return _cells(rest, reps, INNER, F.col("open"), "shared").mapInArrow(run, "a bigint, b bigint, similarity double")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (smallest doc_id of the class), group_size (documents of the class), links, kept.
 
     ``links`` is the number of verified links of the document's representative; in band buckets of over
-    SMALL members links go through hubs, so there it counts those, not all similar documents.
+    SMALL members links go through hubs or are those that join classes, so there it counts those, not all similar documents.
     """
     scratch = Scratch(docs.sparkSession, "near_dedup")
     cand = candidates(docs, scratch)
@@ -279,20 +337,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         hubs = scratch.write(_hubs(open_.where("label = main"), 101), "hubs2")
         again = open_.where("label <> main").join(hubs, "bucket").select("rep", F.explode("hubs").alias("hub")).select(*_pairs(F.col("rep"), F.col("hub"))).distinct()
         tried2 = scratch.write(again.join(tried, ["a", "b"], "left_anti"), "tried2")
-        links = scratch.write(links.unionByName(verify(tried2, reps)), "links2")
+        more = scratch.write(verify(tried2, reps), "links2")
+        links = links.unionByName(more)
 
         # The rest: members of one bucket that are still in different classes.
-        labels = components(links, scratch, "cc2")
+        labels = components(more, scratch, "cc2", labels)
         rest = open_.select("bucket", "rep").join(labels, F.col("rep") == labels["node"], "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"))
         rest = scratch.write(rest, "labelled2")
         per = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"))
         apart = per.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n")).where("most < n")
         apart = scratch.write(apart.select("bucket", "main", "n", (F.col("n") - F.col("most")).alias("out")), "apart")
-        left = bounded_pairs(rest.join(apart, "bucket"), reps).distinct()
+        rest = rest.join(apart, "bucket")
+        best = scratch.write(best_pairs(rest, reps, MOST), "best")
+        left = best.select("a", "b").distinct()
         tried3 = scratch.write(left.join(tried, ["a", "b"], "left_anti").join(tried2, ["a", "b"], "left_anti"), "tried3")
-        links = scratch.write(links.unionByName(verify(tried3, reps)), "links3")
+        more = scratch.write(verify(tried3, reps), "links3")
+        links, labels = links.unionByName(more), components(more, scratch, "cc3", labels)
+
+        # Stragglers with more such pairs, if they are not yet in what has become of their bucket's main class.
+        open_ = best.where("more").select("bucket", "rep").distinct().withColumn("open", F.lit(True))
+        now = rest.select("bucket", "rep", F.col("main").alias("was"), "n").join(open_, ["bucket", "rep"], "left")
+        now = now.join(labels.toDF("rep", "label"), "rep", "left").join(labels.toDF("was", "main"), "was", "left").select("bucket", "rep", F.coalesce("label", "rep").alias("label"), F.coalesce("main", "was").alias("main"), "n", "open")
+        now = scratch.write(now.withColumn("open", F.coalesce("open", F.lit(False)) & (F.col("label") != F.col("main"))), "labelled3")
+        out = now.where("open").groupBy("bucket").agg(F.count(F.lit(1)).alias("out"))
+        more = scratch.write(joining_links(now.join(out, "bucket"), reps).dropDuplicates(["a", "b"]), "links4")
+        links, labels = links.unionByName(more), components(more, scratch, "cc4", labels)
+    else:
+        labels = components(links, scratch, "cc1")
 
-    labels = components(links, scratch, "cc3")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
     classes = reps.select("digest", "rep").join(labels, F.col("rep") == labels["node"], "left").join(degree, "rep", "left")
     classes = scratch.write(classes.select("digest", F.coalesce("label", "rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links")), "classes")

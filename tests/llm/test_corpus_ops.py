@@ -115,6 +115,62 @@ def test_stragglers_meet_every_block_of_their_bucket(spark, monkeypatch):
     assert got == sorted(expect) and 0 < len(got)
 
 
+def spread_group(rng, n):
+    """Copies of one text, from nearly equal ones to such as resemble only some of the others, among other texts."""
+    base = text(rng, 100)
+    return [edited(rng, base, int(k)) for k in rng.integers(2, 14, n)] + [text(rng, 10) for _ in range(300)]
+
+
+def test_classes_are_the_same_however_few_pairs_of_stragglers_become_rows(spark, docs, monkeypatch):
+    df = docs([(i, t, "s") for i, t in enumerate(spread_group(np.random.default_rng(32), 200))]).cache()
+    classes = []
+    for most, block, inner in ((1 << 30, 512, 128), (1, 64, 16)):
+        for k, v in (("MOST", most), ("BLOCK", block), ("INNER", inner)):
+            monkeypatch.setattr(N, k, v)
+        classes.append({r.doc_id: r.class_id for r in N.near_duplicates(df).collect()})
+    assert classes[0] == classes[1] and 1 < len({classes[0][i] for i in range(200)}) < 200
+
+
+def test_pairs_of_stragglers_grow_with_their_number_not_with_the_bucket(spark):
+    rng = np.random.default_rng(31)
+    keys = rng.integers(0, 2**63, 40).astype(np.uint64)
+    bins = bytearray(N.partial_weights(keys, np.ones(40)).tobytes())  # all bounds are 1
+    for n in (100, 400):
+        rest = [(1, i, i if i < n // 4 else n, n, n, n // 4) for i in range(n)]
+        df = spark.createDataFrame(rest, "bucket bigint, rep bigint, label bigint, main bigint, n bigint, out bigint")
+        got = N.best_pairs(df, spark.createDataFrame([(i, 40.0, bins) for i in range(n)], "rep bigint, total double, bins binary"), N.MOST).collect()
+        assert len(got) == N.MOST * (n // 4) and all(r.more and r.rep in (r.a, r.b) and r.a < r.b for r in got)
+
+
+def test_joining_links_are_enough_and_right(spark, monkeypatch):
+    monkeypatch.setattr(N, "INNER", 8)
+    rng = np.random.default_rng(33)
+    keys = rng.integers(0, 2**63, 60).astype(np.uint64)
+    sets = {}
+    for i in range(50):
+        mine = np.sort(rng.choice(60, int(rng.integers(20, 45)), replace=False))
+        sets[i] = (keys[mine], np.ones(len(mine)))
+    reps = [(i, float(w.sum()), bytearray(N.partial_weights(k, w).tobytes()), bytearray(N.pack_set(k, w))) for i, (k, w) in sets.items()]
+    label = {i: 0 if i < 20 else i for i in sets}
+    open_ = {i for i in sets if i >= 20 and i % 3}
+    rest = [(7, i, label[i], 0, len(sets), len(open_), i in open_) for i in sets]
+    df = spark.createDataFrame(rest, "bucket bigint, rep bigint, label bigint, main bigint, n bigint, out bigint, open boolean")
+    got = N.joining_links(df, spark.createDataFrame(reps, "rep bigint, total double, bins binary, shared binary")).collect()
+
+    def alike(i, j):
+        return len(np.intersect1d(sets[i][0], sets[j][0])) / len(np.union1d(sets[i][0], sets[j][0]))
+
+    def joined(pairs):
+        names = dict(label)
+        for a, b in pairs:
+            names = {k: min(names[a], names[b]) if v in (names[a], names[b]) else v for k, v in names.items()}
+        return names
+
+    expect = [(i, j) for i in sets for j in sets if i != j and i in open_ and label[i] != label[j] and alike(i, j) >= N.SIMILARITY]
+    assert all(r.a < r.b and abs(r.similarity - alike(r.a, r.b)) < 1e-9 and r.similarity >= N.SIMILARITY for r in got)
+    assert joined([(r.a, r.b) for r in got]) == joined(expect) and 0 < len(got) < len(expect)
+
+
 def test_one_row_of_a_class_stays_although_ids_repeat(spark, docs):
     rng = np.random.default_rng(14)
     base, other = text(rng, 90), text(rng, 90)
@@ -145,6 +201,41 @@ def test_components_of_chains_and_stars(spark):
     assert got == {**{k: 1 for k in range(1, 31)}, **{k: 100 for k in range(100, 140)}, 200: 200}
 
 
+def test_components_grow_by_further_links(spark):
+    scratch = Scratch(spark, "t")
+    make = lambda links: spark.createDataFrame(links, "a bigint, b bigint")
+    first = components(make([(2, 3), (5, 4), (8, 9)]), scratch, "c", None)
+    got = {r.node: r.label for r in components(make([(3, 9), (1, 4), (30, 20), (9, 8), (7, 7)]), scratch, "d", first).collect()}
+    assert got == {2: 2, 3: 2, 8: 2, 9: 2, 1: 1, 4: 1, 5: 1, 20: 20, 30: 20, 7: 7}
+    same = components(make([]), scratch, "e", first)
+    assert sorted(map(tuple, same.collect())) == sorted(map(tuple, first.collect()))
+
+
+def test_links_are_joined_to_labels_few_times(spark, monkeypatch):
+    write, rows = Scratch.write, collections.Counter()
+
+    def counted(self, df, name, **more):
+        out = write(self, df, name, **more)
+        rows[name] += out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    links = [(hub, k) for k in range(100, 300) for hub in range(5) if (hub + k) % 3]  # members with several hubs
+    components(spark.createDataFrame(links, "a bigint, b bigint"), Scratch(spark, "t"), "c")
+    assert len(links) <= sum(v for k, v in rows.items() if "links" in k) <= 1.2 * len(links)
+
+
+def test_components_of_random_links(spark):
+    rng = np.random.default_rng(34)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000, k) for k in range(900, 960)]
+    names = {x: x for pair in links for x in pair}
+    for a, b in links:
+        low, high = sorted((names[a], names[b]))
+        names = {k: low if v == high else v for k, v in names.items()}
+    got = components(spark.createDataFrame(links, "a bigint, b bigint"), Scratch(spark, "t"), "c")
+    assert {r.node: r.label for r in got.collect()} == names
+
+
 def test_keys_pack_exactly():
     rng = np.random.default_rng(4)
     for n in (0, 1, 2, 1000):
