@@ -1,10 +1,53 @@
 """Steps that must not measure every pair, nor meet the limits of a recursive query."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from taxaspark.operators import kmers as K
 from taxaspark.operators import taxonomy as T
 
 
+def made(seed, n, lengths=(1, 140)):
+    rng = np.random.default_rng(seed)
+    seqs = ["".join(rng.choice(list("ACGT"), int(m))) for m in rng.integers(*lengths, n)]
+    near = [s[:k] + "A" + s[k + 1 :] for s, k in zip(seqs, rng.integers(0, 140, n))]
+    return sorted(set(seqs + [s for s in near if s]) | {"A" * 90, "ACG", "ACGN" * 20})
+
+
+def brute(query, train):
+    size = lambda x: np.maximum(np.array([len(s) for s in x]) - 3, 1)[:, None]
+    q, t = K.count_matrix(query) / size(query), np.minimum(K.count_matrix(train), K.CAP) / size(train)
+    square = ((q[:, None] - t[None]) ** 2).sum(axis=2)
+    return square, np.round(square * np.array([len(s) for s in query])[:, None] / 8, 12)
+
+
+@pytest.mark.parametrize("within", [None, 0.02, 0.3])
+def test_nearest_lists_are_whole_in_parts_and_blocks(spark, monkeypatch, within):
+    seqs = made(2, 300)
+    query = seqs[::3]
+    monkeypatch.setattr(K, "BLOCK_BYTES", 40 * 2048)  # several blocks of queries
+    frame = lambda x, name: spark.createDataFrame(list(enumerate(x)), f"{name} bigint, seq string")
+    got = {}
+    for r in K.nearest(frame(query, "query"), frame(seqs, "train").repartition(3), 7, within=within).collect():
+        got.setdefault(r["query"], []).append((r.place, r.distance))
+    _, d = brute(query, seqs)
+    for q in range(len(query)):
+        want = [x for x in np.sort(d[q])[:7] if within is None or x <= within]
+        assert [x for _, x in sorted(got.get(q, []))] == pytest.approx(want, abs=1e-9)
+
+
+def test_bounds_lose_no_pair_and_leave_few():
+    seqs = made(5, 400, (110, 140))
+    square, _ = brute(seqs, seqs)
+    for basis in (None, K.basis_of(seqs[:200], 4)):
+        x, y = K.Profiles(seqs, 4, basis), K.Profiles(seqs, 4, basis, K.CAP)
+        for limit in (0.0, 0.01, 0.001):
+            found = {(a, b) for i, j in x.candidates(y, np.full(len(seqs), limit)) for a, b in zip(i.tolist(), j.tolist())}
+            assert set(zip(*(c.tolist() for c in np.nonzero(square <= limit)))) <= found
+        assert len(found) < 0.05 * len(seqs) ** 2
+
+
 def test_closure_has_no_row_limit(spark):
     rows = [(1, 0, "no rank", "root")] + [(i, i // 3 + (i < 3), "species", f"t{i}") for i in range(2, 120)]
     tax = spark.createDataFrame(rows, "taxID int, parent_taxID int, rank string, name string")
