@@ -48,6 +48,21 @@ def test_bounds_lose_no_pair_and_leave_few():
         assert len(found) < 0.05 * len(seqs) ** 2
 
 
+def test_packed_blocks_find_both_ways():
+    seqs = made(7, 200)
+    basis = K.basis_of(seqs[:100], 4)
+    a, b = seqs[::2], seqs[1::2]
+    packed = [K._bands(K.Profiles.unpack(x, K.Profiles(x, 4, basis).pack(), 4)) for x in (a, b)]
+    there, back = set(), set()
+    for i, j, t, u in K._close(*packed, 0.9):
+        there |= set(zip(i[t].tolist(), j[t].tolist()))
+        back |= set(zip(j[u].tolist(), i[u].tolist()))
+    f = [K.count_matrix(x) / np.maximum(np.array([len(s) for s in x]) - 3, 1)[:, None] for x in (a, b)]
+    square = ((f[0][:, None] - f[1][None]) ** 2).sum(axis=2)
+    near = lambda s, x: set(zip(*(c.tolist() for c in np.nonzero(np.round(s * np.array([len(v) for v in x])[:, None] / 8, 12) <= 1 - 0.9))))
+    assert there == near(square, a) and back == near(square.T, b) and there
+
+
 def test_closure_has_no_row_limit(spark):
     rows = [(1, 0, "no rank", "root")] + [(i, i // 3 + (i < 3), "species", f"t{i}") for i in range(2, 120)]
     tax = spark.createDataFrame(rows, "taxID int, parent_taxID int, rank string, name string")
