@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 import urllib.parse
 import urllib.request
@@ -31,23 +32,34 @@ def read_taxonomy(spark: SparkSession, nodes_path: str, names_path: str, synonym
     return from_dumps(nodes, names, synonyms)
 
 
+TAXON = re.compile(r"taxon:[0-9]+\Z")
+
+
 def xml_records(docs: DataFrame) -> DataFrame:
-    """accession, tax_id, organism, lineage, seq of GenBank XML documents (doc), one row per complete record."""
-    node = lambda tag: f"xpath(doc, '//GBSeq/{tag}/text()')"
-    cols = {"accession": node("GBSeq_locus"), "seq": node("GBSeq_sequence"), "organism": node("GBSeq_organism"), "lineage": node("GBSeq_taxonomy")}
-    taxon = "transform(filter(xpath(doc, '//GBSeq//GBQualifier_value/text()'), x -> x RLIKE '^taxon:[0-9]+$'), x -> cast(substring(x, 7) AS INT))"
-    rows = docs.select("doc", *[F.expr(e).alias(c) for c, e in cols.items()], F.expr(taxon).alias("tax_id"))
-    same = F.size("accession")
-    quick = rows.where((F.size("seq") == same) & (F.size("organism") == same) & (F.size("lineage") == same) & (F.size("tax_id") == same))
-    zipped = quick.select(F.explode(F.arrays_zip("accession", "tax_id", "organism", "lineage", "seq")).alias("r")).select("r.*")
-    # A field is missing somewhere: cut the document into records and keep the complete ones.
-    slow = rows.where(~((F.size("seq") == same) & (F.size("organism") == same) & (F.size("lineage") == same) & (F.size("tax_id") == same)))
-    one = slow.select(F.explode(F.regexp_extract_all("doc", F.lit(r"(?s)<GBSeq>.*?</GBSeq>"), F.lit(0))).alias("doc"))
-    single = one.select(*[F.expr(e).alias(c) for c, e in cols.items()], F.expr(taxon).alias("tax_id")).select(*[F.get(c, F.lit(0)).alias(c) for c in ("accession", "tax_id", "organism", "lineage", "seq")])
-    out = zipped.unionByName(single.dropna())
+    """accession, tax_id, organism, lineage, seq of GenBank XML documents (doc), one row per complete record; a document is parsed once."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = [r for doc in batch.column(0).to_pylist() if doc is not None for r in _complete(doc)]
+            if rows:
+                kinds = (pa.string(), pa.int32(), pa.string(), pa.string(), pa.string())
+                names = ["accession", "tax_id", "organism", "lineage", "seq"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+
+    out = docs.select("doc").mapInArrow(run, "accession string, tax_id int, organism string, lineage string, seq string")
     return out.select("accession", "tax_id", "organism", "lineage", F.upper("seq").alias("seq"))
 
 
+def _complete(doc: str):
+    for rec in ElementTree.fromstring(doc).iter("GBSeq"):
+        taxon = next((q.text[6:] for q in rec.iter("GBQualifier_value") if TAXON.match(q.text or "")), None)
+        texts = [rec.findtext(t) for t in ("GBSeq_locus", "GBSeq_organism", "GBSeq_taxonomy", "GBSeq_sequence")]
+        if taxon and all(texts):
+            yield texts[0], int(taxon), *texts[1:]
+
+
 class EntrezSource(DataSource):
     """Sequences of a query or of accessions, one partition per page of 500 records.
 

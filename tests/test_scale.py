@@ -81,3 +81,15 @@ def test_closure_has_no_row_limit(spark):
     loop = spark.createDataFrame([(1, 2, "a", "a"), (2, 1, "a", "b")], "taxID int, parent_taxID int, rank string, name string")
     with pytest.raises(ValueError):
         T.closure(loop).collect()
+
+
+def test_each_document_is_parsed_once(spark):
+    from taxaspark.sources import ncbi
+
+    one = "<GBSeq><GBSeq_locus>{0}</GBSeq_locus><GBSeq_organism>o &amp; {0}</GBSeq_organism><GBSeq_taxonomy>r; x</GBSeq_taxonomy>{1}<GBSeq_sequence>acgt</GBSeq_sequence></GBSeq>"
+    taxon = "<GBQualifier><GBQualifier_value>note</GBQualifier_value></GBQualifier><GBQualifier><GBQualifier_value>taxon:{}</GBQualifier_value></GBQualifier>"
+    docs = ["<GBSet>" + one.format("A", taxon.format(1)) + one.format("B", "") + one.format("C", taxon.format(3)) + "</GBSet>", None, "<GBSet/>", "<GBSet>" + one.format("D", taxon.format("x")) + "</GBSet>"]
+    out = ncbi.xml_records(spark.createDataFrame([(d,) for d in docs], "doc string"))
+    assert sorted(map(tuple, out.collect())) == [("A", 1, "o & A", "r; x", "ACGT"), ("C", 3, "o & C", "r; x", "ACGT")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "xpath" not in plan and plan.count("LogicalRDD") <= 1
