@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+from taxaspark.kernels import phmm
 from taxaspark.operators import curate as U
 
 
@@ -20,3 +21,14 @@ def test_members_find_the_nearer_centre_without_their_profiles():
     assert (U._nearer(pa.array(seqs), c) == want).all()
     assert (U._nearer(pa.array(seqs).slice(7, 90), c) == want[7:97]).all()
     assert not U._nearer(pa.array(seqs), c[[0, 0]]).any()
+
+
+def test_forward_sums_equal_those_of_logs():
+    seqs = ["", "A", "N" * 9] + made(3, 300, "ACGTN", (0, 300)) + ["GGAACAGG" * 40]
+    model = phmm.derive(["GGAACAGGATGAACAGTATACCCCCC", "GGAACAGGATGAACAGTATACCCCAA"])
+    logs = np.concatenate([phmm._run(model, [s], np.logaddexp)[0] for s in seqs])
+    assert phmm.scaled(model, 320) and np.abs(phmm._sums(model, seqs) - logs).max() < 1e-8
+    assert np.abs(phmm.forward(model, seqs) - logs).max() < 1e-8 and len(phmm.forward(model, [])) == 0
+    long = phmm.derive(["ACGT" * 100])
+    assert not phmm.scaled(long, 120)
+    assert np.allclose(phmm.forward(long, seqs[:9]), phmm._run(long, seqs[:9], np.logaddexp)[0])
