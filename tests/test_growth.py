@@ -3,7 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
-from taxaspark.kernels import phmm
+from taxaspark.kernels import align, phmm
 from taxaspark.operators import curate as U
 
 
@@ -32,3 +32,15 @@ def test_forward_sums_equal_those_of_logs():
     long = phmm.derive(["ACGT" * 100])
     assert not phmm.scaled(long, 120)
     assert np.allclose(phmm.forward(long, seqs[:9]), phmm._run(long, seqs[:9], np.logaddexp)[0])
+
+
+def test_motifs_that_stand_in_full_are_not_aligned(monkeypatch):
+    rng = np.random.default_rng(4)
+    for motif in ("GGWACWGG", "GGAACAGG", "ACGGIGICC", "TGRTTYTTYGGICAYCC", "NACG", "ACGI", "ACIIIACG"):
+        one = lambda: "".join(rng.choice(list({"W": "AT", "R": "AG", "Y": "CT", "I": "ACGT", "N": "ACGT"}.get(c, c))) for c in motif)
+        seqs = made(5, 60) + [a + one() + b + one() + c for a, b, c in zip(made(6, 60, "ACGTNW", (0, 9)), made(7, 60), made(8, 60, lengths=(0, 4)))]
+        seqs += ["", motif, one()[1:], one()[:-1], one() * 2, "é" + one(), one().lower()]
+        got, want = align.semiglobal(motif, seqs), align._aligned(motif, seqs)
+        assert all((got[c] == want[c]).all() for c in want)
+    monkeypatch.setattr(align, "_aligned", None)
+    assert align.semiglobal("GGWACWGG", ["TTGGAACTGGT"])["first"].tolist() == [3]
