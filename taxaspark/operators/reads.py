@@ -29,15 +29,16 @@ def quality_filter(
     A limit of None is not applied.  Counts come back by :func:`by_group`, so a sequence that
     makes up much of the input is neither sorted in one window nor joined in one task.
     """
-    out = reads
+    limits = []
     if min_length is not None:
-        out = out.where(F.length("seq") >= min_length)
+        limits.append(F.length("seq") >= min_length)
     if max_length is not None:
-        out = out.where(F.length("seq") <= max_length)
-    if min_qual is not None:
-        out = out.where(mean_phred(F.col("qual")) >= min_qual)
+        limits.append(F.length("seq") <= max_length)
     if max_ambigs is not None:
-        out = out.where(ambiguous_count(F.col("seq")) <= max_ambigs)
+        limits.append(ambiguous_count(F.col("seq")) <= max_ambigs)
+    if min_qual is not None:  # the dearest comes last
+        limits.append(mean_phred(F.col("qual")) >= min_qual)
+    out = once(reads, __ok=reduce(lambda a, b: a & b, limits)).where("__ok").drop("__ok") if limits else reads
     if min_count is None or min_count <= 1:
         return out
     return by_group(out, lambda groups: groups.where(F.col("__n") >= min_count)).select(*reads.columns)
@@ -56,6 +57,15 @@ def by_group(rows: DataFrame, change: Callable[[DataFrame], DataFrame] = lambda
     return salted.join(held, ["seq", "__salt"]).drop("__salt")
 
 
+def once(rows: DataFrame, **computed: Column) -> DataFrame:
+    """The rows with more columns, each computed once a row.
+
+    Conditions on a plain column are pushed to the scan with its whole expression, and chains of such
+    columns multiply; those of a generator are not.
+    """
+    return rows.select(*rows.columns, F.inline(F.array(F.struct(*(c.alias(name) for name, c in computed.items())))))
+
+
 def subset(rows: DataFrame, keep: Column) -> DataFrame:
     """The rows for which ``keep`` is true (null counts as false); all columns follow."""
     return rows.where(keep)
@@ -142,20 +152,15 @@ def trim(reads: DataFrame, up: str, down: str | None = None, min_kept: int = 51)
     """
     pattern = disambiguate(up) + ".+" + (disambiguate(rc(down)) if down else "")
     n_up, n_down = len(up), len(down or "")
-    there = F.col("seq").rlike(pattern)
-    back = reverse_complement(F.col("seq"))
-    turned = (
-        reads.withColumn("reversed", ~there)
-        .withColumn("qual", F.when(there, F.col("qual")).otherwise(F.reverse("qual")))
-        .withColumn("seq", F.when(there, F.col("seq")).otherwise(back))
-        .where(F.col("seq").rlike(pattern))
-    )
-    at = F.regexp_instr("seq", F.lit(pattern))
-    start = at + n_up
-    size = F.length(F.regexp_extract("seq", f"({pattern})", 1)) - n_up - n_down
-    located = turned.withColumn("__start", start).withColumn("__size", size).where(F.col("__size") >= min_kept)
-    cut = lambda c: F.substring(c, F.col("__start"), F.col("__size"))
-    return located.withColumn("seq", cut(F.col("seq"))).withColumn("qual", cut(F.col("qual"))).drop("__start", "__size")
+    found = lambda c: F.regexp_extract(c, f"({pattern})", 1)  # noqa: E731, empty if there is none
+    there = F.col("__there") != ""
+    rows = once(reads, __there=found("seq")).withColumn("reversed", ~there)
+    rows = once(rows, __seq=F.when(there, F.col("seq")).otherwise(reverse_complement(F.col("seq"))))
+    rows = once(rows, __hit=F.when(there, F.col("__there")).otherwise(found("__seq"))).where("__hit <> ''")
+    start, size = F.instr("__seq", F.col("__hit")) + n_up, F.length("__hit") - n_up - n_down
+    cut = lambda c: F.substring(c, start, size)
+    qual = F.when(there, F.col("qual")).otherwise(F.reverse("qual"))
+    return rows.where(size >= min_kept).withColumn("seq", cut(F.col("__seq"))).withColumn("qual", cut(qual)).drop("__there", "__seq", "__hit")
 
 
 def pair_mates(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -199,6 +204,11 @@ def overlap_start(r1: Column, r2: Column, seed: int = 16) -> Column:
     return F.when((n > 0) & (times(first) == 1), F.instr(r1, first)).when((n > 0) & (start > 0), start)
 
 
+def located(pairs: DataFrame, seed: int = 16) -> DataFrame:
+    """The pairs with ``y``, the reverse complement of r2, and ``at``, where it starts in r1."""
+    return once(once(pairs, y=reverse_complement(F.col("r2"))), at=overlap_start(F.col("r1"), F.col("y"), seed))
+
+
 def stitch(pairs: DataFrame, up: str | None = None, down: str | None = None, min_diff: int = 6, seed: int = 16) -> DataFrame:
     """Consensus of overlapping mates: ord, seq, qual.
 
@@ -206,8 +216,7 @@ def stitch(pairs: DataFrame, up: str | None = None, down: str | None = None, min
     qualities differ by less than ``min_diff``; the quality is the larger one.
     """
     rows = locate_primers(pairs, up, down) if up else pairs
-    rows = rows.select("ord", "r1", "q1", reverse_complement(F.col("r2")).alias("y"), F.reverse("q2").alias("qy"))
-    rows = rows.withColumn("at", overlap_start(F.col("r1"), F.col("y"), seed)).where("at IS NOT NULL")
+    rows = located(rows, seed).select("ord", "r1", "q1", "y", F.reverse("q2").alias("qy"), "at").where("at IS NOT NULL")
     rows = rows.withColumn("n", F.length("r1") - F.col("at") + 1).where(F.col("n") <= F.length("y"))
     over1, over2 = F.substring("r1", F.col("at"), F.col("n")), F.substring("y", F.lit(1), F.col("n"))
     q1, q2 = letters(F.substring("q1", F.col("at"), F.col("n"))), letters(F.substring("qy", F.lit(1), F.col("n")))
@@ -243,13 +252,13 @@ def demultiplex(reads: DataFrame, tags: dict[str, str] | list[str], up: str, dow
     forward, reverse, sample = _tag_columns(tags)
     u, d = disambiguate(up), disambiguate(rc(down))
     rows = reads if adapter2 is None else reads.where(F.col("seq").rlike(rc(adapter2)))
-    rows = rows.where(F.col("seq").rlike(f".+{u}.+{d}.+"))
-    rows = rows.withColumn("__f", F.coalesce(*(F.when(F.col("seq").rlike(f + u), F.lit(f)) for f in forward))).where("__f IS NOT NULL")
+    first = F.coalesce(*(F.when(F.col("seq").rlike(f + u), F.lit(f)) for f in forward))
+    rows = once(rows, __f=F.when(F.col("seq").rlike(f".+{u}.+{d}.+"), first)).where("__f IS NOT NULL")
     start = F.length("__f") + len(up) + 1
     cut = lambda c: F.substring(c, start, F.lit(1 << 30))
     rows = rows.withColumn("seq", cut(F.col("seq"))).withColumn("qual", cut(F.col("qual")))
     found = [F.when((F.col("__f") == f) & F.col("seq").rlike(d + rc(r)), F.struct(F.lit(sample[f, r]).alias("sample_id"), F.regexp_instr("seq", F.lit(d + rc(r))).alias("end"))) for f in forward for r in reverse if (f, r) in sample]
-    rows = rows.withColumn("__hit", F.coalesce(*found)).where("__hit IS NOT NULL")
+    rows = once(rows, __hit=F.coalesce(*found)).where("__hit IS NOT NULL")
     keep = lambda c: F.substring(c, F.lit(1), F.col("__hit.end") - 1)
     return rows.withColumn("seq", keep(F.col("seq"))).withColumn("qual", keep(F.col("qual"))).withColumn("sample_id", F.col("__hit.sample_id")).drop("__f", "__hit")
 
@@ -264,10 +273,10 @@ def demultiplex_pairs(pairs: DataFrame, tags: dict[str, str] | list[str], up: st
         rows = rows.where(F.col("r1").rlike(rc(adapter2)))
     if adapter1 is not None:
         rows = rows.where(F.col("r2").rlike(rc(adapter1)))
-    rows = rows.where(F.col("r1").rlike(f".+{u}.+") & F.col("r2").rlike(f".+{d}.+"))
-    rows = rows.withColumn("__f", F.coalesce(*(F.when(F.col("r1").rlike(f + u), F.lit(f)) for f in forward))).where("__f IS NOT NULL")
+    tag = F.coalesce(*(F.when(F.col("r1").rlike(f + u), F.lit(f)) for f in forward))
+    rows = once(rows, __f=F.when(F.col("r1").rlike(f".+{u}.+") & F.col("r2").rlike(f".+{d}.+"), tag)).where("__f IS NOT NULL")
     found = [F.when((F.col("__f") == f) & F.col("r2").rlike(f"^{r}{d}"), F.struct(F.lit(sample[f, r]).alias("sample_id"), F.lit(len(r) + len(down) + 1).alias("start"))) for f in forward for r in reverse if (f, r) in sample]
-    rows = rows.withColumn("__hit", F.coalesce(*found)).where("__hit IS NOT NULL")
+    rows = once(rows, __hit=F.coalesce(*found)).where("__hit IS NOT NULL")
     first = F.length("__f") + len(up) + 1
     return (
         rows.withColumn("r1", F.substring("r1", first, F.lit(1 << 30)))

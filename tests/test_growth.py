@@ -44,3 +44,17 @@ def test_motifs_that_stand_in_full_are_not_aligned(monkeypatch):
         assert all((got[c] == want[c]).all() for c in want)
     monkeypatch.setattr(align, "_aligned", None)
     assert align.semiglobal("GGWACWGG", ["TTGGAACTGGT"])["first"].tolist() == [3]
+
+
+def work(df):
+    """How often the whole plan searches a pattern or maps letters."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum(plan.count(x) for x in ("RLIKE", "regexp_", "translate("))
+
+
+def test_reads_are_searched_once_each(spark):
+    from taxaspark import queries as Q
+
+    most = {"q_trim_both_orient": 12, "q_trim_fwd": 12, "q_demux_single": 16, "q_demux_paired": 16, "q_stitch_offset": 18, "q_stitch_consensus": 14, "q_qfilter_strict": 12}
+    got = {name: work(Q.QUERIES[name](spark, "/root/testdata/sf0.001")) for name in most}
+    assert all(got[name] <= most[name] for name in most), got
