@@ -58,3 +58,22 @@ def test_reads_are_searched_once_each(spark):
     most = {"q_trim_both_orient": 12, "q_trim_fwd": 12, "q_demux_single": 16, "q_demux_paired": 16, "q_stitch_offset": 18, "q_stitch_consensus": 14, "q_qfilter_strict": 12}
     got = {name: work(Q.QUERIES[name](spark, "/root/testdata/sf0.001")) for name in most}
     assert all(got[name] <= most[name] for name in most), got
+
+
+def test_kmers_are_counted_without_shuffling_them(spark):
+    from pyspark.sql import functions as F
+
+    from taxaspark.functions.sequences import kmers
+    from taxaspark.operators import kmers as K
+
+    seqs = made(9, 400, "ACGTN") + [None, "", "ACG", "acgtACGTT"]
+    rows = spark.createDataFrame([(i % 37 if i % 50 else None, s) for i, s in enumerate(seqs)], "ord bigint, seq string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # keys go on over batches
+    try:
+        for k in (1, 4, 6):
+            want = rows.select("ord", F.explode(kmers(F.col("seq"), k)).alias("kmer")).groupBy("ord", "kmer").count()
+            got = K.counts(rows, k)
+            assert sorted(map(str, got.collect())) == sorted(str(r).replace("count=", "n=") for r in want.collect())
+            assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
