@@ -77,3 +77,12 @@ def test_kmers_are_counted_without_shuffling_them(spark):
             assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_codons_are_looked_up(spark):
+    from taxaspark.functions import sequences as S
+
+    rows = spark.createDataFrame([("ATAACGNNNTGAAGG",), ("",), ("AC",), ("acgA-GTTT",)], "seq string")
+    out = rows.select(S.translate_codons(rows["seq"], 5).alias("a"))
+    assert [r.a for r in out.collect()] == ["MTXWS", "", "", "XXF"]
+    assert "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
