@@ -47,14 +47,14 @@ def quality_filter(
 def by_group(rows: DataFrame, change: Callable[[DataFrame], DataFrame] = lambda groups: groups, salts: int = 32) -> DataFrame:
     """The rows with ``__n`` and ``__first``, the size and first ord of their sequence's group.
 
-    ``change`` may filter or extend the groups (one row per sequence).  Rows are dealt by
-    sequence and salt, and a group only comes to the salts it has, so no group meets in one task.
+    ``change`` may filter or extend the groups (one row per sequence, known by its MD5, so that
+    sequences are not shuffled with each count).  Rows are dealt by sequence and salt, and a group only comes to the salts it has, so no group meets in one task.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int"))
-    part = salted.groupBy("seq", "__salt").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("low"))
-    groups = part.groupBy("seq").agg(F.sum("n").alias("__n"), F.min("low").alias("__first"), F.collect_set("__salt").alias("__salts"))
+    salted = rows.withColumn("__key", F.unhex(seq_hash(F.col("seq")))).withColumn("__salt", F.pmod(F.xxhash64("ord"), F.lit(salts)).cast("int"))
+    part = salted.groupBy("__key", "__salt").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("low"))
+    groups = part.groupBy("__key").agg(F.sum("n").alias("__n"), F.min("low").alias("__first"), F.collect_set("__salt").alias("__salts"))
     held = change(groups).withColumn("__salt", F.explode("__salts")).drop("__salts")
-    return salted.join(held, ["seq", "__salt"]).drop("__salt")
+    return salted.join(held, ["__key", "__salt"]).drop("__key", "__salt")
 
 
 def once(rows: DataFrame, **computed: Column) -> DataFrame:

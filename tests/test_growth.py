@@ -86,3 +86,12 @@ def test_codons_are_looked_up(spark):
     out = rows.select(S.translate_codons(rows["seq"], 5).alias("a"))
     assert [r.a for r in out.collect()] == ["MTXWS", "", "", "XXF"]
     assert "RLIKE" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_groups_are_told_by_hashes(spark):
+    from taxaspark.operators import reads as R
+
+    rows = spark.createDataFrame([(i, f"r{i}", "ACGT" * (i % 3 + 1)) for i in range(30)], "ord bigint, name string, seq string")
+    out = R.pointers(rows).select("ord", "pointer", "duplicated")
+    assert sorted(map(tuple, out.collect())) == [(i, i % 3 + 1, i >= 3) for i in range(30)]
+    R.by_group(rows, lambda groups: groups.select("__key", "__n", "__first", "__salts"))  # groups do not carry the sequence
