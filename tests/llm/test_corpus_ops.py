@@ -481,3 +481,21 @@ def test_equal_runs_hold_the_same_winnowed_run():
             keys.append(set(S.long_runs(h, np.array([0, len(h)]), np.zeros(len(at), np.int64), at, key, np.ones(len(at), bool))[2].tolist()))
         assert keys[0] & keys[1]
     assert len(S.winnowed(np.zeros(0, np.uint64))) == 0
+
+
+def test_seeds_and_runs_of_a_chunk_are_found_together_and_are_those_of_each_text(monkeypatch):
+    rng, calls = np.random.default_rng(24), []
+    mix = S.T.mix
+    monkeypatch.setattr(S.T, "mix", lambda x: calls.append(len(x)) or mix(x))
+    for many in (3, 60, 2**60):
+        ends = np.concatenate(([0], np.cumsum(rng.integers(0, 90, 200))))
+        h = mix(rng.integers(0, many, int(ends[-1])).astype(np.uint64))
+        calls.clear()
+        text_, at, key = S._seeds(h, ends)
+        runs = S.long_runs(h, ends, text_, at, key, np.ones(len(key), bool))
+        assert len(calls) <= 6  # not once or more for each text
+        for t, (a, b) in enumerate(zip(ends, ends[1:])):
+            one = S.seeds_of(h[a:b])
+            assert (one[0] == at[text_ == t]).all() and (one[1] == key[text_ == t]).all()
+            alone = S.long_runs(h[a:b], np.array([0, b - a]), np.zeros(len(one[0]), np.int64), *one, np.ones(len(one[0]), bool))
+            assert all((x == y[runs[0] == t]).all() for x, y in zip(alone[1:], runs[1:]))
