@@ -499,3 +499,21 @@ def test_seeds_and_runs_of_a_chunk_are_found_together_and_are_those_of_each_text
             assert (one[0] == at[text_ == t]).all() and (one[1] == key[text_ == t]).all()
             alone = S.long_runs(h[a:b], np.array([0, b - a]), np.zeros(len(one[0]), np.int64), *one, np.ones(len(one[0]), bool))
             assert all((x == y[runs[0] == t]).all() for x, y in zip(alone[1:], runs[1:]))
+
+
+def test_texts_meet_although_no_hub_of_their_crowded_seeds_shares_a_passage(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK_BYTES", 30_000)
+    rng = np.random.default_rng(25)
+    rows, pairs = [], []
+    for k in range(6):
+        words = text(rng, 64).split()
+        other = [*words[:22], "x%d" % k, *words[23:43], "y%d" % k, *words[44:]]  # no 51 equal successive words
+        pairs.append((len(rows), len(rows) + 1))
+        rows += [f"{text(rng, 20)} {' '.join(w)} {text(rng, 20)}" for w in (words, other)]
+        width = (14, 26)[k % 2]  # hubs of each seed hold a line of the passage; the longer ones hold its spans as well
+        for a in range(0, 64 - width + 1, 5):
+            rows += [f"{text(rng, 10)} {' '.join(words[a : a + width])} {text(rng, 10)}" for _ in range(40)]
+    for holders in (32, 4):
+        monkeypatch.setattr(S, "HOLDERS", holders)
+        got = {(r.doc_id, r.other_id) for r in S.shared_passages(docs([(i, t, "s") for i, t in enumerate(rows)])).collect()}
+        assert all((a, b) in got or (b, a) in got for a, b in pairs)
