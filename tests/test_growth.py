@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from taxaspark.kernels import align, phmm
 from taxaspark.operators import curate as U
@@ -95,3 +96,17 @@ def test_groups_are_told_by_hashes(spark):
     out = R.pointers(rows).select("ord", "pointer", "duplicated")
     assert sorted(map(tuple, out.collect())) == [(i, i % 3 + 1, i >= 3) for i in range(30)]
     R.by_group(rows, lambda groups: groups.select("__key", "__n", "__first", "__salts"))  # groups do not carry the sequence
+
+
+def test_quantiles_never_collect_a_group(spark, monkeypatch):
+    from taxaspark import queries as Q
+    from taxaspark.operators import learn as L
+
+    monkeypatch.setattr(L, "BINS", 8)
+    rng = np.random.default_rng(10)
+    values = {"a": [*rng.normal(0, 1e4, 400), *[5.0] * 50], "b": [3.0], None: [*(10.0 ** rng.integers(-9, 9, 90)), 0.0, -0.0], "c": [None], "d": [1.0, 2.0, None], "e": [float("-inf"), 1.0, 2.0, 2.0, float("nan")]}
+    rows = spark.createDataFrame([(g, None if v is None else float(v)) for g, some in values.items() for v in some], "g string, v double")
+    want = {r.g: (r.q0, r.q1, r.q2) for r in rows.groupBy("g").agg(*[F.expr(f"percentile(v, {p})").alias(f"q{i}") for i, p in enumerate((0.05, 0.5, 1.0))]).collect()}
+    got = {r.g: (r.q0, r.q1, r.q2) for r in L.quantiles(rows, "g", "v", [0.05, 0.5, 1.0]).collect()}
+    assert str(sorted(got.items(), key=str)) == str(sorted(want.items(), key=str))
+    assert "percentile" not in Q.QUERIES["q_quantile7"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
