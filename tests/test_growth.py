@@ -110,3 +110,21 @@ def test_quantiles_never_collect_a_group(spark, monkeypatch):
     got = {r.g: (r.q0, r.q1, r.q2) for r in L.quantiles(rows, "g", "v", [0.05, 0.5, 1.0]).collect()}
     assert str(sorted(got.items(), key=str)) == str(sorted(want.items(), key=str))
     assert "percentile" not in Q.QUERIES["q_quantile7"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reads_are_made_few_times_for_a_classification_by_hash(spark):
+    from taxaspark import queries as Q
+
+    df = Q.QUERIES["q_classify_ping_only"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 4, plan.count("regexp_extract_all")
+
+
+def test_hashes_of_one_taxon_need_no_lineage(spark):
+    from taxaspark.operators import classify as C
+
+    tax = spark.createDataFrame([(1, 0, "no rank", "root"), (2, 1, "genus", "g"), (3, 2, "species", "a"), (4, 2, "species", "b")], "taxID int, parent_taxID int, rank string, name string")
+    train = [(0, "A", 3), (1, "A", 3), (2, "C", 3), (3, "C", 4), (4, "G", 9), (5, "T", 9), (6, "T", 4), (7, None, 3), (8, "AC", None)]
+    key = C.build_key(spark.createDataFrame(train, "train int, seq string, taxID int"), tax)
+    names = {r.md5: r.seq for r in spark.createDataFrame([(s,) for s in "ACGT"], "seq string").select("seq", C.seq_hash(F.col("seq")).alias("md5")).collect()}
+    assert sorted((names[r.md5], r.taxID) for r in key.where("md5 IS NOT NULL").collect()) == [("A", 3), ("C", 2), ("T", 4)]
