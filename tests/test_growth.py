@@ -128,3 +128,17 @@ def test_hashes_of_one_taxon_need_no_lineage(spark):
     key = C.build_key(spark.createDataFrame(train, "train int, seq string, taxID int"), tax)
     names = {r.md5: r.seq for r in spark.createDataFrame([(s,) for s in "ACGT"], "seq string").select("seq", C.seq_hash(F.col("seq")).alias("md5")).collect()}
     assert sorted((names[r.md5], r.taxID) for r in key.where("md5 IS NOT NULL").collect()) == [("A", 3), ("C", 2), ("T", 4)]
+
+
+def test_forward_of_long_models_adds_probabilities_where_none_counts_that_vanishes(monkeypatch):
+    rng = np.random.default_rng(11)
+    base = "".join(rng.choice(list("ACGT"), 250))
+    seqs = [base[a:b] for a, b in ((0, 250), (3, 240), (10, 120), (100, 250))] + made(12, 20, lengths=(0, 300)) + made(13, 3, "ACGTN", (600, 700)) + [""]
+    model = phmm.derive([base, base[2:]])
+    assert not phmm.scaled(model, 300)
+    run, logs = phmm._run, []
+    monkeypatch.setattr(phmm, "_run", lambda m, s, *more, **k: logs.extend(s) or run(m, s, *more, **k))
+    got = phmm.forward(model, seqs)
+    want = np.concatenate([run(model, [s], np.logaddexp)[0] for s in seqs])
+    assert np.abs(got - want).max() < 1e-8
+    assert logs == [s for s, w in zip(seqs, want) if w <= phmm.FLOOR] and 0 < len(logs) < len(seqs) / 2
