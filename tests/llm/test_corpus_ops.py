@@ -517,3 +517,31 @@ def test_texts_meet_although_no_hub_of_their_crowded_seeds_shares_a_passage(spar
         monkeypatch.setattr(S, "HOLDERS", holders)
         got = {(r.doc_id, r.other_id) for r in S.shared_passages(docs([(i, t, "s") for i, t in enumerate(rows)])).collect()}
         assert all((a, b) in got or (b, a) in got for a, b in pairs)
+
+
+def test_chains_of_one_block_are_found_and_aligned_together_as_they_are_one_by_one(monkeypatch):
+    rng, met = np.random.default_rng(26), []
+    words = [rng.integers(0, 60, 160).astype(np.uint64) for _ in range(40)]
+    for k in range(1, 40):  # a stretch of the first text, some of it changed
+        n, a, b = (int(v) for v in rng.integers((12, 0, 0), (90, 70, 70)))
+        words[k][b : b + n] = np.where(rng.random(n) < 0.1, 99, words[0][a : a + n])
+        met.append((k, a, b, n))
+    data = [" ".join(f"w{v}" for v in w) for w in words]
+    raw, offsets = S.T.utf8(S.pa.array(data))
+    small, ends = S._small_words(raw, offsets, np.arange(40))
+    text_, other, x, y = (np.array(c) for c in zip(*((0, k, a + i, b + i) for k, a, b, n in met for i in range(0, n - S.SEED, 3))))
+    monkeypatch.setattr(S, "chain", None)  # nothing goes pair by pair
+    found = S.all_chains(text_, other, x, y)
+    monkeypatch.undo()
+    single = [(0, k, *p.reshape(-1).tolist()) for k in range(1, 40) for p in S.chains(x[other == k], y[other == k])]
+    assert sorted(zip(found[0].tolist(), found[1].tolist(), *found[3].T.tolist())) == single and set(found[2].tolist()) == {1}
+    asks = S.pa.Table.from_batches(list(S._chain_rows([7], np.zeros(1, np.int64), small[:160], ends[:2], *found))).combine_chunks().to_batches()[0]
+    expected = set()
+    for r in asks.to_pylist():
+        path, mine = np.frombuffer(r["blocks"], np.int32).reshape(-1, 3).astype(np.int64), np.frombuffer(r["words"], np.uint16)
+        start, their = max(0, int(path[0, 1]) - S.REACH), small[ends[r["other"]] : ends[r["other"] + 1]]
+        for s, e, hs, he, same in S.align(mine, their[start : int(path[-1, 1] + path[-1, 2]) + S.REACH], path - [r["first"], start, 0]):
+            if e - s >= S.MIN_WORDS and same / (e - s) >= S.IDENTITY:
+                expected.add((7, s + r["first"], e + r["first"], r["other"] + 100, hs + start, he + start, same, same / (e - s), 0, r["other"]))
+    monkeypatch.setattr(S, "align", None)
+    assert S._passages_of(asks, np.arange(40) + 100, raw, offsets) == sorted(expected) and len(expected) > 10
