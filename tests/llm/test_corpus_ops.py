@@ -545,3 +545,13 @@ def test_chains_of_one_block_are_found_and_aligned_together_as_they_are_one_by_o
                 expected.add((7, s + r["first"], e + r["first"], r["other"] + 100, hs + start, he + start, same, same / (e - s), 0, r["other"]))
     monkeypatch.setattr(S, "align", None)
     assert S._passages_of(asks, np.arange(40) + 100, raw, offsets) == sorted(expected) and len(expected) > 10
+
+
+def test_texts_of_passages_are_packed_tighter_and_come_back_whole(spark, docs):
+    rng, size = np.random.default_rng(27), {}
+    rows = docs([(i, text(rng, 300), "s") for i in range(100)]).coalesce(1)
+    for level in (4, S.LEVEL):
+        bodies = [r["body"] for r in C.make_chunks(rows, Scratch(spark, "level"), level=level).collect()]
+        size[level] = sum(len(b) for b in bodies)
+        assert b"".join(C.unpack(bytes(b))[0].tobytes() for b in bodies).decode().split() == " ".join(r["text"] for r in rows.collect()).split()
+    assert size[S.LEVEL] < 0.99 * size[4]
